@@ -1 +1 @@
-"""quern.operators"""
+"""Index, retrieval, ranking, vector and evaluation operators."""
