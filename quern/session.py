@@ -90,6 +90,9 @@ def ship_code(spark: SparkSession) -> None:
         f.write(buf.getvalue())
     spark.sparkContext.addPyFile(out)
     _shipped.add(app)
+    # whole texts are long: smaller Arrow batches, unless the session says otherwise
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 
 
 def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
