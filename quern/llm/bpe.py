@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.chunks import ChunkPool, slices, text_array
+from quern.llm.chunks import ChunkPool, resident, slices, text_array
 from quern.session import ship_code
 
 #: Folder of the public vocabularies; every operator takes it as a parameter.
@@ -252,15 +252,14 @@ class TokenPool(ChunkPool):
         self._store([*ends, *odd], made)
 
 
-_models: dict[str, tuple[Merges, ChunkPool]] = {}
+def _load(path: str) -> tuple[Merges, ChunkPool]:
+    m = Merges(path)
+    return m, TokenPool(m)
 
 
 def model(path: str) -> tuple[Merges, ChunkPool]:
     """The vocabulary at ``path`` and its table of chunks, once per worker."""
-    if path not in _models:
-        m = Merges(path)
-        _models[path] = m, TokenPool(m)
-    return _models[path]
+    return resident(("merges", path), lambda: _load(path))
 
 
 def encode_slice(path: str, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -9,8 +9,9 @@ bound it is emptied, which costs time and never changes a result.
 
 from __future__ import annotations
 
+import ctypes
 import gc
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Hashable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,27 @@ _WS = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{
 ODD_SPACES = rf" {_WS}|{_WS} |^{_WS}|{_WS}$"
 
 
+_resident: dict[Hashable, object] = {}
+
+
+def resident(key: Hashable, make: Callable[[], object]):
+    """The one model that a Python worker holds from task to task.
+
+    Workers are reused by later stages. Another operator's model is let go, and
+    its memory given back to the system, before a new one is made.
+    """
+    if key not in _resident:
+        if _resident:
+            _resident.clear()
+            gc.collect()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
+        _resident[key] = make()
+    return _resident[key]
+
+
 def slices(texts: pa.Array, chars: int) -> Iterator[tuple[int, int]]:
     """Row ranges of about ``chars`` characters each, one row at least."""
     n = len(texts)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.chunks import ChunkPool, segments, slices, text_array
+from quern.llm.chunks import resident, segments, slices, text_array
 from quern.llm.words import mix, word_pool
 from quern.session import ship_code
 
@@ -26,7 +26,6 @@ _SLICE = 1_000_000
 _HALF = np.uint64(32)
 _LOW = np.uint64(0xFFFFFFFF)
 _STEP = np.float32(2.0**-32)
-_pool: list[ChunkPool] = []
 
 
 def draws(words: np.ndarray, weights: np.ndarray, samples: int, seed: int) -> np.ndarray:
@@ -86,12 +85,11 @@ def fingerprint_documents(df: DataFrame, samples: int = SAMPLES, seed: int = 1,
     ship_code(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not _pool:
-            _pool.append(word_pool())
+        pool = resident("words", word_pool)
         for batch in batches:
             whole = text_array(batch, "text")
             for a, b in slices(whole, _SLICE):
-                words, offsets = _pool[0].documents(whole.slice(a, b - a))
+                words, offsets = pool.documents(whole.slice(a, b - a))
                 sigs, per_doc = signatures(words, offsets, samples, seed)
                 ends = np.concatenate([[0], np.cumsum(per_doc > 0) * samples])
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32(), mask=np.append(per_doc == 0, False)), pa.array(sigs.ravel()))

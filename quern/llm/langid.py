@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.chunks import ChunkPool, slices, text_array
+from quern.llm.chunks import ChunkPool, resident, slices, text_array
 from quern.session import checked_join, fresh_name, ship_code
 
 BUCKETS = 8192
@@ -35,7 +35,6 @@ SHORTEST = 8
 _SLICE = 2_000_000
 _LETTERS = re.compile(r"[^\W\d_]+").findall
 _grams: dict[str, int] = {}
-_pool: list[ChunkPool] = []
 
 
 def _bucket(gram: str) -> int:
@@ -57,9 +56,7 @@ def _chunk_buckets(chunks: list[str]) -> list[list[int]]:
 
 
 def text_buckets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    if not _pool:
-        _pool.append(ChunkPool(_chunk_buckets, np.int32, limit=300_000))
-    return _pool[0].documents(texts)
+    return resident("n-grams", lambda: ChunkPool(_chunk_buckets, np.int32, limit=300_000)).documents(texts)
 
 
 def counts_matrix(values: np.ndarray, offsets: np.ndarray, a: int, b: int) -> np.ndarray:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.bpe import VOCABULARIES
-from quern.llm.chunks import ODD_SPACES, ChunkPool, slices, text_array
+from quern.llm.chunks import ODD_SPACES, ChunkPool, resident, slices, text_array
 from quern.session import checked_join, fresh_name, materialize, ship_code
 
 VOCABULARY = "piece_bpe_32k.model"
@@ -37,15 +37,12 @@ FLOORS = (0.03, 0.01, 0.1)
 #: Length classes are powers of two of tokens; longer texts share the last.
 LAST_CLASS = 10
 _SLICE = 4_000_000
-_models: dict[str, tuple] = {}
 
 
-def _model(path: str):
-    if path not in _models:
-        sp = sentencepiece.SentencePieceProcessor(model_file=path)
-        is_byte = np.array([sp.is_byte(i) or sp.is_unknown(i) for i in range(sp.get_piece_size())])
-        _models[path] = sp, is_byte, ChunkPool(lambda cs: sp.encode(cs, num_threads=1), limit=400_000)
-    return _models[path]
+def _load(path: str):
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    is_byte = np.array([sp.is_byte(i) or sp.is_unknown(i) for i in range(sp.get_piece_size())])
+    return sp, is_byte, ChunkPool(lambda cs: sp.encode(cs, num_threads=1), limit=400_000)
 
 
 def script_of(text: str) -> str:
@@ -60,7 +57,7 @@ def script_of(text: str) -> str:
 
 def measure(path: str, texts: pa.Array) -> tuple[np.ndarray, ...]:
     """Tokens, characters, byte tokens and token entropy (bits) of each text."""
-    sp, is_byte, pool = _model(path)
+    sp, is_byte, pool = resident(("pieces", path), lambda: _load(path))
     n = len(texts)
     # beside plain single spaces a text is one chunk, since blanks form tokens
     odd = pc.match_substring_regex(texts, ODD_SPACES).to_numpy(zero_copy_only=False).astype(bool)
