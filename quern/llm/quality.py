@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import sentencepiece
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm.bpe import VOCABULARIES
@@ -29,8 +29,9 @@ from quern.session import checked_join, fresh_name, materialize, ship_code
 VOCABULARY = "piece_bpe_32k.model"
 #: Half-width of a band in robust standard deviations.
 WIDTH = 5.0
-#: A band needs so many documents. Below that, fertility isn't judged, and byte
-#: share and entropy are judged by all languages of the length class together.
+#: A band needs so many documents. A class with fewer is judged by the next
+#: shorter one of its language; without one, fertility isn't judged, and byte
+#: share and entropy are judged by all languages together.
 MIN_DOCS = 30
 #: Least robust deviation of characters per token, byte share and entropy.
 FLOORS = (0.03, 0.01, 0.1)
@@ -130,7 +131,10 @@ def bands(features: DataFrame, names: tuple[str, ...], width: float = WIDTH, min
     centre = both.groupBy(band, cls).agg(F.count("*").alias("n"), *(q for _, q in quantiles))
     reach = {k: width * F.greatest(F.col(k)[1] - F.col(k)[0], F.lit(floor)) for k, floor in zip("fbe", floors)}
     fertility = F.when(F.col(band).isNotNull(), F.col("f")[0])
-    return centre.where(F.col("n") >= min_docs).select(
+    # a class without a band of its own takes the next shorter one's, whose limits are wider
+    until = F.coalesce(F.lead(cls).over(Window.partitionBy(band).orderBy(cls)) - 1, F.lit(LAST_CLASS))
+    known = centre.where(F.col("n") >= min_docs).withColumn("until", until).withColumn(cls, F.explode(F.sequence(F.col(cls), F.col("until"))))
+    return known.select(
         band, cls, (fertility - reach["f"]).alias("fert_low"), (fertility + reach["f"]).alias("fert_high"),
         (F.col("b")[0] + reach["b"]).alias("byte_high"), (F.col("e")[0] - reach["e"]).alias("ent_low"),
     )
@@ -159,9 +163,9 @@ def quality_report(df: DataFrame, vocabulary: str = VOCABULARY, folder: str = VO
     One row per input row, repeated rows included. Fertility is characters per
     token. A null or empty text has 0 tokens, null figures and is rejected as
     ``empty``. A null language is replaced by ``script:`` and the main script.
-    A value on a limit is kept. A length class with too few documents in its
-    language isn't judged on fertility, and with too few in all languages not
-    at all. Further columns are left out. Figures are worked out once, over
+    A value on a limit is kept. A length class with too few documents takes
+    the limits of the next shorter class of its language; if there is none it
+    isn't judged on fertility, and with too few in all languages not at all. Further columns are left out. Figures are worked out once, over
     whole texts, and written to the shared folder; the bands are few rows.
     """
     slim = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
