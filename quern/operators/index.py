@@ -76,6 +76,7 @@ class Index:
     postings: DataFrame  # term, doc_id, tf, positions
     terms: DataFrame  # term, df, cf
     stats: DataFrame  # n_docs, sum_length, avg_length
+    buckets: int = BUCKETS  # folders of a saved index
 
     @staticmethod
     def build(docs: DataFrame, analyzer: Analyzer | None = PLAIN, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = (), only: Sequence[str] | None = None) -> Index:
@@ -91,19 +92,20 @@ class Index:
         saved = self.docs.sparkSession.read.parquet(f"{path}/postings")
         self.docs.write.mode("overwrite").parquet(f"{path}/docs")
         terms_of(saved.select("term", "doc_id", "tf")).sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
-        stats_of(self.docs).coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
+        stats_of(self.docs).withColumn("buckets", F.lit(buckets)).coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> Index:
         read = lambda name: spark.read.parquet(f"{path}/{name}")
-        return Index(read("docs"), read("postings"), read("terms"), read("stats"))
+        stats = read("stats")
+        return Index(read("docs"), read("postings"), read("terms"), stats.drop("buckets"), stats.first()["buckets"])
 
-    def postings_for(self, wanted: Sequence[str], buckets: int = BUCKETS) -> DataFrame:
+    def postings_for(self, wanted: Sequence[str]) -> DataFrame:
         """Postings of literal terms; on a saved index the folders are pruned."""
         rows = self.postings.where(F.col("term").isin([str(t) for t in wanted]))
         if "bucket" in self.postings.columns:
             spark = self.postings.sparkSession
-            at = [r["b"] for r in spark.range(1).select(F.explode(F.array(*(bucket(F.lit(str(t)), buckets) for t in wanted))).alias("b")).collect()] if wanted else []
+            at = [r["b"] for r in spark.range(1).select(F.explode(F.array(*(bucket(F.lit(str(t)), self.buckets) for t in wanted))).alias("b")).collect()] if wanted else []
             rows = rows.where(F.col("bucket").isin(at)).drop("bucket")
         return rows
 

@@ -167,7 +167,7 @@ def s23_text_import(spark, sf):
 def s13_saved_index(spark, sf):
     path = scratch_path(spark, "index")
     index_of(spark, sf).save(path, 16)
-    return Index.load(spark, path).postings_for(["ersh", "the"], 16).select("term", "doc_id", "tf")
+    return Index.load(spark, path).postings_for(["ersh", "the"]).select("term", "doc_id", "tf")
 
 
 @query(f"{BASE} SELECT doc_id, array_to_string(list(term || '=' || array_to_string(ps, ',') ORDER BY term), ' ') AS terms FROM post GROUP BY doc_id")
