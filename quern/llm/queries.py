@@ -57,4 +57,4 @@ QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_language, op3_quality,
 
 def oracles() -> dict[str, str]:
     """SQL where it can express the operator; the tests have brute force for the rest."""
-    return {"op4_urls": urls.oracle(), "op8_mixing": mixing.oracle(), "op10_sharding": sharding.oracle()}
+    return {"op4_urls": urls.oracle(), "op8_mixing": mixing.oracle(), "op9_near_copies": join.oracle(), "op10_sharding": sharding.oracle()}
