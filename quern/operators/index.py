@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.functions.text import PLAIN, Analyzer, text_length, terms
-from quern.session import checked_join, ship_code
+from quern.session import checked_join, materialize, ship_code
 
 BUCKETS = 64
 META = ("score", "viewcount", "creationdate", "userreputation", "answercount", "commentcount", "favoritecount")
@@ -188,7 +188,8 @@ def shard_ranges(ids: DataFrame, shards: int, id_col: str = "doc_id") -> DataFra
     empty table nothing comes.
     """
     rows = ids.select(F.col(id_col).alias("id")).where("id IS NOT NULL")
-    placed = rows.repartitionByRange("id").withColumn("part", F.spark_partition_id())
+    # written, since adaptive execution may cut two readings of one shuffle differently
+    placed = materialize(rows.repartitionByRange("id").withColumn("part", F.spark_partition_id()), "ranges")
     ranked = placed.withColumn("r", F.row_number().over(Window.partitionBy("part").orderBy("id")))
     sizes = placed.groupBy("part").agg(F.count("*").alias("size"), F.min("id").alias("low"))
     before = sizes.withColumn("before", F.coalesce(F.sum("size").over(Window.orderBy("low", "part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("low", "size")
