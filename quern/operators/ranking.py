@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.operators.index import Index
-from quern.plans.query import FreeText, WORD_LIMIT
+from quern.plans.query import WORD_LIMIT, FreeText
 from quern.session import BROADCAST_ROWS, checked_join, materialize
 
 K1, B = 1.2, 0.75
@@ -60,7 +61,8 @@ def search(index: Index, query: Sequence[str] | FreeText, limit: int = 100_000,
     if prune and len(chosen) > 1:
         scored = materialize(scored, "scored")
         counts = {r["mask"]: r["n"] for r in scored.groupBy("mask").agg(F.count("*").alias("n")).collect()}
-        scored = scored.where(F.col("mask").bitwiseAND(F.lit(narrowing(counts, len(chosen), floor))) == F.lit(narrowing(counts, len(chosen), floor)))
+        need = F.lit(narrowing(counts, len(chosen), floor))
+        scored = scored.where(F.col("mask").bitwiseAND(need) == need)
     elif prune:
         scored = scored.where(F.col("mask").bitwiseAND(F.lit(1)) == 1)
     return scored.select("doc_id", "bm25_score").orderBy(F.desc("bm25_score"), "doc_id").limit(limit)
@@ -102,8 +104,6 @@ def search_all(index: Index, query: Sequence[str], limit: int = 50, k1: float =
 def search_many(index: Index, queries: DataFrame, limit: int = 10, k1: float = K1, b: float = B) -> DataFrame:
     """(query_id, doc_id, bm25_score, rank) for a table (query_id, term): the
     batch form, one join of query terms with postings for all queries."""
-    from pyspark.sql import Window
-
     q = queries.where("term <> ''").select("query_id", "term").distinct()
     weighted = checked_join(index.terms, q.select("term").distinct(), "term", "left_semi", BROADCAST_ROWS).crossJoin(F.broadcast(index.stats))
     weighted = weighted.select("term", plain_idf(F.col("n_docs"), F.col("df")).alias("idf"), "avg_length")
@@ -112,3 +112,34 @@ def search_many(index: Index, queries: DataFrame, limit: int = 10, k1: float = K
     scored = checked_join(hits, q, "term").groupBy("query_id", "doc_id").agg(F.sum("s").alias("bm25_score"))
     best = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("bm25_score"), "doc_id")))
     return best.where(F.col("rank") <= limit)
+
+
+def search_by_shard(index: Index, query: Sequence[str], shard_col: str, limit: int = 100_000, k1: float = K1, b: float = B, keep: int = KEEP_TERMS, floor: int = FLOOR) -> DataFrame:
+    """As ``search``, with document frequencies, kept terms and narrowing of
+    each shard's own (a column of ``docs``), and global counts and mean length.
+    What is collected is a few rows for each shard."""
+    words = list(dict.fromkeys(w for w in tuple(query)[:WORD_LIMIT] if w))
+    empty = index.docs.select("doc_id").limit(0).withColumn("bm25_score", F.lit(0.0))
+    stats = index.stats.first()
+    if not words or not stats["n_docs"]:
+        return empty
+    spark = index.docs.sparkSession
+    hits = materialize(index.postings_for(words).select("doc_id", "term", "tf").join(index.docs.select("doc_id", "doc_length", F.col(shard_col).alias("shard")), "doc_id"), "hits")
+    by: dict = {}
+    for r in hits.groupBy("shard", "term").agg(F.count("*").alias("df")).collect():
+        by.setdefault(r["shard"], {})[r["term"]] = math.log((stats["n_docs"] - r["df"] + 0.5) / (r["df"] + 0.5))
+    kept = {s: sorted(v, key=lambda w: (-v[w], w))[:keep] for s, v in by.items()}
+    if not kept:
+        return empty
+    kind = hits.schema["shard"].dataType.simpleString()
+    rows = [(s, w, by[s][w], 1 << j) for s, ws in kept.items() for j, w in enumerate(ws)]
+    weights = spark.createDataFrame(rows, f"s {kind}, t string, idf double, bit int")
+    joined = checked_join(hits, weights, F.col("shard").eqNullSafe(F.col("s")) & (F.col("term") == F.col("t")))
+    score = bm25(F.col("tf"), F.col("doc_length"), F.lit(float(stats["avg_length"])), F.col("idf"), k1, b)
+    scored = materialize(joined.groupBy("shard", "doc_id").agg(F.sum(score).alias("bm25_score"), F.bit_or("bit").alias("mask")), "scored")
+    counts: dict = {}
+    for r in scored.groupBy("shard", "mask").agg(F.count("*").alias("n")).collect():
+        counts.setdefault(r["shard"], {})[r["mask"]] = r["n"]
+    need = spark.createDataFrame([(s, narrowing(c, len(kept[s]), floor)) for s, c in counts.items()], f"s {kind}, need int")
+    out = checked_join(scored, need, F.col("shard").eqNullSafe(F.col("s"))).where(F.col("mask").bitwiseAND(F.col("need")) == F.col("need"))
+    return out.select("doc_id", "bm25_score").orderBy(F.desc("bm25_score"), "doc_id").limit(limit)

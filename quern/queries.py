@@ -16,6 +16,8 @@ from quern.operators import boolean, evaluate, expand, ranking, rerank
 from quern.operators import index as ix
 from quern.operators import vectors as vs
 from quern.operators.index import Index
+from quern.plans.query import parse
+from quern.search import Options, Search
 from quern.session import scratch_path
 from quern.sources import dump, textindex
 
@@ -606,3 +608,147 @@ def f17_jaccard(spark, sf):
     a, b = t.alias("a"), t.alias("b")
     pairs = a.join(b, F.col("a.item_id") < F.col("b.item_id"))  # all pairs are the result
     return pairs.select(F.col("a.item_id").alias("a"), F.col("b.item_id").alias("b"), r6(vectors.jaccard(F.col("a.ts"), F.col("b.ts"))).alias("jaccard"))
+
+
+# --- further analysis ------------------------------------------------------------
+
+
+@query(r"WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(trim(lower(coalesce(text, ''))), '\s+'), lambda x: x <> '') AS ws FROM documents) SELECT term, count(*) AS cf, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest(ws) AS term FROM t) GROUP BY term")
+def f5_space_tokens(spark, sf):
+    words = F.filter(F.split(F.trim(F.lower(F.coalesce("text", F.lit("")))), r"\s+"), lambda w: w != "")
+    return table(spark, sf, "documents").select("doc_id", F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("cf"), F.countDistinct("doc_id").alias("df"))
+
+
+@query(rf"{BASE} SELECT strip_accents(term) AS term, sum(cf)::BIGINT AS cf FROM terms GROUP BY 1")
+def f4_ascii_terms(spark, sf):
+    return index_of(spark, sf).terms.groupBy(text.to_ascii(F.col("term")).alias("term")).agg(F.sum("cf").alias("cf"))
+
+
+@query(rf"{BASE} SELECT term, cf::BIGINT AS cf FROM terms WHERE NOT list_contains({_STOPS}, term)")
+def p6_without_stop_words(spark, sf):
+    return index_of(spark, sf).terms.where(~F.col("term").isin(list(text.STOP_WORDS))).select("term", "cf")
+
+
+@query(r"SELECT doc_id, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\s]+'), lambda x: regexp_replace(strip_accents(x), '[^\p{L}\p{N}_\s]+', '', 'g') <> '')) AS n FROM documents")
+def f10_punctuation_removed(spark, sf):
+    config = text.Analyzer(links="keep", contractions="keep", digits="keep", punctuation="remove", snake="keep", camel="keep", stop_words=(), stemming=False)
+    return table(spark, sf, "documents").select("doc_id", text.text_length(F.col("text"), config).alias("n"))
+
+
+@query("SELECT doc_id, len(list_filter(string_split(text, ' '), lambda x: x = 'the')) AS wholes, 2 * len(list_filter(string_split(text, ' '), lambda x: x = 'the')) AS parts FROM documents WHERE text IS NOT NULL")
+def f7_kept_variables(spark, sf):
+    words = F.transform(F.filter(F.split("text", " "), lambda w: w == "the"), lambda w: F.lit("snake_case"))
+    docs = table(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", F.array_join(words, " ").alias("t"))
+    found = text.terms(F.col("t"), text.Analyzer(stop_words=(), stemming=False).keep_variables())
+    return docs.select("doc_id", F.size(F.filter(found, lambda x: x["pos"] >= 0)).alias("wholes"), F.size(F.filter(found, lambda x: x["pos"] < 0)).alias("parts"))
+
+
+@query(r"""WITH l AS (SELECT page_id, regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1) AS hs FROM pages) SELECT page_id, unnest(hs) AS link FROM l""")
+def x1_link_text(spark, sf):
+    rows = html.with_blocks(table(spark, sf, "pages").select("page_id", "html")).select("page_id", F.explode("blocks").alias("b")).where("b.kind = 'link' AND b.href <> ''")
+    full = html.block_text(F.col("b"))
+    return rows.where(F.length(full) >= F.length("b.text") + F.length("b.href")).select("page_id", F.col("b.href").alias("link"))
+
+
+# --- further retrieval -------------------------------------------------------------
+
+_SHARDED = f"""{BASE}, p AS (SELECT post.doc_id, doc_id // 250 AS shard, term, tf, dl FROM post JOIN lens USING (doc_id) WHERE term IN {WORDS}),
+f AS (SELECT shard, term, ln((any_value(n) - count(*) + 0.5) / (count(*) + 0.5)) AS idf, any_value(mean) AS mean FROM p, stats GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY idf DESC, term) AS r FROM f),
+m AS (SELECT p.shard, p.doc_id, sum({_BM.format(k1=1.2)}) AS s, bit_or(1 << (r - 1)) AS m FROM p JOIN r ON p.shard = r.shard AND p.term = r.term GROUP BY ALL),
+t AS (SELECT shard, max(r) AS k FROM r GROUP BY shard),
+a AS (SELECT shard, CASE WHEN k >= 2 AND count(*) FILTER ((m & 3) = 3) > 20 THEN 3 ELSE 1 END AS need FROM m JOIN t USING (shard) GROUP BY shard, k),
+c AS (SELECT m.shard, CASE WHEN k >= 3 AND count(*) FILTER ((m & (need | 4)) = (need | 4)) > 20 THEN need | 4 ELSE need END AS need FROM m JOIN a ON m.shard = a.shard JOIN t ON t.shard = m.shard GROUP BY m.shard, need, k)
+SELECT doc_id, round(s, 6) AS bm25_score FROM m JOIN c ON m.shard = c.shard WHERE (m & need) = need"""
+
+
+@query(_SHARDED)
+def bm_a_by_shard(spark, sf):
+    i = index_of(spark, sf, WORDS)
+    i.docs = i.docs.withColumn("shard", F.floor(F.col("doc_id") / 250))
+    return ranking.search_by_shard(i, WORDS, "shard", floor=20).withColumn("bm25_score", r6("bm25_score"))
+
+
+@query(f"{BASE} SELECT doc_id FROM documents WHERE {_has('ersh')} OR {_has('und')}")
+def q_boolean_last_operand(spark, sf):
+    return boolean.Evaluator(index_of(spark, sf, ["the", "ersh", "und"])).run(parse("the ersh OR und", last_operand=True))
+
+
+@query(f"{BASE} SELECT DISTINCT a.doc_id FROM tok a JOIN tok b ON a.doc_id = b.doc_id AND b.pos = a.pos + 2 WHERE a.term = 'ersh' AND b.term = 're'")
+def q_phrase_gap(spark, sf):
+    config = text.Analyzer(links="keep", contractions="keep", digits="keep", snake="keep", camel="keep", stop_words=("the",), stemming=False, ascii=False)
+    docs = docs_of(spark, sf).withColumn("text", F.array_join(text.plain_terms(F.col("text")), " "))
+    return boolean.Evaluator(Index.build(docs, config, only=["ersh", "re"]), config).run('"ersh the re"')
+
+
+@query(f"""{_HITS}, s AS (SELECT doc_id, sum(s) AS s FROM hits WHERE doc_id IN (FROM c3) GROUP BY doc_id ORDER BY round(sum(s), 9) DESC, doc_id LIMIT 10)
+SELECT doc_id, round(s.s, 6) AS bm25_score, lang AS title, n_chars AS view_count FROM s JOIN documents USING (doc_id)""")
+def e_search_page(spark, sf):
+    base = index_of(spark, sf, WORDS)
+    meta = table(spark, sf, "documents").select("doc_id", F.col("lang").alias("title"), F.col("n_chars").alias("viewcount"))
+    found = Search(Index(base.docs.join(meta, "doc_id"), base.postings, base.terms, base.stats)).search(" ".join(WORDS), Options(0, 10))
+    return found.rows.select("doc_id", r6("bm25_score").alias("bm25_score"), "title", "view_count")
+
+
+@query(f"{BASE} SELECT doc_id FROM documents WHERE {_has('ersh')} AND NOT {_has('que')} ORDER BY doc_id LIMIT 10 OFFSET 10")
+def e_advanced_page(spark, sf):
+    found = Search(index_of(spark, sf, ["ersh", "que"])).advanced_search("ersh AND NOT que", Options(1, 10))
+    return found.rows.select("doc_id")
+
+
+@query("""WITH d AS (SELECT p_partkey AS doc_id, p_retailprice - CASE WHEN p_size > 25 THEN 1 ELSE 0 END AS m FROM part) SELECT doc_id, round(m, 6) AS metadata_score FROM d ORDER BY m DESC, doc_id LIMIT 200""")
+def t9_reranked_window(spark, sf):
+    rows = table(spark, sf, "part").select(F.col("p_partkey").alias("doc_id"), F.col("p_retailprice").alias("metadata_score"), F.when(F.col("p_size") > 25, "").otherwise(F.col("p_name")).alias("title"))
+    return rerank.rerank_metadata(rows).limit(rerank.DEPTH).select("doc_id", r6("metadata_score").alias("metadata_score"))
+
+
+@query("""WITH a AS (SELECT vec_id, embedding FROM embeddings WHERE label < 5), b AS (SELECT vec_id, list_transform(embedding, lambda x: x * 2) AS embedding FROM embeddings WHERE label > 2)
+SELECT vec_id, round((coalesce(b.embedding, a.embedding))[1]::DOUBLE, 6) AS x FROM a FULL JOIN b USING (vec_id)""")
+def s29_merged_vectors(spark, sf):
+    e = table(spark, sf, "embeddings").select("vec_id", "embedding", "label")
+    twice = e.where("label > 2").select("vec_id", F.transform("embedding", lambda x: x * 2).alias("embedding"))
+    return vs.merge_vectors(e.where("label < 5").select("vec_id", "embedding"), twice, "vec_id").select("vec_id", F.round(F.col("embedding")[0].cast("double"), 6).alias("x"))
+
+
+@query("""WITH n AS (SELECT o_orderkey AS doc_id, o_totalprice, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders) SELECT doc_id, o_totalprice AS bm25_score FROM n WHERE r <= 5 OR (r BETWEEN 11 AND 15)""")
+def u9_backfill(spark, sf):
+    rows = table(spark, sf, "orders").select(F.col("o_orderkey").alias("doc_id"), F.col("o_totalprice").alias("bm25_score"))
+    best = rows.orderBy(F.desc("bm25_score"), "doc_id")
+    return rerank.backfill(best.limit(5), best.offset(10).limit(50), 10)
+
+
+# --- further relations ---------------------------------------------------------------
+
+
+@query("SELECT event_id, floor(epoch(ts))::BIGINT AS seconds, (props ->> '$.k')::INTEGER AS k, greatest(0, value - 50) AS clamped FROM events")
+def f18_event_values(spark, sf):
+    k = F.get_json_object("props", "$.k").cast("int")
+    return table(spark, sf, "events").select("event_id", F.unix_timestamp("ts").alias("seconds"), k.alias("k"), ix.clamp(F.col("value") - 50).alias("clamped"))
+
+
+@query("SELECT s_suppkey, greatest(0, s_acctbal) AS clamped FROM supplier")
+def f19_clamped(spark, sf):
+    return table(spark, sf, "supplier").select("s_suppkey", ix.clamp(F.col("s_acctbal")).alias("clamped"))
+
+
+@query("SELECT conv_id * 1000 + turn AS id, text FROM conversations WHERE role = 'user' UNION ALL SELECT item_id, text FROM benchmark")
+def s30_train_and_test(spark, sf):
+    a = table(spark, sf, "conversations").where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
+    return a.unionByName(table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), "text"))
+
+
+@query("SELECT 'orders' AS child, count(DISTINCT o_custkey) FILTER (o_custkey NOT IN (SELECT c_custkey FROM customer)) AS missing FROM orders UNION ALL SELECT 'lineitem', count(DISTINCT l_partkey) FILTER (l_partkey NOT IN (SELECT p_partkey FROM part)) FROM lineitem")
+def s5_reference_check(spark, sf):
+    a = dump.orphans(table(spark, sf, "orders"), "o_custkey", table(spark, sf, "customer"), "c_custkey").agg(F.count("*").alias("missing")).select(F.lit("orders").alias("child"), "missing")
+    b = dump.orphans(table(spark, sf, "lineitem"), "l_partkey", table(spark, sf, "part"), "p_partkey").agg(F.count("*").alias("missing")).select(F.lit("lineitem").alias("child"), "missing")
+    return a.unionByName(b)
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 50")
+def t8_top_by_metadata(spark, sf):
+    return table(spark, sf, "orders").select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(50)
+
+
+@query("SELECT DISTINCT p_type AS tag FROM part WHERE p_type IS NOT NULL")
+def s34_distinct_tags(spark, sf):
+    return table(spark, sf, "part").select(F.col("p_type").alias("tag")).dropna().distinct()

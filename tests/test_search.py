@@ -43,6 +43,7 @@ def test_parser():
     assert parse("(a OR b) AND c") == And(Or(a, b), c) and parse("a OR b AND c") == Or(a, And(b, c))
     assert parse("NOT NOT a") == Not(Not(a)) and parse("a b") == And(a, b) and parse('"x y" OR a') == Or(Phrase("x y"), a)
     assert parse("") == parse(None) == Nothing() and parse("AND a") == And(Nothing(), a) and parse("((a") == a and parse("a) b") == And(a, b)
+    assert parse("a b OR c d", True) == Or(b, Term("d")) and parse("a b", True) == b
     assert lex("(a OR b)AND c") == ["(", "a", "OR", "b", ")", "AND", "c"] and len(FreeText.of(["x"] * 50).words) == 20
 
 
@@ -107,6 +108,14 @@ def test_bm25(index, words, floor):
     assert got == sorted(got, key=lambda x: (-x[1], x[0]))
 
 
+def test_bm25_by_shard(index):
+    whole = Index(index.docs.withColumn("shard", F.lit(None).cast("string")), index.postings, index.terms, index.stats)
+    got = {r["doc_id"]: r["bm25_score"] for r in ranking.search_by_shard(whole, ["red", "cat", "sun"], "shard", floor=10).collect()}
+    want = brute_bm25(["red", "cat", "sun"], floor=10)
+    assert got.keys() == want.keys() and all(abs(want[i] - got[i]) < 1e-9 for i in want)
+    assert ranking.search_by_shard(whole, ["nowhere"], "shard").count() == 0
+
+
 def test_bm25_of_no_documents(spark):
     i = Index.build(spark.createDataFrame([], "doc_id long, text string"))
     assert ranking.search(i, ["red"]).count() == 0 and boolean.Evaluator(i).run("red").count() == 0
