@@ -21,8 +21,8 @@ from quern.functions.stem import stem
 #: Words, for the plain analyser: runs of letters and digits.
 SEPARATORS = r"[^\p{L}\p{N}]+"
 LINK = r"^(?:https?://\S|www\.\S|[A-Za-z0-9_.+-]+@[A-Za-z0-9-]+\.[A-Za-z0-9.-])"
-CONTRACTION = r"(\b\w+)'(\w+\b)"
-CAMEL = r"(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])"
+CONTRACTION = r"(?<=\w)'(?=\w)"
+CAMEL = r"(?<=\p{Ll})(?=\p{Lu})|(?<=\p{Lu})(?=\p{Lu}\p{Ll})"
 MARKS = r"[^\p{L}\p{N}_\s]+"
 #: A short general list; a deployment passes its own by ``read_stop_words``.
 STOP_WORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "to", "was", "were", "will", "with")
@@ -86,7 +86,7 @@ def raw_tokens(text: Column, config: Analyzer = Analyzer()) -> Column:
     if config.links == "remove":
         out = F.filter(out, lambda t: ~t.rlike(LINK))
     if config.contractions == "join":
-        out = F.transform(out, lambda t: F.regexp_replace(t, CONTRACTION, "$1$2"))
+        out = F.transform(out, lambda t: F.regexp_replace(t, CONTRACTION, ""))
     elif config.contractions == "remove":
         out = F.filter(out, lambda t: ~t.rlike(CONTRACTION))
     if config.digits == "remove":

@@ -27,7 +27,7 @@ def plain_idf(n: Column, df: Column) -> Column:
 
 
 def smooth_idf(n: Column, df: Column) -> Column:
-    return F.log((n - df + 0.5) / (df + 0.5) + 1)
+    return F.log1p((n - df + 0.5) / (df + 0.5))
 
 
 def search(index: Index, query: Sequence[str] | FreeText, limit: int = 100_000, k1: float = K1, b: float = B, keep: int = KEEP_TERMS, floor: int = FLOOR, prune: bool = True) -> DataFrame:

@@ -11,7 +11,7 @@ from quern.functions.text import split_tags
 from quern.functions.vectors import cosine, min_max
 from quern.session import checked_join
 
-WEIGHTS = {"score": 1.5, "viewcount": 1.2, "creationdate": 1.5, "userreputation": 1.5}
+WEIGHTS = {"viewcount": 1.2, **dict.fromkeys(("userreputation", "creationdate", "score"), 1.5)}
 FUSION = (0.0, 0.6, 0.4)
 DEPTH = 200
 
@@ -73,8 +73,8 @@ def parse_clusters(lines: Sequence[str]) -> list[tuple[int, str]]:
 
     out, current = [], None
     for line in lines:
-        if m := re.match(r"Cluster (\d+) \(\d+ tags\):", line.strip()):
-            current = int(m[1])
+        if m := re.match(r"Cluster\s+(?P<number>[0-9]+)\s.*:$", line.strip()):
+            current = int(m["number"])
         elif current is not None and line.strip():
             out += [(current, t.strip()) for t in line.split(",") if t.strip()]
     return out
@@ -133,6 +133,6 @@ def backfill(results: DataFrame, more: DataFrame, size: int) -> DataFrame:
 def score_subset(results: DataFrame, today: str, weights: Mapping[str, float] | None = None) -> DataFrame:
     """The offline form: fields are normalised within the retrieved rows, with
     the age in days in the place of the date."""
-    weights = weights or {"score": 1.5, "viewcount": 1.2, "userreputation": 1.5, "days_since_creation": 1.5}
+    weights = weights or {"viewcount": 1.2, **dict.fromkeys(("days_since_creation", "userreputation", "score"), 1.5)}
     aged = results.withColumn("days_since_creation", F.datediff(F.lit(today).cast("date"), F.col("creationdate").cast("date")))
     return add_metadata_score(aged, weights=weights).orderBy(F.desc("metadata_score"), "doc_id")

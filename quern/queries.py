@@ -61,7 +61,7 @@ def r6(c):
     return F.round(c, 6)
 
 
-# --- index -----------------------------------------------------------------
+# index
 
 
 @query(f"{BASE} SELECT term, doc_id, tf, array_to_string(ps, ',') AS positions FROM post")
@@ -178,7 +178,7 @@ def i_forward_index(spark, sf):
     return index_of(spark, sf).forward().withColumn("terms", F.array_join(line, " "))
 
 
-# --- ranked retrieval --------------------------------------------------------
+# ranked retrieval
 
 _BM = "idf * tf * ({k1} + 1) / (tf + {k1} * (1 - 0.75 + 0.75 * dl / mean))"
 _HITS = f"""{BASE}, q AS (SELECT term, ln((n - df + 0.5) / (df + 0.5)) AS idf FROM terms, stats WHERE term IN {WORDS}),
@@ -197,7 +197,7 @@ def bm_a_search(spark, sf):
 
 
 @query(f"""{BASE}, q(term, times) AS (VALUES ('ersh', 1), ('the', 2), ('of', 1)),
-h AS (SELECT doc_id, times * {_BM.replace('idf', 'ln((n - df + 0.5) / (df + 0.5) + 1)').format(k1=1.5)} AS s FROM post JOIN q USING (term) JOIN terms USING (term) JOIN lens USING (doc_id), stats)
+h AS (SELECT doc_id, times * {_BM.replace('idf', 'ln(1 + (n - df + 0.5) / (0.5 + df))').format(k1=1.5)} AS s FROM post JOIN q USING (term) JOIN terms USING (term) JOIN lens USING (doc_id), stats)
 SELECT doc_id, round(sum(s), 6) AS bm25_score FROM h GROUP BY doc_id ORDER BY sum(s) DESC, doc_id LIMIT 50""")
 def bm_b_search(spark, sf):
     words = ["ersh", "the", "of", "the"]
@@ -217,7 +217,7 @@ def bm_many_queries(spark, sf):
     return found.where("rank <= 10").select("query_id", "doc_id", "bm25_score")
 
 
-# --- Boolean retrieval -------------------------------------------------------
+# Boolean retrieval
 
 
 @query(f"{BASE} SELECT doc_id, max(tf) FILTER (term = 'the') AS tf FROM post WHERE term IN {WORDS} GROUP BY doc_id HAVING count(*) = 3")
@@ -271,14 +271,14 @@ def q_proximity(spark, sf):
     return boolean.Evaluator(index_of(spark, sf, ["ersh", "the"])).run("#3(ersh, the)")
 
 
-# --- analysis ----------------------------------------------------------------
+# analysis
 
 _STOPS = "[" + ", ".join(f"'{w}'" for w in text.STOP_WORDS) + "]"
 
 
 @query(rf"""WITH src AS (SELECT doc_id, strip_accents(replace(text, ' the ', ' www.a.b fooBarHTTPServer snake_case x1y2 don''t me@b.de ')) AS t FROM documents),
 kept AS (SELECT doc_id, array_to_string(list_filter(regexp_split_to_array(t, '\s+'), lambda x: x <> '' AND NOT regexp_matches(x, '^(https?://\S|www\.\S|[A-Za-z0-9_.+-]+@[A-Za-z0-9-]+\.[A-Za-z0-9.-])')), ' ') AS t FROM src),
-cut AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '(\b\w+)''(\w+\b)', '\1\2', 'g'), '[0-9]+', ' ', 'g'), '[^\p{{L}}\p{{N}}_\s]+', ' ', 'g'), '_+', ' ', 'g') AS t FROM kept),
+cut AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '(\w)''(\w)', '\1\2', 'g'), '[0-9]+', ' ', 'g'), '[^\p{{L}}\p{{N}}_\s]+', ' ', 'g'), '_+', ' ', 'g') AS t FROM kept),
 camel AS (SELECT doc_id, regexp_replace(regexp_replace(t, '([a-z])([A-Z])', '\1 \2', 'g'), '([A-Z])([A-Z][a-z])', '\1 \2', 'g') AS t FROM cut),
 toks AS (SELECT doc_id, list_filter(regexp_split_to_array(t, '\s+'), lambda x: x <> '') AS l FROM camel),
 rows AS (SELECT doc_id, unnest(l) AS raw, unnest(generate_series(0, len(l) - 1)) AS pos FROM toks)
@@ -325,7 +325,7 @@ def p14_snippets(spark, sf):
     return table(spark, sf, "documents").select("doc_id", text.snippet(words).alias("snippet"))
 
 
-# --- relations ---------------------------------------------------------------
+# relations
 
 
 @query("SELECT o_orderkey, c_name, o_totalprice FROM orders JOIN customer ON o_custkey = c_custkey")
@@ -403,7 +403,7 @@ def s31_training_text(spark, sf):
     return dump.training_text(rows)
 
 
-# --- ranking after retrieval ---------------------------------------------------
+# ranking after retrieval
 
 _NORM = "CASE WHEN max({c}) OVER () > min({c}) OVER () THEN ({c} - min({c}) OVER ()) / (max({c}) OVER () - min({c}) OVER ()) ELSE 0 END"
 _META = """d AS (SELECT o_orderkey AS doc_id, o_totalprice AS score, greatest(c_acctbal, 0) AS viewcount, epoch(o_orderdate)::BIGINT AS creationdate, c_nationkey AS userreputation FROM orders JOIN customer ON o_custkey = c_custkey)"""
@@ -466,7 +466,7 @@ def t6_date_page(spark, sf):
     return rerank.page(rerank.sort_by_date(rows, "newest"), 2, 10).select(F.col("doc_id").alias("o_orderkey"))
 
 
-# --- vectors -------------------------------------------------------------------
+# vectors
 
 _Q = [round(math.sin(i * 1.7) / 8, 6) for i in range(64)]
 _QL = "[" + ", ".join(f"{x!r}" for x in _Q) + "]::DOUBLE[]"
@@ -518,7 +518,7 @@ def v1_embedded_texts(spark, sf):
     return vs.embed_texts(table(spark, sf, "benchmark"), id_col="item_id").select("item_id", F.size("embedding").alias("dim"), r6(vectors.norm(F.col("embedding"))).alias("norm"))
 
 
-# --- evaluation ------------------------------------------------------------------
+# evaluation
 
 _DT = """dt AS (SELECT DISTINCT conv_id AS query_id, conv_id * 1000 + turn AS doc_id, unnest(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')) AS term FROM conversations),
 dn AS (SELECT query_id, doc_id, term, count(*) AS tf FROM (SELECT conv_id AS query_id, conv_id * 1000 + turn AS doc_id, unnest(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')) AS term FROM conversations) GROUP BY ALL)"""
@@ -610,7 +610,7 @@ def f17_jaccard(spark, sf):
     return pairs.select(F.col("a.item_id").alias("a"), F.col("b.item_id").alias("b"), r6(vectors.jaccard(F.col("a.ts"), F.col("b.ts"))).alias("jaccard"))
 
 
-# --- further analysis ------------------------------------------------------------
+# further analysis
 
 
 @query(r"WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(trim(lower(coalesce(text, ''))), '\s+'), lambda x: x <> '') AS ws FROM documents) SELECT term, count(*) AS cf, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest(ws) AS term FROM t) GROUP BY term")
@@ -650,7 +650,7 @@ def x1_link_text(spark, sf):
     return rows.where(F.length(full) >= F.length("b.text") + F.length("b.href")).select("page_id", F.col("b.href").alias("link"))
 
 
-# --- further retrieval -------------------------------------------------------------
+# further retrieval
 
 _SHARDED = f"""{BASE}, p AS (SELECT post.doc_id, doc_id // 250 AS shard, term, tf, dl FROM post JOIN lens USING (doc_id) WHERE term IN {WORDS}),
 f AS (SELECT shard, term, ln((any_value(n) - count(*) + 0.5) / (count(*) + 0.5)) AS idf, any_value(mean) AS mean FROM p, stats GROUP BY ALL),
@@ -717,7 +717,7 @@ def u9_backfill(spark, sf):
     return rerank.backfill(best.limit(5), best.offset(10).limit(50), 10)
 
 
-# --- further relations ---------------------------------------------------------------
+# further relations
 
 
 @query("SELECT event_id, floor(epoch(ts))::BIGINT AS seconds, (props ->> '$.k')::INTEGER AS k, greatest(0, value - 50) AS clamped FROM events")

@@ -9,6 +9,7 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,7 +76,7 @@ def ship_code(spark: SparkSession) -> None:
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
-    here = os.path.dirname(os.path.abspath(__file__))
+    here = str(Path(__file__).resolve().parent)
     buf = io.BytesIO()
     with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
         for folder, _, files in os.walk(here):

@@ -117,8 +117,7 @@ def test_text_form_of_an_index(spark, tmp_path):
     docs = spark.createDataFrame([(1, "a b a"), (-2, "b c"), (3, None)], "doc_id long, text string")
     i = Index.build(docs)
     textindex.write_index(i, f"{tmp_path}/t")
-    with open(f"{tmp_path}/t/index/bad.txt", "w") as f:
-        f.write("broken line\n\tnot:a,posting\n")
+    (tmp_path / "t" / "index" / "bad").write_text("broken line\n\tnot:a,posting\n")
     back = {(r["term"], r["doc_id"], tuple(r["positions"])) for r in textindex.read_index(spark, f"{tmp_path}/t").collect()}
     assert back == {("a", 1, (0, 2)), ("b", 1, (1,)), ("b", -2, (0,)), ("c", -2, (1,))}
 
