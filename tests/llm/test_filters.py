@@ -13,7 +13,7 @@ from quern.llm import langid, quality
 SF = "/root/testdata/sf0.01"
 
 
-# 2 ---------------------------------------------------------------------------
+# 2
 
 
 @pytest.fixture(scope="module")
@@ -61,7 +61,7 @@ def test_language_edges(docs, empty, clashing, corpus):
     assert none.languages == [] and all(r["rejected"] for r in langid.identify(docs, none).collect())
 
 
-# 3 ---------------------------------------------------------------------------
+# 3
 
 
 def brute_figures(text):

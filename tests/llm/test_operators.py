@@ -13,7 +13,7 @@ from quern.llm.words import words_of
 PLAIN = "byte_bpe_50k.tiktoken"
 
 
-# 1 ---------------------------------------------------------------------------
+# 1
 
 
 def test_fingerprint_collisions_follow_weighted_jaccard():
@@ -42,7 +42,7 @@ def test_fingerprints_edges(docs, empty, clashing):
     assert sorted(map(str, fingerprints.fingerprint_documents(clashing).collect())) == sorted(map(str, fingerprints.fingerprint_documents(docs).collect()))
 
 
-# 4 ---------------------------------------------------------------------------
+# 4
 
 
 def brute_urls(url):
@@ -67,7 +67,7 @@ def test_urls_match_brute_force(spark):
         urls.filter_urls(df, {"a": 1.0}, {"a": 1.0})
 
 
-# 5 ---------------------------------------------------------------------------
+# 5
 
 
 def reference_encoding(name=PLAIN):
@@ -113,7 +113,7 @@ def test_bpe_decoding_of_bad_ids(spark):
     assert {r["doc_id"]: r["text"] for r in bpe.decode_documents(df).collect()} == {1: None, 2: None, 3: "", 4: None}
 
 
-# 6 ---------------------------------------------------------------------------
+# 6
 
 
 def test_counts_match_brute_force(spark, docs, empty, clashing):
@@ -150,7 +150,7 @@ def test_ledger_commits_once_and_survives_torn_batches(spark, tmp_path):
         ledger.commit("../x", rows)
 
 
-# 7 ---------------------------------------------------------------------------
+# 7
 
 
 def test_licenses(spark, docs, empty, clashing):
@@ -177,7 +177,7 @@ def test_licenses_match_brute_force(spark):
     assert want <= got and {(i, n) for i, n, _, _ in got} - {(i, n) for i, n, _, _ in want} == set()
 
 
-# 8 ---------------------------------------------------------------------------
+# 8
 
 
 def test_mixing_reaches_its_weights(spark, empty):
@@ -214,7 +214,7 @@ def test_mixing_draws_poisson_quantiles(spark, docs, empty, clashing):
     assert mixing.mix_sources(docs, copy_col=None).columns == docs.columns
 
 
-# 10 --------------------------------------------------------------------------
+# 10
 
 
 def places(df, topology=sharding.TOPOLOGY):
