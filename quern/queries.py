@@ -279,7 +279,7 @@ _STOPS = "[" + ", ".join(f"'{w}'" for w in text.STOP_WORDS) + "]"
 @query(rf"""WITH src AS (SELECT doc_id, strip_accents(replace(text, ' the ', ' www.a.b fooBarHTTPServer snake_case x1y2 don''t me@b.de ')) AS t FROM documents),
 kept AS (SELECT doc_id, array_to_string(list_filter(regexp_split_to_array(t, '\s+'), lambda x: x <> '' AND NOT regexp_matches(x, '^(https?://\S|www\.\S|[A-Za-z0-9_.+-]+@[A-Za-z0-9-]+\.[A-Za-z0-9.-])')), ' ') AS t FROM src),
 cut AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '(\w)''(\w)', '\1\2', 'g'), '[0-9]+', ' ', 'g'), '[^\p{{L}}\p{{N}}_\s]+', ' ', 'g'), '_+', ' ', 'g') AS t FROM kept),
-camel AS (SELECT doc_id, regexp_replace(regexp_replace(t, '([a-z])([A-Z])', '\1 \2', 'g'), '([A-Z])([A-Z][a-z])', '\1 \2', 'g') AS t FROM cut),
+camel AS (SELECT doc_id, regexp_replace(regexp_replace(t, '(\p{{Ll}})(\p{{Lu}})', '\1 \2', 'g'), '(\p{{Lu}})(\p{{Lu}}\p{{Ll}})', '\1 \2', 'g') AS t FROM cut),
 toks AS (SELECT doc_id, list_filter(regexp_split_to_array(t, '\s+'), lambda x: x <> '') AS l FROM camel),
 rows AS (SELECT doc_id, unnest(l) AS raw, unnest(generate_series(0, len(l) - 1)) AS pos FROM toks)
 SELECT lower(raw) AS term, count(*) AS n, sum(pos)::BIGINT AS places FROM rows WHERE NOT list_contains({_STOPS}, lower(raw)) GROUP BY 1""")
