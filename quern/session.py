@@ -84,12 +84,11 @@ def ship_code(spark: SparkSession) -> None:
                 if f.endswith(".py"):
                     full = os.path.join(folder, f)
                     z.write(full, os.path.join("quern", os.path.relpath(full, here)))
-    folder = tempfile.mkdtemp(prefix="quern-ship-")
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    out = os.path.join(folder, f"quern_{app.replace('-', '_')}.zip")
-    with open(out, "wb") as f:
-        f.write(buf.getvalue())
-    spark.sparkContext.addPyFile(out)
+    fs, at = filesystem(spark, f"{scratch_path(spark, 'code')}/quern_{app.replace('-', '_')}.zip")
+    out = fs.create(at, True)
+    out.write(buf.getvalue())
+    out.close()
+    spark.sparkContext.addPyFile(fs.makeQualified(at).toString())
     _shipped.add(app)
     # whole texts are long: smaller Arrow batches, unless the session says otherwise
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
