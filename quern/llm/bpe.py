@@ -31,7 +31,7 @@ VOCABULARIES = "/opt/tokenizers"
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _FIRST = "\x00"
 _ENDS = frozenset(".,;:!?")
-_SLICE = 4_000_000
+_SLICE = 1_000_000
 
 
 class Merges:
