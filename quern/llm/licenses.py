@@ -5,7 +5,8 @@ document frequency over all scanned documents. A file's rarest license words
 are looked up in the index; each common occurrence votes for a (template,
 shift between positions), and templates whose rare words agree on one shift
 become candidates. A candidate counts if its mandatory key phrases stand in the
-file where the shift puts them.
+file where the shift puts them. A file that lacks a word of every template's
+phrases can have no license, so only the others are looked up.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.chunks import ChunkPool, segments, slices, text_array
-from quern.session import ship_code
+from quern.session import materialize, ship_code
 
 _WORD = re.compile(r"[^\W_]+(?:\.[0-9]+)*").findall
 #: A file's rarest license words that are looked up.
@@ -90,8 +91,21 @@ class Index:
                     raise ValueError(f"{template.name}: its text lacks the phrase {p!r}")
                 own.append((at, [self.code[w] for w in ws]))
             self.phrases.append(own)
-        #: each template's rarest words, most votes that a shift can get
-        self.most = [len(set(ws)) for ws in self.words]
+        #: words that a file must have for the template to count
+        self.needed = [np.unique([c for _, ws in own for c in ws]).astype(np.int64) for own in self.phrases]
+
+    def eligible(self, codes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which words each file has, and which files have all the words that
+        some template needs."""
+        size, n = len(self.vocabulary), len(offsets) - 1
+        hit = codes >= 0
+        present = np.zeros(n * size, bool)
+        present[segments(offsets)[hit] * size + codes[hit]] = True
+        present = present.reshape(n, size)
+        some = np.zeros(n, bool)
+        for needed in self.needed:
+            some |= present[:, needed].all(1)
+        return present, some
 
     def pool(self) -> ChunkPool:
         get = self.code.get
@@ -105,11 +119,13 @@ class Index:
         own = codes[at]
         present = np.unique(own)
         top = sorted(present.tolist(), key=lambda c: (-idf[c], c))[:rare]
+        have = set(present.tolist())
+        open_to = {t for t, needed in enumerate(self.needed) if have.issuperset(needed.tolist())}
         votes: dict[tuple[int, int], set[int]] = {}
         for c in top:
             places = at[own == c].tolist()
             for t, inner in self.postings[c]:
-                for p in places:
+                for p in places if t in open_to else ():
                     votes.setdefault((t, p - inner), set()).add(c)
         found: dict[tuple[str, int], tuple[float, int, int]] = {}
         rarest = set(top)
@@ -156,24 +172,26 @@ def _coded(index: Index, batches: Iterator[pa.RecordBatch]):
             yield batch.slice(a, b - a), codes, offsets
 
 
-def document_frequencies(df: DataFrame, index: Index, text_col: str = "text") -> tuple[int, list[int]]:
-    """Number of documents, and of those with each license word, over all rows.
-    What comes to the driver is one number per word of the templates."""
-    ship_code(df.sparkSession)
+def _encode(df: DataFrame, index: Index, id_col: str, text_col: str) -> DataFrame:
+    """One pass over whole texts: files that may have a license as (id, codes),
+    and each task's document frequencies as (code, n), code -1 for all files."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = len(index.vocabulary)
-        total, seen = 0, np.zeros(size, np.int64)
-        for _, codes, offsets in _coded(index, batches):
-            total += len(offsets) - 1
-            hit = codes >= 0
-            pairs = np.unique(segments(offsets)[hit] * size + codes[hit])
-            seen += np.bincount(pairs % size, minlength=size)
-        yield pa.RecordBatch.from_arrays([pa.array([-1, *range(size)], pa.int32()), pa.array([total, *seen.tolist()], pa.int64())], ["code", "n"])
+        total, seen, kind = 0, np.zeros(size, np.int64), None
+        for rows, codes, offsets in _coded(index, batches):
+            kind = rows.column("id").type
+            present, some = index.eligible(codes, offsets)
+            total += len(present)
+            seen += present.sum(0)
+            at = np.flatnonzero(some)
+            raw = [codes[offsets[i] : offsets[i + 1]].astype(np.int16).tobytes() for i in at]
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(at), pa.int32()), pa.nulls(len(at), pa.int64()), rows.column("id").take(pa.array(at)), pa.array(raw, pa.binary())], ["code", "n", "id", "codes"])
+        if kind is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([-1, *range(size)], pa.int32()), pa.array([total, *seen.tolist()], pa.int64()), pa.nulls(size + 1, kind), pa.nulls(size + 1, pa.binary())], ["code", "n", "id", "codes"])
 
-    parts = df.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "code int, n bigint")
-    sums = {r["code"]: r["n"] for r in parts.groupBy("code").agg(F.sum("n").alias("n")).collect()}
-    return sums.get(-1, 0), [sums.get(i, 0) for i in range(len(index.vocabulary))]
+    slim = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    return slim.mapInArrow(run, f"code int, n bigint, id {slim.schema['id'].dataType.simpleString()}, codes binary")
 
 
 def scan_licenses(df: DataFrame, templates: Sequence[Template] = TEMPLATES, rare: int = RARE, slack: int = SLACK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -184,25 +202,27 @@ def scan_licenses(df: DataFrame, templates: Sequence[Template] = TEMPLATES, rare
     words from 0, ``rare_words`` are the looked-up words that agree on the
     place, ``in_place`` is the share of the template's words that stand where
     they should. Null and empty texts have no license. Equal rarity is ordered
-    by word. Further columns are left out. Two passes over whole texts, the
-    first for the document frequencies; no shuffle but of those counts.
+    by word. Further columns are left out. One pass over whole texts counts
+    document frequencies and writes the words of files that may have a license
+    to the shared folder; no shuffle but of those counts.
     """
+    ship_code(df.sparkSession)
     index = Index(templates)
-    total, seen = document_frequencies(df, index, text_col)
-    idf = [math.log((1 + total) / (1 + n)) for n in seen]
+    encoded = materialize(_encode(df, index, id_col, text_col), "license-words")
+    sums = {r["code"]: r["n"] for r in encoded.where("code IS NOT NULL").groupBy("code").agg(F.sum("n").alias("n")).collect()}
+    idf = [math.log((1 + sums.get(-1, 0)) / (1 + sums.get(i, 0))) for i in range(len(index.vocabulary))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, codes, offsets in _coded(index, batches):
+        for batch in batches:
             at, out = [], []
-            hits = np.unique(segments(offsets)[codes >= 0])
-            for i in hits.tolist():
-                for match in index.scan(codes[offsets[i] : offsets[i + 1]], idf, rare, slack):
+            for i, raw in enumerate(batch.column("codes").to_pylist()):
+                for match in index.scan(np.frombuffer(raw, np.int16), idf, rare, slack):
                     at.append(i)
                     out.append(match)
             cols = list(zip(*out)) or [()] * 4
             kinds = (pa.string(), pa.int64(), pa.int32(), pa.float64())
-            yield pa.RecordBatch.from_arrays([rows.column("id").take(pa.array(at, pa.int64())), *(pa.array(c, k) for c, k in zip(cols, kinds))], ["id", "license", "first_word", "rare_words", "in_place"])
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(at, pa.int64())), *(pa.array(c, k) for c, k in zip(cols, kinds))], ["id", "license", "first_word", "rare_words", "in_place"])
 
-    slim = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    kind = slim.schema["id"].dataType.simpleString()
-    return slim.mapInArrow(run, f"id {kind}, license string, first_word bigint, rare_words int, in_place double").withColumnRenamed("id", id_col)
+    files = encoded.where("codes IS NOT NULL").select("id", "codes")
+    kind = files.schema["id"].dataType.simpleString()
+    return files.mapInArrow(run, f"id {kind}, license string, first_word bigint, rare_words int, in_place double").withColumnRenamed("id", id_col)
