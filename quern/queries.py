@@ -18,7 +18,7 @@ from quern.operators import vectors as vs
 from quern.operators.index import Index
 from quern.plans.query import parse
 from quern.search import Options, Search
-from quern.session import scratch_path
+from quern.session import scratch_path, spread
 from quern.sources import dump, textindex
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,7 +50,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def docs_of(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", "text")
+    return spread(table(spark, sf, "documents").select("doc_id", "text"))
 
 
 def index_of(spark: SparkSession, sf: str, only=None) -> Index:
@@ -285,7 +285,7 @@ rows AS (SELECT doc_id, unnest(l) AS raw, unnest(generate_series(0, len(l) - 1))
 SELECT lower(raw) AS term, count(*) AS n, sum(pos)::BIGINT AS places FROM rows WHERE NOT list_contains({_STOPS}, lower(raw)) GROUP BY 1""")
 def f_analyzer(spark, sf):
     source = F.replace(F.col("text"), F.lit(" the "), F.lit(" www.a.b fooBarHTTPServer snake_case x1y2 don't me@b.de "))
-    docs = table(spark, sf, "documents").select("doc_id", source.alias("text"))
+    docs = docs_of(spark, sf).select("doc_id", source.alias("text"))
     return ix.tokens(docs, text.Analyzer(stemming=False)).groupBy("term").agg(F.count("*").alias("n"), F.sum("pos").alias("places"))
 
 

@@ -211,3 +211,13 @@ def test_rerank_details(spark):
     assert rerank.parse_clusters(["Cluster 3 (2 tags):", "a, b", "", "c"]) == [(3, "a"), (3, "b"), (3, "c")]
     flat = spark.createDataFrame([(1, 1.0, 2.0, 3.0)], "doc_id long, bm25_score double, lm_score double, metadata_score double")
     assert rerank.fuse(flat).first()["final_score"] == 0.0
+
+
+def test_properties(index):
+    ids = lambda q: {r["doc_id"] for r in boolean.Evaluator(index).run(q).collect()}
+    assert ids('"red green blue"') <= ids("red AND green AND blue") and ids('"red green"') <= ids("#1(red, green)")
+    assert ids("#1(red, sun)") <= ids("#2(red, sun)") <= ids("#5(red, sun)") <= ids("red AND sun")
+    assert {r["doc_id"] for r in boolean.Evaluator(index, any_pair=True).run('"red green blue"').collect()} >= ids('"red green blue"')
+    df = {r["term"]: r["df"] for r in index.terms.collect()}
+    assert df == {r["term"]: r["n"] for r in index.postings.groupBy("term").agg(F.count("*").alias("n")).collect()}
+    assert index.postings.where(F.col("tf") != F.size("positions")).count() == 0
