@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quern.llm import bpe, counts, fingerprints, join, langid, licenses, mixing, quality, sharding, urls
+from quern.session import spread
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
