@@ -1,12 +1,14 @@
 """Operator 7: license scan by a positional index of rare words.
 
 Templates are indexed by word and position. A word's rarity is its inverse
-document frequency over all scanned documents. A file's rarest license words
-are looked up in the index; each common occurrence votes for a (template,
-shift between positions), and templates whose rare words agree on one shift
-become candidates. A candidate counts if its mandatory key phrases stand in the
-file where the shift puts them. A file that lacks a word of every template's
-phrases can have no license, so only the others are looked up.
+document frequency over all scanned documents. Of each template whose phrases'
+words are all in the file, its own rarest words and its phrases' words are
+looked up; each occurrence votes for a shift between positions, and shifts on
+which words agree become candidates. A candidate counts if the mandatory key
+phrases stand in the file where the shift puts them. The words of a phrase
+agree wherever it stands, so no notice is lost to others in the same file. A
+file that lacks a word of every template's phrases can have no license, so only
+the others are looked up.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from quern.llm.chunks import ChunkPool, segments, slices, text_array
 from quern.session import materialize, ship_code
 
 _WORD = re.compile(r"[^\W_]+(?:\.[0-9]+)*").findall
-#: A file's rarest license words that are looked up.
+#: A template's rarest words that are looked up, beside its phrases' words.
 RARE = 24
 #: How far key phrases may stand from where the shift puts them, in words.
 SLACK = 6
@@ -77,10 +79,11 @@ class Index:
         self.words = [words(t.text) for t in templates]
         self.vocabulary = sorted({w for ws in self.words for w in ws})
         self.code = {w: i for i, w in enumerate(self.vocabulary)}
-        self.postings: list[list[tuple[int, int]]] = [[] for _ in self.vocabulary]
+        #: positions of each word, by template
+        self.postings: list[dict[int, list[int]]] = [{} for _ in templates]
         for t, ws in enumerate(self.words):
             for at, w in enumerate(ws):
-                self.postings[self.code[w]].append((t, at))
+                self.postings[t].setdefault(self.code[w], []).append(at)
         self.phrases = []
         for t, template in enumerate(templates):
             own = []
@@ -112,41 +115,44 @@ class Index:
         return ChunkPool(lambda cs: [[get(w, -1) for w in _WORD(c.lower())] for c in cs], np.int32, limit=400_000)
 
     def scan(self, codes: np.ndarray, idf: Sequence[float], rare: int = RARE, slack: int = SLACK) -> list[tuple[str, int, int, float]]:
-        """Licenses of one file: (name, first word, rare words that agree,
+        """Licenses of one file: (name, first word, looked-up words that agree,
         share of the template's words in place). ``codes`` has a vocabulary
         code, or -1, for every word of the file."""
         at = np.flatnonzero(codes >= 0)
         own = codes[at]
-        present = np.unique(own)
-        top = sorted(present.tolist(), key=lambda c: (-idf[c], c))[:rare]
-        have = set(present.tolist())
-        open_to = {t for t, needed in enumerate(self.needed) if have.issuperset(needed.tolist())}
-        votes: dict[tuple[int, int], set[int]] = {}
-        for c in top:
-            places = at[own == c].tolist()
-            for t, inner in self.postings[c]:
-                for p in places if t in open_to else ():
-                    votes.setdefault((t, p - inner), set()).add(c)
+        order = np.argsort(own, kind="stable")
+        present, first = np.unique(own[order], return_index=True)
+        places = dict(zip(present.tolist(), np.split(at[order], first[1:])))
         found: dict[tuple[str, int], tuple[float, int, int]] = {}
-        rarest = set(top)
-        for (t, shift), agreed in votes.items():
-            need = min(2, len(rarest & set(self.code[w] for w in self.words[t])))
-            if len(agreed) < max(need, 1) or not all(self._stands(codes, shift + p, ws, slack) for p, ws in self.phrases[t]):
+        for t, needed in enumerate(self.needed):
+            if not all(c in places for c in needed.tolist()):
                 continue
-            ws = self.words[t]
-            share = sum(0 <= shift + i < len(codes) and codes[shift + i] == self.code[w] for i, w in enumerate(ws)) / len(ws)
-            key = (self.templates[t].name, max(shift, 0))
-            if key not in found or (share, len(agreed)) > found[key][:2]:
-                found[key] = (share, len(agreed), len(ws))
+            starts = [self._starts(codes, places, ws, idf) for _, ws in self.phrases[t]]
+            if not all(map(len, starts)):
+                continue
+            inner, ws = self.postings[t], self.words[t]
+            looked = {*sorted((c for c in inner if c in places), key=lambda c: (-idf[c], c))[:rare], *needed.tolist()}
+            votes = [np.unique(np.subtract.outer(places[c], inner[c])) for c in looked]
+            shifts, agreed = np.unique(np.concatenate(votes), return_counts=True)
+            good = agreed >= min(2, len(looked))
+            for (p, _), own_starts in zip(self.phrases[t], starts):
+                good &= np.searchsorted(own_starts, shifts + p - slack) < np.searchsorted(own_starts, shifts + p + slack, "right")
+            for shift, n in zip(shifts[good].tolist(), agreed[good].tolist()):
+                share = sum(0 <= shift + i < len(codes) and codes[shift + i] == self.code[w] for i, w in enumerate(ws)) / len(ws)
+                key = (self.templates[t].name, max(shift, 0))
+                if key not in found or (share, n) > found[key][:2]:
+                    found[key] = (share, n, len(ws))
         return self._apart(found)
 
     @staticmethod
-    def _stands(codes: np.ndarray, at: int, phrase: list[int], slack: int) -> bool:
-        n, size = len(codes), len(phrase)
-        for start in range(max(at - slack, 0), min(at + slack, n - size) + 1):
-            if codes[start] == phrase[0] and codes[start : start + size].tolist() == phrase:
-                return True
-        return False
+    def _starts(codes: np.ndarray, places: Mapping[int, np.ndarray], phrase: list[int], idf: Sequence[float]) -> np.ndarray:
+        """Where a phrase stands, in order, from the places of its rarest word."""
+        rarest = max(range(len(phrase)), key=lambda i: idf[phrase[i]])
+        starts = places[phrase[rarest]] - rarest
+        starts = starts[(starts >= 0) & (starts <= len(codes) - len(phrase))]
+        for i, c in enumerate(phrase):
+            starts = starts[codes[starts + i] == c]
+        return starts
 
     @staticmethod
     def _apart(found: Mapping[tuple[str, int], tuple[float, int, int]]) -> list[tuple[str, int, int, float]]:
@@ -200,7 +206,7 @@ def scan_licenses(df: DataFrame, templates: Sequence[Template] = TEMPLATES, rare
     One row per found notice, so a file with several gives several and one
     with none gives none; repeated rows are repeated. ``first_word`` counts
     words from 0, ``rare_words`` are the looked-up words that agree on the
-    place, ``in_place`` is the share of the template's words that stand where
+    place (the template's ``rare`` rarest and those of its phrases), ``in_place`` is the share of the template's words that stand where
     they should. Null and empty texts have no license. Equal rarity is ordered
     by word. Further columns are left out. One pass over whole texts counts
     document frequencies and writes the words of files that may have a license

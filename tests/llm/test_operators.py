@@ -177,6 +177,31 @@ def test_licenses_match_brute_force(spark):
     assert want <= got and {(i, n) for i, n, _, _ in got} - {(i, n) for i, n, _, _ in want} == set()
 
 
+def test_licenses_of_files_with_many_notices(spark):
+    """Every notice of a file that holds all of them, and of pairs and triples,
+    is found where a plain phrase search finds it."""
+    import random
+
+    from quern.llm.licenses import TEMPLATES, words
+
+    def phrase_search(text):
+        ws, out = words(text), set()
+        for t in TEMPLATES:
+            if all(any(ws[i : i + len(p)] == p for i in range(len(ws))) for p in map(words, t.phrases)):
+                out.add(t.name)
+        return out
+
+    rng = random.Random(4)
+    texts = ["\n".join(t.text for t in TEMPLATES), "\n\n".join(f"{prose(i, 40)} {t.text}" for i, t in enumerate(reversed(TEMPLATES)))]
+    texts.append("\n".join(t.text for t in TEMPLATES if t.name in ("BSD", "MIT")) + "\nLicensed under the Apache License, Version 2.0")
+    texts += ["\n".join(t.text for t in rng.sample(TEMPLATES, 2 + i % 7)) for i in range(30)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {}
+    for r in licenses.scan_licenses(df).collect():
+        got.setdefault(r["doc_id"], set()).add(r["license"])
+    assert got == {i: phrase_search(t) for i, t in enumerate(texts)}
+
+
 # 8
 
 
