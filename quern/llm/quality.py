@@ -2,8 +2,9 @@
 
 A public vocabulary with byte fallback tells how a text breaks up: characters
 per token, the share of byte tokens, and the entropy of its tokens. Bands are
-set per language (or script, where the language is unknown) and per length
-class around the median over all documents. A band's width is a multiple of the
+set per language (or script, where the language is unknown or has too few
+documents) and per length class around the median over all documents. A
+document is never judged by a band of all languages together. A band's width is a multiple of the
 spread above the median (median to 84th percentile, a standard deviation of a
 normal law): junk lowers fertility and entropy and so can't widen its own band.
 Short texts, whose figures scatter, get wide bands.
@@ -31,7 +32,10 @@ VOCABULARY = "piece_bpe_32k.model"
 WIDTH = 5.0
 #: A band needs so many documents. A class with fewer is judged by the next
 #: shorter one of its language; without one, fertility isn't judged, and byte
-#: share and entropy are judged by all languages together.
+#: share and entropy are judged by the language's shortest one, made wider. If
+#: no class has enough, all the language's documents are one class. Documents of
+#: languages with fewer in all, and those without a language, are judged by
+#: their script's documents of this kind, and not at all where these are few.
 MIN_DOCS = 30
 #: Least robust deviation of characters per token, byte share and entropy.
 FLOORS = (0.03, 0.01, 0.1)
@@ -49,9 +53,11 @@ def _load(path: str):
 def script_of(text: str) -> str:
     """The script with most letters: the first word of their Unicode names."""
     counts: dict[str, int] = {}
-    for ch, n in zip(*np.unique(list(text), return_counts=True)) if text else ():
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    for point, n in zip(*np.unique(points, return_counts=True)):
+        ch = chr(point)
         if ch.isalpha():
-            name = unicodedata.name(str(ch), "UNKNOWN").split()[0]
+            name = unicodedata.name(ch, "UNKNOWN").split()[0]
             counts[name] = counts.get(name, 0) + int(n)
     return min(counts, key=lambda k: (-counts[k], k)).lower() if counts else "none"
 
@@ -89,11 +95,12 @@ def measure(path: str, texts: pa.Array) -> tuple[np.ndarray, ...]:
     return tokens, pc.utf8_length(texts).to_numpy(zero_copy_only=False).astype(np.int64), fallback, np.maximum(entropy, 0)
 
 
-_FEATURES = (("tokens", "bigint"), ("fertility", "double"), ("byte_share", "double"), ("entropy", "double"), ("band", "string"), ("size_class", "int"))
+_FEATURES = (("tokens", "bigint"), ("fertility", "double"), ("byte_share", "double"), ("entropy", "double"), ("band", "string"), ("size_class", "int"), ("script", "string"))
 
 
 def add_features(df: DataFrame, names: tuple[str, ...], vocabulary: str, folder: str, text_col: str, lang_col: str) -> DataFrame:
-    """All columns of ``df`` and the six features under ``names``."""
+    """All columns of ``df`` and the seven features under ``names``; ``band`` is
+    the language."""
     ship_code(df.sparkSession)
     path = os.path.join(folder, vocabulary)
     text_name, lang_name = fresh_name(df, "__quern_text"), fresh_name(df, "__quern_lang")
@@ -106,11 +113,9 @@ def add_features(df: DataFrame, names: tuple[str, ...], vocabulary: str, folder:
                 texts, lang = whole.slice(a, b - a), langs.slice(a, b - a)
                 tokens, chars, fallback, entropy = measure(path, texts)
                 some = np.maximum(tokens, 1)
-                band = lang.to_pylist()
-                for i in np.flatnonzero(lang.is_null().to_numpy(zero_copy_only=False)):
-                    band[i] = "script:" + script_of(texts[int(i)].as_py())
+                script = [script_of(t) for t in texts.to_pylist()]
                 none = tokens == 0
-                cols = [pa.array(tokens), pa.array(chars / some, mask=none), pa.array(fallback / some, mask=none), pa.array(entropy, mask=none), pa.array(band, pa.string()), pa.array(np.minimum(np.floor(np.log2(some)), LAST_CLASS).astype(np.int32))]
+                cols = [pa.array(tokens), pa.array(chars / some, mask=none), pa.array(fallback / some, mask=none), pa.array(entropy, mask=none), lang.cast(pa.string()), pa.array(np.minimum(np.floor(np.log2(some)), LAST_CLASS).astype(np.int32)), pa.array(script, pa.string())]
                 rows = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in columns), *cols], [*columns, *names])
 
@@ -121,39 +126,53 @@ def add_features(df: DataFrame, names: tuple[str, ...], vocabulary: str, folder:
     return extended.select(*columns, text_name, lang_name).mapInArrow(run, schema)
 
 
+def with_bands(measured: DataFrame, names: tuple[str, ...], min_docs: int = MIN_DOCS) -> DataFrame:
+    """``measured`` with the language as band where it has ``min_docs``
+    documents with tokens, else ``script:`` and the script."""
+    tokens, _, _, _, band, _, script = names
+    known = measured.where(F.col(tokens) > 0).groupBy(F.col(band).alias("__known")).agg(F.count("*").alias("__n")).where(F.col("__n") >= min_docs).select("__known")
+    out = checked_join(measured, known, F.col(band) == F.col("__known"), "left")
+    return out.withColumn(band, F.coalesce("__known", F.concat(F.lit("script:"), F.col(script)))).drop("__known")
+
+
 def bands(features: DataFrame, names: tuple[str, ...], width: float = WIDTH, min_docs: int = MIN_DOCS, floors: tuple[float, ...] = FLOORS) -> DataFrame:
     """Limits per (band, size class): low and high fertility, highest byte
-    share, lowest entropy; the row of null band serves all bands of the class."""
-    tokens, fert, byte, ent, band, cls = names
+    share, lowest entropy. A band with too few documents has no row."""
+    tokens, fert, byte, ent, band, cls, _ = names
     some = features.where(F.col(tokens) > 0).select(fert, byte, ent, band, cls)
-    both = some.unionByName(some.withColumn(band, F.lit(None).cast("string")))
-    quantiles = ((k, F.percentile_approx(c, F.array(F.lit(0.5), F.lit(0.84)), F.lit(2000)).alias(k)) for k, c in (("f", fert), ("b", byte), ("e", ent)))
-    centre = both.groupBy(band, cls).agg(F.count("*").alias("n"), *(q for _, q in quantiles))
-    reach = {k: width * F.greatest(F.col(k)[1] - F.col(k)[0], F.lit(floor)) for k, floor in zip("fbe", floors)}
-    fertility = F.when(F.col(band).isNotNull(), F.col("f")[0])
+    quantiles = [F.percentile_approx(c, F.array(F.lit(0.5), F.lit(0.84)), F.lit(2000)).alias(k) for k, c in (("f", fert), ("b", byte), ("e", ent))]
+    own = some.groupBy(band, cls).agg(F.count("*").alias("n"), *quantiles).where(F.col("n") >= min_docs)
+    # where no class has enough documents all are one, which stands for the longest of them
+    whole = some.groupBy(band).agg(F.max(cls).alias(cls), F.count("*").alias("n"), *quantiles).where(F.col("n") >= min_docs)
+    centre = own.unionByName(whole.join(own.select(F.col(band).alias("__b")).distinct(), F.col(band) == F.col("__b"), "left_anti"))
     # a class without a band of its own takes the next shorter one's, whose limits are wider
-    until = F.coalesce(F.lead(cls).over(Window.partitionBy(band).orderBy(cls)) - 1, F.lit(LAST_CLASS))
-    known = centre.where(F.col("n") >= min_docs).withColumn("until", until).withColumn(cls, F.explode(F.sequence(F.col(cls), F.col("until"))))
+    order = Window.partitionBy(band).orderBy(cls)
+    since = F.when(F.lag(cls).over(order).isNull(), 0).otherwise(F.col(cls))
+    until = F.coalesce(F.lead(cls).over(order) - 1, F.lit(LAST_CLASS))
+    known = centre.withColumn("since", since).withColumn("until", until).withColumn("of", F.col(cls)).withColumn(cls, F.explode(F.sequence("since", "until")))
+    # one without a shorter one takes the shortest: half the tokens scatter by sqrt(2) more and have at most 1 bit less
+    gap = F.greatest(F.col("of") - F.col(cls), F.lit(0))
+    reach = {k: width * F.greatest(F.col(k)[1] - F.col(k)[0], F.lit(floor)) * F.pow(F.lit(2.0), gap / 2) for k, floor in zip("fbe", floors)}
+    fertility = F.when(gap == 0, F.col("f")[0])
     return known.select(
         band, cls, (fertility - reach["f"]).alias("fert_low"), (fertility + reach["f"]).alias("fert_high"),
-        (F.col("b")[0] + reach["b"]).alias("byte_high"), (F.col("e")[0] - reach["e"]).alias("ent_low"),
+        (F.col("b")[0] + reach["b"]).alias("byte_high"), (F.col("e")[0] - gap - reach["e"]).alias("ent_low"),
     )
 
 
 def judge(measured: DataFrame, names: tuple[str, ...], reason: str, **settings) -> DataFrame:
     """``measured`` with column ``reason``: null where the document is kept."""
-    tokens, fert, byte, ent, band, cls = names
-    limits = materialize(bands(measured, names, **settings), "bands")
-    own = limits.where(F.col(band).isNotNull()).select(F.col(band).alias("__b"), F.col(cls).alias("__c"), F.struct("fert_low", "fert_high", "byte_high", "ent_low").alias("__own"))
-    shared = limits.where(F.col(band).isNull()).select(F.col(cls).alias("__c2"), F.struct("fert_low", "fert_high", "byte_high", "ent_low").alias("__shared"))
-    out = checked_join(measured, own, (F.col(band) == F.col("__b")) & (F.col(cls) == F.col("__c")), "left")
-    out = checked_join(out, shared, F.col(cls) == F.col("__c2"), "left")
-    at = F.coalesce("__own", "__shared")
+    tokens, fert, byte, ent, band, cls, _ = names
+    placed = with_bands(measured, names, settings.get("min_docs", MIN_DOCS))
+    limits = materialize(bands(placed, names, **settings), "bands")
+    own = limits.select(F.col(band).alias("__b"), F.col(cls).alias("__c"), F.struct("fert_low", "fert_high", "byte_high", "ent_low").alias("__own"))
+    out = checked_join(placed, own, (F.col(band) == F.col("__b")) & (F.col(cls) == F.col("__c")), "left")
+    at = F.col("__own")
     why = (
         F.when(F.col(tokens) == 0, "empty").when(F.col(fert) < at["fert_low"], "low_fertility").when(F.col(fert) > at["fert_high"], "high_fertility")
         .when(F.col(byte) > at["byte_high"], "byte_fallback").when(F.col(ent) < at["ent_low"], "low_entropy")
     )
-    return out.withColumn(reason, why).drop("__b", "__c", "__own", "__c2", "__shared")
+    return out.withColumn(reason, why).drop("__b", "__c", "__own")
 
 
 def quality_report(df: DataFrame, vocabulary: str = VOCABULARY, folder: str = VOCABULARIES, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **settings) -> DataFrame:
@@ -162,17 +181,21 @@ def quality_report(df: DataFrame, vocabulary: str = VOCABULARY, folder: str = VO
 
     One row per input row, repeated rows included. Fertility is characters per
     token. A null or empty text has 0 tokens, null figures and is rejected as
-    ``empty``. A null language is replaced by ``script:`` and the main script.
-    A value on a limit is kept. A length class with too few documents takes
-    the limits of the next shorter class of its language; if there is none it
-    isn't judged on fertility, and with too few in all languages not at all. Further columns are left out. Figures are worked out once, over
-    whole texts, and written to the shared folder; the bands are few rows.
+    ``empty``. ``band`` is the language, or ``script:`` and the main script
+    where the language is null or has fewer than ``min_docs`` documents. A
+    value on a limit is kept. A length class with too few documents takes the
+    limits of the next shorter class of its band; if there is none it isn't
+    judged on fertility, and on byte share and entropy by the band's shortest
+    class, widened, or by all the band's documents where no class has enough.
+    A band with too few documents in all isn't judged. Further columns are left
+    out. Figures are worked out once, over whole texts, and written to the
+    shared folder; the bands are few rows.
     """
     slim = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     names = tuple(n for n, _ in _FEATURES)
     measured = materialize(add_features(slim, names, vocabulary, folder, "text", "lang").drop("text", "lang"), "quality")
     out = judge(measured, names, "reason", **settings)
-    return out.withColumn("rejected", F.col("reason").isNotNull()).withColumnRenamed("id", id_col)
+    return out.withColumn("rejected", F.col("reason").isNotNull()).drop("script").withColumnRenamed("id", id_col)
 
 
 def keep_documents(df: DataFrame, vocabulary: str = VOCABULARY, folder: str = VOCABULARIES, text_col: str = "text", lang_col: str = "lang", **settings) -> DataFrame:

@@ -102,5 +102,19 @@ def test_quality_keeps_the_labelled_good(spark, corpus):
     assert np.mean(good) < 0.03 and np.mean(bad) > 0.7
 
 
+def test_quality_keeps_languages_with_few_documents(spark, empty):
+    """Clean Greek beside an English majority is never judged by its limits."""
+    greek = "".join(chr(c) for c in range(0x3B1, 0x3CA))
+    plain = str.maketrans("abcdefghijklmnopqrstu", greek[:21])
+    rows = [(i, prose(i, 300), "en", "a", 1) for i in range(120)]
+    rows += [(1000 + i, prose(i, 60 + 40 * i).translate(plain), ("el", "el", None)[i % 3], "a", 1) for i in range(12)]
+    report = {r["doc_id"]: r for r in quality.quality_report(spark.createDataFrame(rows, empty.schema)).collect()}
+    assert not any(report[1000 + i]["rejected"] for i in range(12)) and report[1000]["band"] == "script:greek"
+    # with enough documents over all lengths the language has its own band, which junk doesn't pass
+    rows += [(2000 + i, prose(i, 20 * 2 ** (i % 6)).translate(plain), "el", "a", 1) for i in range(60)] + [(3000, "ααα " * 300, "el", "a", 1)]
+    report = {r["doc_id"]: r for r in quality.quality_report(spark.createDataFrame(rows, empty.schema)).collect()}
+    assert report[3000]["rejected"] and sum(r["rejected"] for k, r in report.items() if r["band"] == "el") <= 2
+
+
 def test_scripts():
     assert [quality.script_of(t) for t in ("abc", "где abc где", "日本", "12", "", "éa")] == ["latin", "cyrillic", "cjk", "none", "none", "latin"]
