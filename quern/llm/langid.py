@@ -4,14 +4,16 @@ Letters' 2- and 3-grams of lower-cased words, with word edges, are hashed to
 buckets; a text is the unit vector of (1 + ln count) * idf. Each language has
 several centroids, found by spherical k-means on a bounded labelled sample. A
 text takes the language of the centroid of highest cosine, unless the cosine is
-below a limit that depends on the text's length.
+below a limit that depends on the text's length. Every labelled language has a
+centroid, but documents of languages that are known from few aren't rejected
+for their distance.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,7 +27,8 @@ from quern.session import checked_join, fresh_name, ship_code
 BUCKETS = 8192
 #: At most so many labelled documents of each language are fitted to.
 SAMPLE = 300
-#: Languages with fewer labelled documents aren't learnt.
+#: Documents of languages with fewer labelled documents aren't rejected for
+#: distance: few documents don't tell how far the others may be.
 LEAST = 5
 CENTROIDS = 4
 #: A text is rejected below this share of the usual cosine at its length.
@@ -82,8 +85,10 @@ class Model:
     centroids: np.ndarray  # one column per centroid
     idf: np.ndarray
     usual: np.ndarray  # median cosine by log2 of the number of n-grams
+    settled: frozenset[str]  # languages whose documents may be rejected for distance
+    blank: bool = False  # fitted to a table without rows: nothing is identified
 
-    def classify(self, texts: pa.Array, near: float = NEAR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def classify(self, texts: pa.Array, near: float = NEAR, declared: Sequence[str | None] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Language number (-1 where there is none), cosine, rejected."""
         values, offsets = text_buckets(texts)
         n, sizes = len(texts), np.diff(offsets)
@@ -97,7 +102,9 @@ class Model:
         lang[sizes == 0] = -1
         level = np.minimum(np.log2(np.maximum(sizes, 1)).astype(int), len(self.usual) - 1)
         far = (cosine < near * self.usual[level]) & (sizes >= SHORTEST)
-        return lang, cosine, far | (lang < 0)
+        if declared is not None:
+            far &= np.array([d is None or d in self.settled for d in declared], bool)
+        return lang, cosine, far | (sizes == 0) | self.blank
 
 
 def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -119,22 +126,26 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 
 def fit_texts(texts: list[str], labels: list[str], centroids: int = CENTROIDS, least: int = LEAST) -> Model:
     """A model from labelled texts: two thirds of each language make centroids,
-    the rest sets the usual cosine of each length, on runs of 2^j n-grams."""
-    languages = sorted({x for x in labels if labels.count(x) >= least})
+    the rest sets the usual cosine of each length, on runs of 2^j n-grams. Of a
+    language with fewer than ``least`` texts all make centroids."""
+    languages = sorted(set(labels))
+    settled = frozenset(x for x in languages if labels.count(x) >= least)
     values, offsets = text_buckets(pa.array(texts, pa.large_string()))
     counts = counts_matrix(values, offsets, 0, len(texts))
     df = (counts > 0).sum(0)
     idf = (np.log((1 + len(texts)) / (1 + df)) + 1).astype(np.float32)
     x = unit_vectors(counts, idf)
-    own = np.array([languages.index(v) if v in languages else -1 for v in labels], int)
+    own = np.array([languages.index(v) for v in labels], int)
     seen = {}
     held = np.zeros(len(texts), bool)
     for i, v in enumerate(labels):
         seen[v] = seen.get(v, 0) + 1
-        held[i] = seen[v] % 3 == 0
+        held[i] = v in settled and seen[v] % 3 == 0
     parts, owner = [], []
     for j in range(len(languages)):
-        c = spherical_kmeans(x[(own == j) & ~held & (counts.sum(1) > 0)], centroids) if ((own == j) & ~held & (counts.sum(1) > 0)).any() else np.zeros((0, BUCKETS), np.float32)
+        rows = (own == j) & (counts.sum(1) > 0)
+        rows = rows & ~held if (rows & ~held).any() else rows
+        c = spherical_kmeans(x[rows], centroids) if rows.any() else np.zeros((0, BUCKETS), np.float32)
         parts.append(c)
         owner += [j] * len(c)
     cent = np.concatenate([np.zeros((0, BUCKETS), np.float32), *parts]).T.astype(np.float32)
@@ -142,7 +153,7 @@ def fit_texts(texts: list[str], labels: list[str], centroids: int = CENTROIDS, l
     usual, last = [], 0.0
     for level in range(20):
         size, found = 1 << level, []
-        for i in np.flatnonzero(held & (own >= 0)):
+        for i in np.flatnonzero(held):
             total = offsets[i + 1] - offsets[i]
             for start in range(0, total - size + 1, max(size, total // 4 + 1)):
                 run = values[offsets[i] + start : offsets[i] + start + size]
@@ -152,45 +163,51 @@ def fit_texts(texts: list[str], labels: list[str], centroids: int = CENTROIDS, l
                     found.append(float((v @ mine).max()))
         last = float(np.median(found)) if len(found) >= 20 else last
         usual.append(last)
-    return Model(languages, owner, cent, idf, np.array(usual))
+    settled = frozenset(x for x in settled if languages.index(x) in owner)
+    return Model(languages, owner, cent, idf, np.array(usual), settled)
 
 
 def fit(labelled: DataFrame, per_language: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **settings) -> Model:
     """Fit on at most ``per_language`` labelled documents of each language,
     those whose hashed ids come first, with their whole texts. Rows without a
-    label, a text or an id aren't used."""
+    label, a text or an id aren't used; where there are no others, no document
+    is rejected for distance. A model of an empty table rejects everything."""
     usable = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
     order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
     ids = usable.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang")).withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_language)
     wanted = ids.select(F.col("id").alias("__id"), F.col("lang").alias("__lang")).distinct()
     rows = checked_join(usable.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")), wanted, (F.col("id") == F.col("__id")) & (F.col("lang") == F.col("__lang")), "left_semi")
     sample = sorted(rows.dropDuplicates(["id", "lang"]).collect(), key=lambda r: (r["lang"], str(r["id"])))
-    return fit_texts([r["text"] for r in sample], [r["lang"] for r in sample], **settings)
+    model = fit_texts([r["text"] for r in sample], [r["lang"] for r in sample], **settings)
+    model.blank = not sample and labelled.isEmpty()
+    return model
 
 
 _OUT = (("predicted", "string"), ("similarity", "double"), ("rejected", "boolean"))
 
 
-def add_language(df: DataFrame, model: Model, names: tuple[str, str, str], near: float = NEAR, text_col: str = "text") -> DataFrame:
-    """All columns of ``df`` and prediction, cosine and verdict under ``names``."""
+def add_language(df: DataFrame, model: Model, names: tuple[str, str, str], near: float = NEAR, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """All columns of ``df`` and prediction, cosine and verdict under ``names``.
+    A table without ``lang_col`` declares no languages."""
     ship_code(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
-    text_name, columns = fresh_name(df, "__quern_text"), df.columns
+    text_name, lang_name, columns = fresh_name(df, "__quern_text"), fresh_name(df, "__quern_lang"), df.columns
+    declared = F.col(lang_col) if lang_col.lower() in {c.lower() for c in columns} else F.lit(None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
             whole = text_array(batch, text_name)
             for a, b in slices(whole, _SLICE):
-                lang, cosine, far = m.classify(whole.slice(a, b - a), near)
                 rows = batch.slice(a, b - a)
+                lang, cosine, far = m.classify(whole.slice(a, b - a), near, rows.column(lang_name).to_pylist())
                 cols = [pa.array([m.languages[i] if i >= 0 else None for i in lang], pa.string()), pa.array(np.round(cosine.astype(np.float64), 4)), pa.array(far)]
                 yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in columns), *cols], [*columns, *names])
 
-    extended = df.select("*", F.col(text_col).cast("string").alias(text_name))
+    extended = df.select("*", F.col(text_col).cast("string").alias(text_name), declared.cast("string").alias(lang_name))
     for c, (_, kind) in zip(names, _OUT):
         extended = extended.withColumn(c, F.lit(None).cast(kind))
-    return extended.select(*columns, text_name).mapInArrow(run, extended.drop(text_name).schema)
+    return extended.select(*columns, text_name, lang_name).mapInArrow(run, extended.drop(text_name, lang_name).schema)
 
 
 def identify(df: DataFrame, model: Model, near: float = NEAR, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -198,7 +215,9 @@ def identify(df: DataFrame, model: Model, near: float = NEAR, id_col: str = "doc
 
     ``lang`` is the declared language. A text without letters (null and empty
     texts too) has a null prediction, cosine 0 and is rejected; one of fewer
-    than SHORTEST n-grams isn't rejected for its distance. Of equal cosines
+    than SHORTEST n-grams isn't rejected for its distance, nor is one whose
+    declared language has under LEAST labelled documents, nor any where the
+    model knows no language (the prediction is null then). Of equal cosines
     the first language by name wins. Further columns are left out. Whole texts
     are used; no shuffle.
     """
@@ -207,7 +226,7 @@ def identify(df: DataFrame, model: Model, near: float = NEAR, id_col: str = "doc
     return out.drop("text").withColumnsRenamed({"id": id_col, "lang": lang_col})
 
 
-def keep_identified(df: DataFrame, model: Model, near: float = NEAR, text_col: str = "text") -> DataFrame:
+def keep_identified(df: DataFrame, model: Model, near: float = NEAR, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of ``df`` that ``identify`` doesn't reject, all columns."""
     names = tuple(fresh_name(df, f"__quern_{n}") for n, _ in _OUT)
-    return add_language(df, model, names, near, text_col).where(~F.col(names[2])).select(*df.columns)
+    return add_language(df, model, names, near, text_col, lang_col).where(~F.col(names[2])).select(*df.columns)

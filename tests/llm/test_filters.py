@@ -61,6 +61,19 @@ def test_language_edges(docs, empty, clashing, corpus):
     assert none.languages == [] and all(r["rejected"] for r in langid.identify(docs, none).collect())
 
 
+def test_language_keeps_small_and_unlabelled_tables(spark, empty, corpus):
+    small = spark.createDataFrame([(i, prose(i, 120), "en" if i < 4 else "de", "a", 1) for i in range(8)], empty.schema)
+    rows = langid.identify(small, langid.fit(small)).collect()
+    assert not any(r["rejected"] for r in rows) and all(r["predicted"] == r["lang"] for r in rows)
+    bare = spark.createDataFrame([(i, prose(i, 120), None, "a", 1) for i in range(8)] + [(9, "47 11", None, "a", 1)], empty.schema)
+    assert {r["doc_id"] for r in langid.keep_identified(bare, langid.fit(bare)).collect()} == set(range(8))
+    # a language with few documents beside languages with many; one of its rows has no id and so isn't fitted to
+    greek = str.maketrans("abcdefghijklmnopqrstu", "".join(chr(c) for c in range(0x3B1, 0x3C6)))
+    few = corpus.union(spark.createDataFrame([(None if i == 2 else -i - 1, prose(i, 150).translate(greek), "el", "a", 1) for i in range(3)], corpus.schema))
+    rows = langid.identify(few, langid.fit(few)).where("lang = 'el'").collect()
+    assert len(rows) == 3 and not any(r["rejected"] for r in rows) and [r["predicted"] for r in rows if r["doc_id"]] == ["el"] * 2
+
+
 # 3
 
 

@@ -75,3 +75,14 @@ def test_pipeline_takes_any_table(spark, tmp_path, docs, empty, shape):
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert out == [] if shape == "empty" else all(r["round_trip"] for r in out)
     assert edited(prose(1, 3), 1, 0) and ROWS
+
+
+def test_pipeline_keeps_clean_documents_of_an_unlabelled_table(spark, tmp_path, empty):
+    rows = [(i, prose(i, 150), None, "a", 1) for i in range(12)]
+    spark.createDataFrame(rows, empty.schema).write.parquet(f"{tmp_path}/documents.parquet")
+    from quern.session import materialize
+
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        docs = materialize(stage(spark, docs, str(tmp_path)), "test")
+    assert {r["doc_id"] for r in docs.collect()} == set(range(12)) and corpus_pipeline.run(spark, str(tmp_path)).count()
