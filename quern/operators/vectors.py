@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -85,6 +86,7 @@ class InvertedFile:
 
     centroids: np.ndarray
     vectors: DataFrame  # id, embedding (unit length), list
+    least: np.ndarray | None = None  # least inner product of a list's vectors with its centroid, NaN where it has none
 
     @staticmethod
     def build(vectors: DataFrame, lists: int = LISTS, train: int = TRAIN, id_col: str = "vec_id", vec_col: str = "embedding", seed: int = 7) -> InvertedFile:
@@ -110,13 +112,45 @@ class InvertedFile:
         kind = unit.schema["id"].dataType.simpleString()
         return InvertedFile(c, unit.mapInPandas(place, f"id {kind}, embedding array<double>, list int"))
 
+    def bounds(self, q: np.ndarray) -> np.ndarray:
+        """No vector of a list scores higher with the unit vector ``q``: the
+        angle to it is at least that to the centroid less the list's widest."""
+        if self.least is None:
+            shared = self.vectors.sparkSession.sparkContext.broadcast(self.centroids)
+
+            def narrow(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+                for f in frames:
+                    if len(f):
+                        own = np.einsum("ij,ij->i", np.stack(f["embedding"].to_numpy()), shared.value[f["list"].to_numpy()])
+                        yield pd.DataFrame({"list": f["list"], "own": own}).groupby("list", as_index=False).min()
+
+            rows = self.vectors.select("embedding", F.col("list").cast("int").alias("list")).mapInPandas(narrow, "list int, own double").groupBy("list").agg(F.min("own").alias("own")).collect()
+            self.least = np.full(len(self.centroids), np.nan)
+            for r in rows:
+                self.least[r["list"]] = r["own"]
+        angle, widest = (np.arccos(np.clip(x, -1, 1)) for x in (self.centroids @ q, self.least))
+        bound = np.cos(np.maximum(angle - widest, 0))
+        return np.where(np.isnan(self.least), -np.inf, bound) + 1e-6
+
     def search(self, query: Sequence[float], k: int = 10, probes: int = PROBES) -> DataFrame:
-        """(id, score): exact scores within the lists nearest to the query."""
+        """(id, score): the k best by cosine, as exact as a search of all lists.
+
+        The ``probes`` lists nearest to the query are read first, and then also
+        those whose bound isn't below the k-th score found there. On data
+        without clusters that can be all lists.
+        """
         q = np.asarray(query, float)
         q = q / max(np.linalg.norm(q), 1e-12)
         near = np.argsort(-(self.centroids @ q), kind="stable")[:probes].tolist()
-        rows = self.vectors.where(F.col("list").isin(near))
-        return rows.select("id", dot(F.col("embedding"), _literal(q)).alias("score")).orderBy(F.desc("score"), "id").limit(k)
+
+        def best(lists: list[int]) -> DataFrame:
+            rows = self.vectors.where(F.col("list").isin(lists))
+            return rows.select("id", dot(F.col("embedding"), _literal(q)).alias("score")).orderBy(F.desc("score"), "id").limit(k)
+
+        first = [r["score"] for r in best(near).collect()]
+        kth = min(first) if len(first) == k and k else -math.inf
+        more = np.flatnonzero(self.bounds(q) >= kth).tolist() if len(self.centroids) else []
+        return best(sorted({*near, *more}))
 
     def save(self, path: str) -> None:
         spark = self.vectors.sparkSession

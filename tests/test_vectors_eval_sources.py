@@ -48,6 +48,33 @@ def test_inverted_file_recall(spark, vecs, tmp_path):
     assert hits >= 0.9 * 100
 
 
+def test_inverted_file_with_registered_parameters_is_exact(spark):
+    """64 lists, 8 probes, 10 best: the registered query and some rows by search,
+    and every row as a query by the lists that its search reads."""
+    from quern import queries
+
+    sf = "/root/testdata/sf0.01"
+    e = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding").orderBy("vec_id").toPandas()
+    ids, x = e["vec_id"].to_numpy(), np.stack(e["embedding"].to_numpy()).astype(float)
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+
+    def exact(q):
+        scores = x @ (np.asarray(q) / np.linalg.norm(q))
+        return ids[np.lexsort((ids, -np.round(scores, 12)))[:10]].tolist()
+
+    assert [r["id"] for r in queries.QUERIES["v3_inverted_file"](spark, sf).collect()] == exact(queries._Q)
+    index = vectors.InvertedFile.build(spark.read.parquet(f"{sf}/embeddings.parquet"), 64)
+    for i in range(0, len(ids), len(ids) // 4):
+        assert [r["id"] for r in index.search(x[i], 10, 8).collect()] == exact(x[i])
+    place = (x @ index.centroids.T).argmax(1)
+    for q in x:
+        scores = x @ q
+        near = np.argsort(-(index.centroids @ q), kind="stable")[:8]
+        kth = np.sort(scores[np.isin(place, near)])[-10:].min() if np.isin(place, near).sum() >= 10 else -np.inf
+        read = set(near.tolist()) | set(np.flatnonzero(index.bounds(q) >= kth).tolist())
+        assert set(place[np.argsort(-scores)[:10]].tolist()) <= read
+
+
 def test_vector_tables(spark):
     a = spark.createDataFrame([(1, [1.0]), (2, [2.0])], "doc_id long, embedding array<double>")
     b = spark.createDataFrame([(2, [3.0]), (3, [4.0])], "doc_id long, embedding array<double>")
