@@ -19,3 +19,12 @@ def test_nothing_else_imports_the_training_operators():
             if name.endswith(".py"):
                 with open(f"{HERE}/quern/{folder}/{name}") as f:
                     assert "quern.llm" not in f.read()
+
+
+def test_id_stats_grow_with_the_table(spark, tmp_path):
+    """Ids outside 100 to 5000 and other statuses count as well."""
+    from quern import queries
+
+    rows = [(1, "O"), (100, "F"), (5000, "O"), (5001, "P"), (10**9, None)]
+    spark.createDataFrame(rows, "o_orderkey long, o_orderstatus string").write.parquet(f"{tmp_path}/orders.parquet")
+    assert [tuple(r) for r in queries.QUERIES["a7_id_stats_all"](spark, str(tmp_path)).collect()] == [(1, 10**9, 5)]
