@@ -6,34 +6,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quern.llm import bpe, join, langid, mixing, quality
-from quern.session import materialize, spread
+from quern.session import materialize, scratch_of, spread
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents outside their language's bands of tokeniser fertility go."""
-    return quality.keep_documents(docs).select(*COLUMNS)
+    with scratch_of(spark, f"pipeline {sf_dir}"):
+        return quality.keep_documents(docs).select(*COLUMNS)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are far from every language's centroids go."""
-    return langid.keep_identified(docs, langid.fit(docs)).select(*COLUMNS)
+    with scratch_of(spark, f"pipeline {sf_dir}"):
+        return langid.keep_identified(docs, langid.fit(docs)).select(*COLUMNS)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays."""
-    return join.keep_one(docs).select(*COLUMNS)
+    with scratch_of(spark, f"pipeline {sf_dir}"):
+        return join.keep_one(docs).select(*COLUMNS)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated so that all sources weigh the same."""
-    return mixing.mix_sources(docs, copy_col=None).select(*COLUMNS)
+    with scratch_of(spark, f"pipeline {sf_dir}"):
+        return mixing.mix_sources(docs, copy_col=None).select(*COLUMNS)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, checked by decoding them again."""
-    return bpe.encode_documents(docs)
+    with scratch_of(spark, f"pipeline {sf_dir}"):
+        return bpe.encode_documents(docs)
 
 
 STAGES = [

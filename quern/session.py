@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import io
 import os
 import shutil
@@ -11,14 +12,18 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _own_scratch: dict[str, str] = {}
 _shipped: set[str] = set()
+_written: dict[str, list[str]] = {}
+_owner: list[str] = []
 
-#: A side with at most this many rows may be broadcast; beyond it the join shuffles.
+#: A side of at most so many rows and bytes may be broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 48_000_000
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -44,8 +49,8 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared folder."""
-    return f"{scratch_root(spark).rstrip('/')}/quern/{name}-{uuid.uuid4().hex}"
+    """A fresh path under the shared folder, in this application's own part."""
+    return f"{scratch_root(spark).rstrip('/')}/quern/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -55,10 +60,34 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    _written.setdefault(_owner[-1] if _owner else "", []).append(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def scratch_of(spark: SparkSession, owner: str):
+    """Tables that ``materialize`` writes inside belong to ``owner``; those that
+    it had before are deleted. For steps whose results are written by the
+    caller before the next step of the same owner begins."""
+    for path in _written.pop(owner, []):
+        fs, p = filesystem(spark, path)
+        fs.delete(p, True)
+    _owner.append(owner)
+    try:
+        yield
+    finally:
+        _owner.pop()
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete every table that this application wrote under the shared folder;
+    DataFrames that still read them are of no use afterwards."""
+    _written.clear()
+    fs, p = filesystem(spark, f"{scratch_root(spark).rstrip('/')}/quern/{spark.sparkContext.applicationId}")
+    fs.delete(p, True)
+
+
 def filesystem(spark: SparkSession, path: str):
     """The Hadoop FileSystem and Path objects of ``path``."""
     jvm = spark.sparkContext._jvm
@@ -102,13 +131,29 @@ def spread(scan: DataFrame) -> DataFrame:
     return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
 
 
-def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether ``df`` has at most ``rows`` rows; counts no further than that."""
-    return df.limit(rows + 1).count() <= rows
+def _width(df: DataFrame) -> Column:
+    """About how many bytes a row has in memory."""
+    total = F.lit(8 * (len(df.columns) + 1))
+    for f in df.schema:
+        kind = f.dataType
+        if isinstance(kind, (T.StringType, T.BinaryType)):
+            total = total + F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0))
+        elif isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.NumericType):
+            total = total + F.coalesce(F.greatest(F.size(F.col(f"`{f.name}`")), F.lit(0)) * 8, F.lit(0))
+        elif isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
+            total = total + F.coalesce(F.length(F.to_json(F.struct(F.col(f"`{f.name}`")))), F.lit(0))
+    return total.cast("long")
+
+
+def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """Whether ``df`` has at most so many rows and bytes. Give it a written
+    table: the plan runs for this."""
+    found = df.agg(F.count("*").alias("rows"), F.sum(_width(df)).alias("size")).first()
+    return found["rows"] <= rows and (found["size"] or 0) <= size
 
 
 def checked_join(big: DataFrame, small: DataFrame, on, how: str = "inner", rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Join that broadcasts ``small`` only after counting it, else shuffles both."""
+    """Join that broadcasts ``small`` only after measuring it, else shuffles both."""
     return big.join(F.broadcast(small) if fits_broadcast(small, rows) else small, on, how)
 
 
