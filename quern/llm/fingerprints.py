@@ -17,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.chunks import resident, segments, slices, text_array
-from quern.llm.words import mix, word_pool
+from quern.llm.chunks import segments, slices, text_array
+from quern.llm.words import mix, word_hashes
 from quern.session import ship_code
 
 SAMPLES = 64
@@ -85,11 +85,10 @@ def fingerprint_documents(df: DataFrame, samples: int = SAMPLES, seed: int = 1,
     ship_code(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pool = resident("words", word_pool)
         for batch in batches:
             whole = text_array(batch, "text")
             for a, b in slices(whole, _SLICE):
-                words, offsets = pool.documents(whole.slice(a, b - a))
+                words, offsets = word_hashes(whole.slice(a, b - a))
                 sigs, per_doc = signatures(words, offsets, samples, seed)
                 ends = np.concatenate([[0], np.cumsum(per_doc > 0) * samples])
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32(), mask=np.append(per_doc == 0, False)), pa.array(sigs.ravel()))
