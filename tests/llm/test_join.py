@@ -145,21 +145,6 @@ def test_the_corpus_and_millions_of_characters(spark):
     assert joined(df.unionByName(spark.createDataFrame(rows[-4:], SCHEMA))) == classes(rows, pairs=indexed(rows))
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.integers(1, 60), st.integers(1, 60), st.data(), st.sampled_from([0.3, 0.5, 0.8, 1.0]))
-def test_prefixes_of_partners_share_enough(a, b, data, threshold):
-    """The bound of step 1, on sets of numbers in their natural order."""
-    universe = list(range(80))
-    common = data.draw(st.sets(st.sampled_from(universe), min_size=1, max_size=min(a, b)))
-    x = sorted(common | data.draw(st.sets(st.sampled_from(universe), max_size=a)))
-    y = sorted(common | data.draw(st.sets(st.sampled_from(universe), max_size=b)))
-    both = len(set(x) & set(y))
-    if both / (len(x) + len(y) - both) >= threshold:
-        (lx, ly), (kx, ky) = join.needed([len(x), len(y)], threshold)
-        shared = len(set(x[: len(x) - lx + kx]) & set(y[: len(y) - ly + ky]))
-        assert both >= max(lx, ly) and shared >= max(kx, ky)
-
-
 def test_keep_one_leaves_one_of_each_group(docs, clashing):
     kept = sorted((r["doc_id"] for r in join.keep_one(docs).collect()), key=lambda x: (x is None, x or 0))
     assert kept == [1, 4, 5, 6, 7, 8, 9, 11, 12, 14, None]
