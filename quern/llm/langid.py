@@ -11,8 +11,6 @@ for their distance.
 
 from __future__ import annotations
 
-import re
-import zlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -21,8 +19,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.chunks import ChunkPool, resident, slices, text_array
-from quern.session import checked_join, fresh_name, ship_code
+from quern.llm.chunks import slices, text_array
+from quern.llm.words import code_points, mix, tables
+from quern.session import checked_join, fresh_name, materialize, ship_code
 
 BUCKETS = 8192
 #: At most so many labelled documents of each language are fitted to.
@@ -33,33 +32,39 @@ LEAST = 5
 CENTROIDS = 4
 #: A text is rejected below this share of the usual cosine at its length.
 NEAR = 0.6
-#: Texts with fewer n-grams carry too little to be rejected by distance.
-SHORTEST = 8
+#: So many languages are known at most: those with most labelled documents.
+#: With SAMPLE this bounds what the driver fits to.
+LANGUAGES = 200
 _SLICE = 2_000_000
-_LETTERS = re.compile(r"[^\W\d_]+").findall
-_grams: dict[str, int] = {}
-
-
-def _bucket(gram: str) -> int:
-    b = _grams.get(gram)
-    if b is None:
-        if len(_grams) > 500_000:
-            _grams.clear()
-        b = _grams[gram] = zlib.crc32(gram.encode()) % BUCKETS
-    return b
-
-
-def word_buckets(word: str) -> list[int]:
-    w = f" {word} "
-    return [_bucket(w[i : i + n]) for n in (2, 3) for i in range(len(w) - n + 1)]
-
-
-def _chunk_buckets(chunks: list[str]) -> list[list[int]]:
-    return [[b for w in _LETTERS(c.lower()) for b in word_buckets(w)] for c in chunks]
+_STEPS = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
 def text_buckets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    return resident("n-grams", lambda: ChunkPool(_chunk_buckets, np.int32, limit=300_000)).documents(texts)
+    """Buckets of all n-grams of all texts in order of place (at one place the
+    2-gram first), and the texts' offsets in them.
+
+    Whatever isn't a letter is a blank; a gram of two needs a letter, one of
+    three a letter in the middle, so words have a blank at either end.
+    """
+    if not len(texts):
+        return np.empty(0, np.int32), np.zeros(1, np.int64)
+    points, at = code_points(texts)
+    letter = np.zeros(len(points) + 2, bool)
+    letter[1:-1] = tables().is_letter[points]
+    values = np.full(len(letter), 32, np.uint64)
+    values[1:-1][letter[1:-1]] = points[letter[1:-1]]
+    two = mix(values[:-2] * _STEPS[0] + values[1:-1] * _STEPS[1])
+    three = mix(values[:-2] * _STEPS[0] + values[1:-1] * _STEPS[1] + (values[2:] + np.uint64(1)) * _STEPS[2])
+    keep = np.stack([letter[:-2] | letter[1:-1], letter[1:-1]], 1)
+    grams = np.stack([two, three], 1)[keep]
+    ends = np.concatenate([[0], np.cumsum(keep.sum(1))])
+    return (grams % np.uint64(BUCKETS)).astype(np.int32), ends[at]
+
+
+def gram_bucket(gram: str) -> int:
+    """The bucket of one 2- or 3-gram, for tests."""
+    total = sum(ord(c) * int(k) for c, k in zip(gram[:2], _STEPS)) + ((ord(gram[2]) + 1) * int(_STEPS[2]) if len(gram) > 2 else 0)
+    return int(mix(np.array([total % (1 << 64)], np.uint64))[0] % np.uint64(BUCKETS))
 
 
 def counts_matrix(values: np.ndarray, offsets: np.ndarray, a: int, b: int) -> np.ndarray:
@@ -101,7 +106,7 @@ class Model:
                 lang[a:b], cosine[a:b] = self.owner[best], scores[np.arange(b - a), best]
         lang[sizes == 0] = -1
         level = np.minimum(np.log2(np.maximum(sizes, 1)).astype(int), len(self.usual) - 1)
-        far = (cosine < near * self.usual[level]) & (sizes >= SHORTEST)
+        far = cosine < near * self.usual[level]
         if declared is not None:
             far &= np.array([d is None or d in self.settled for d in declared], bool)
         return lang, cosine, far | (sizes == 0) | self.blank
@@ -128,24 +133,27 @@ def fit_texts(texts: list[str], labels: list[str], centroids: int = CENTROIDS, l
     """A model from labelled texts: two thirds of each language make centroids,
     the rest sets the usual cosine of each length, on runs of 2^j n-grams. Of a
     language with fewer than ``least`` texts all make centroids."""
-    languages = sorted(set(labels))
-    settled = frozenset(x for x in languages if labels.count(x) >= least)
+    rows_of: dict[str, list[int]] = {}
+    for i, v in enumerate(labels):
+        rows_of.setdefault(v, []).append(i)
+    languages = sorted(rows_of)
+    settled = frozenset(x for x in languages if len(rows_of[x]) >= least)
     values, offsets = text_buckets(pa.array(texts, pa.large_string()))
-    counts = counts_matrix(values, offsets, 0, len(texts))
-    df = (counts > 0).sum(0)
+    df = np.zeros(BUCKETS)
+    for a in range(0, len(texts), 256):  # never all texts as dense vectors at once
+        df += (counts_matrix(values, offsets, a, min(a + 256, len(texts))) > 0).sum(0)
     idf = (np.log((1 + len(texts)) / (1 + df)) + 1).astype(np.float32)
-    x = unit_vectors(counts, idf)
-    own = np.array([languages.index(v) for v in labels], int)
-    seen = {}
-    held = np.zeros(len(texts), bool)
-    for i, v in enumerate(labels):
-        seen[v] = seen.get(v, 0) + 1
-        held[i] = v in settled and seen[v] % 3 == 0
+    own, held = np.zeros(len(texts), int), np.zeros(len(texts), bool)
     parts, owner = [], []
-    for j in range(len(languages)):
-        rows = (own == j) & (counts.sum(1) > 0)
-        rows = rows & ~held if (rows & ~held).any() else rows
-        c = spherical_kmeans(x[rows], centroids) if rows.any() else np.zeros((0, BUCKETS), np.float32)
+    for j, v in enumerate(languages):
+        rows = np.array(rows_of[v])
+        own[rows] = j
+        if v in settled:
+            held[rows[2::3]] = True
+        some = rows[np.diff(offsets)[rows] > 0]
+        some = some[~held[some]] if (~held[some]).any() else some
+        x = np.concatenate([np.zeros((0, BUCKETS), np.float32), *(unit_vectors(counts_matrix(values, offsets, i, i + 1), idf) for i in some.tolist())])
+        c = spherical_kmeans(x, centroids) if len(x) else x
         parts.append(c)
         owner += [j] * len(c)
     cent = np.concatenate([np.zeros((0, BUCKETS), np.float32), *parts]).T.astype(np.float32)
@@ -163,20 +171,22 @@ def fit_texts(texts: list[str], labels: list[str], centroids: int = CENTROIDS, l
                     found.append(float((v @ mine).max()))
         last = float(np.median(found)) if len(found) >= 20 else last
         usual.append(last)
-    settled = frozenset(x for x in settled if languages.index(x) in owner)
+    settled = frozenset(x for x in settled if languages.index(x) in set(owner.tolist()))
     return Model(languages, owner, cent, idf, np.array(usual), settled)
 
 
 def fit(labelled: DataFrame, per_language: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **settings) -> Model:
     """Fit on at most ``per_language`` labelled documents of each language,
-    those whose hashed ids come first, with their whole texts. Rows without a
+    those whose hashed ids come first, with their whole texts; of more than
+    LANGUAGES languages, on those that most documents have. Rows without a
     label, a text or an id aren't used; where there are no others, no document
     is rejected for distance. A model of an empty table rejects everything."""
-    usable = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
+    usable = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
+    known = [r["lang"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).select("lang").collect()]
     order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    ids = usable.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang")).withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_language)
-    wanted = ids.select(F.col("id").alias("__id"), F.col("lang").alias("__lang")).distinct()
-    rows = checked_join(usable.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")), wanted, (F.col("id") == F.col("__id")) & (F.col("lang") == F.col("__lang")), "left_semi")
+    ids = usable.where(F.col("lang").isin(known)).select("id", "lang").withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_language)
+    wanted = materialize(ids.select(F.col("id").alias("i"), F.col("lang").alias("l")).distinct(), "sample")
+    rows = checked_join(usable, wanted, (F.col("id") == F.col("i")) & (F.col("lang") == F.col("l")), "left_semi")
     sample = sorted(rows.dropDuplicates(["id", "lang"]).collect(), key=lambda r: (r["lang"], str(r["id"])))
     model = fit_texts([r["text"] for r in sample], [r["lang"] for r in sample], **settings)
     model.blank = not sample and labelled.isEmpty()
@@ -214,9 +224,9 @@ def identify(df: DataFrame, model: Model, near: float = NEAR, id_col: str = "doc
     """(id, lang, predicted, similarity, rejected), one row per input row.
 
     ``lang`` is the declared language. A text without letters (null and empty
-    texts too) has a null prediction, cosine 0 and is rejected; one of fewer
-    than SHORTEST n-grams isn't rejected for its distance, nor is one whose
-    declared language has under LEAST labelled documents, nor any where the
+    texts too) has a null prediction, cosine 0 and is rejected; one whose
+    declared language has under LEAST labelled documents isn't rejected for its
+    distance, nor is any where the
     model knows no language (the prediction is null then). Of equal cosines
     the first language by name wins. Further columns are left out. Whole texts
     are used; no shuffle.
@@ -227,6 +237,8 @@ def identify(df: DataFrame, model: Model, near: float = NEAR, id_col: str = "doc
 
 
 def keep_identified(df: DataFrame, model: Model, near: float = NEAR, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of ``df`` that ``identify`` doesn't reject, all columns."""
+    """The rows of ``df`` that ``identify`` doesn't reject, all columns under
+    any names. Texts without letters go (null and empty ones too); repeated
+    rows stay or go alike; an empty table stays empty."""
     names = tuple(fresh_name(df, f"__quern_{n}") for n, _ in _OUT)
-    return add_language(df, model, names, near, text_col, lang_col).where(~F.col(names[2])).select(*df.columns)
+    return add_language(df, model, names, near, text_col, lang_col).where(~F.col(names[2])).select(*(F.col(f"`{c}`") for c in df.columns))
