@@ -2,12 +2,13 @@
 
 A public vocabulary with byte fallback tells how a text breaks up: characters
 per token, the share of byte tokens, and the entropy of its tokens. Bands are
-set per language (or script, where the language is unknown or has too few
-documents) and per length class around the median over all documents. A
-document is never judged by a band of all languages together. A band's width is a multiple of the
-spread above the median (median to 84th percentile, a standard deviation of a
-normal law): junk lowers fertility and entropy and so can't widen its own band.
-Short texts, whose figures scatter, get wide bands.
+set per language (or script, where the language is unknown) and per length
+class (powers of two of tokens) around the median over all documents. A
+document is never judged by another language's band. A band's width is a
+multiple of the spread above the median (median to 84th percentile, a standard
+deviation of a normal law): junk lowers fertility and entropy and so can't
+widen its own band. Bands of few documents are wider, by a factor that falls
+steadily with their number.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import sentencepiece
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.bpe import VOCABULARIES
@@ -30,17 +31,13 @@ from quern.session import checked_join, fresh_name, materialize, ship_code
 VOCABULARY = "piece_bpe_32k.model"
 #: Half-width of a band in robust standard deviations.
 WIDTH = 5.0
-#: A band needs so many documents. A class with fewer is judged by the next
-#: shorter one of its language; without one, fertility isn't judged, and byte
-#: share and entropy are judged by the language's shortest one, made wider. If
-#: no class has enough, all the language's documents are one class. Documents of
-#: languages with fewer in all, and those without a language, are judged by
-#: their script's documents of this kind, and not at all where these are few.
-MIN_DOCS = 30
+#: A band of n documents is 1 + SCATTER / sqrt(n) times as wide, so a document
+#: that is alone in its band is kept.
+SCATTER = 4.0
+#: Steps in which characters per token, byte share and entropy are counted.
+GRID = (0.005, 0.0005, 0.005)
 #: Least robust deviation of characters per token, byte share and entropy.
 FLOORS = (0.03, 0.01, 0.1)
-#: Length classes are powers of two of tokens; longer texts share the last.
-LAST_CLASS = 10
 _SLICE = 4_000_000
 
 
@@ -115,7 +112,7 @@ def add_features(df: DataFrame, names: tuple[str, ...], vocabulary: str, folder:
                 some = np.maximum(tokens, 1)
                 script = [script_of(t) for t in texts.to_pylist()]
                 none = tokens == 0
-                cols = [pa.array(tokens), pa.array(chars / some, mask=none), pa.array(fallback / some, mask=none), pa.array(entropy, mask=none), lang.cast(pa.string()), pa.array(np.minimum(np.floor(np.log2(some)), LAST_CLASS).astype(np.int32)), pa.array(script, pa.string())]
+                cols = [pa.array(tokens), pa.array(chars / some, mask=none), pa.array(fallback / some, mask=none), pa.array(entropy, mask=none), lang.cast(pa.string()), pa.array(np.floor(np.log2(some)).astype(np.int32)), pa.array(script, pa.string())]
                 rows = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in columns), *cols], [*columns, *names])
 
@@ -126,53 +123,34 @@ def add_features(df: DataFrame, names: tuple[str, ...], vocabulary: str, folder:
     return extended.select(*columns, text_name, lang_name).mapInArrow(run, schema)
 
 
-def with_bands(measured: DataFrame, names: tuple[str, ...], min_docs: int = MIN_DOCS) -> DataFrame:
-    """``measured`` with the language as band where it has ``min_docs``
-    documents with tokens, else ``script:`` and the script."""
-    tokens, _, _, _, band, _, script = names
-    known = measured.where(F.col(tokens) > 0).groupBy(F.col(band).alias("__known")).agg(F.count("*").alias("__n")).where(F.col("__n") >= min_docs).select("__known")
-    out = checked_join(measured, known, F.col(band) == F.col("__known"), "left")
-    return out.withColumn(band, F.coalesce("__known", F.concat(F.lit("script:"), F.col(script)))).drop("__known")
-
-
-def bands(features: DataFrame, names: tuple[str, ...], width: float = WIDTH, min_docs: int = MIN_DOCS, floors: tuple[float, ...] = FLOORS) -> DataFrame:
+def bands(features: DataFrame, names: tuple[str, ...], width: float = WIDTH, scatter: float = SCATTER, floors: tuple[float, ...] = FLOORS) -> DataFrame:
     """Limits per (band, size class): low and high fertility, highest byte
-    share, lowest entropy. A band with too few documents has no row."""
+    share, lowest entropy. Quantiles are exact over figures rounded to GRID, so
+    they don't hang on the order of the rows, and one aggregate gives them all."""
     tokens, fert, byte, ent, band, cls, _ = names
-    some = features.where(F.col(tokens) > 0).select(fert, byte, ent, band, cls)
-    quantiles = [F.percentile_approx(c, F.array(F.lit(0.5), F.lit(0.84)), F.lit(2000)).alias(k) for k, c in (("f", fert), ("b", byte), ("e", ent))]
-    own = some.groupBy(band, cls).agg(F.count("*").alias("n"), *quantiles).where(F.col("n") >= min_docs)
-    # where no class has enough documents all are one, which stands for the longest of them
-    whole = some.groupBy(band).agg(F.max(cls).alias(cls), F.count("*").alias("n"), *quantiles).where(F.col("n") >= min_docs)
-    centre = own.unionByName(whole.join(own.select(F.col(band).alias("__b")).distinct(), F.col(band) == F.col("__b"), "left_anti"))
-    # a class without a band of its own takes the next shorter one's, whose limits are wider
-    order = Window.partitionBy(band).orderBy(cls)
-    since = F.when(F.lag(cls).over(order).isNull(), 0).otherwise(F.col(cls))
-    until = F.coalesce(F.lead(cls).over(order) - 1, F.lit(LAST_CLASS))
-    known = centre.withColumn("since", since).withColumn("until", until).withColumn("of", F.col(cls)).withColumn(cls, F.explode(F.sequence("since", "until")))
-    # one without a shorter one takes the shortest: half the tokens scatter by sqrt(2) more and have at most 1 bit less
-    gap = F.greatest(F.col("of") - F.col(cls), F.lit(0))
-    reach = {k: width * F.greatest(F.col(k)[1] - F.col(k)[0], F.lit(floor)) * F.pow(F.lit(2.0), gap / 2) for k, floor in zip("fbe", floors)}
-    fertility = F.when(gap == 0, F.col("f")[0])
-    return known.select(
-        band, cls, (fertility - reach["f"]).alias("fert_low"), (fertility + reach["f"]).alias("fert_high"),
-        (F.col("b")[0] + reach["b"]).alias("byte_high"), (F.col("e")[0] - gap - reach["e"]).alias("ent_low"),
-    )
+    parts = (("f", fert, GRID[0]), ("b", byte, GRID[1]), ("e", ent, GRID[2]))
+    quantiles = [F.percentile(F.round(F.col(c) / grid) * grid, F.array(F.lit(0.5), F.lit(0.84))).alias(k) for k, c, grid in parts]
+    centre = features.where(F.col(tokens) > 0).groupBy(F.col(band).alias("band"), F.col(cls).alias("class")).agg(F.count("*").alias("n"), *quantiles)
+    # few documents don't tell how far others may be: their band is wider, without a step at any number
+    wide = width * (1 + scatter / F.sqrt("n"))
+    reach = {k: wide * F.greatest(F.col(k)[1] - F.col(k)[0], F.lit(floor)) for k, floor in zip("fbe", floors)}
+    return centre.select("band", "class", (F.col("f")[0] - reach["f"]).alias("fert_low"), (F.col("f")[0] + reach["f"]).alias("fert_high"), (F.col("b")[0] + reach["b"]).alias("byte_high"), (F.col("e")[0] - reach["e"]).alias("ent_low"))
 
 
 def judge(measured: DataFrame, names: tuple[str, ...], reason: str, **settings) -> DataFrame:
     """``measured`` with column ``reason``: null where the document is kept."""
-    tokens, fert, byte, ent, band, cls, _ = names
-    placed = with_bands(measured, names, settings.get("min_docs", MIN_DOCS))
+    tokens, fert, byte, ent, band, cls, script = names
+    placed = measured.withColumn(band, F.coalesce(F.col(band), F.concat(F.lit("script:"), F.col(script))))
     limits = materialize(bands(placed, names, **settings), "bands")
-    own = limits.select(F.col(band).alias("__b"), F.col(cls).alias("__c"), F.struct("fert_low", "fert_high", "byte_high", "ent_low").alias("__own"))
-    out = checked_join(placed, own, (F.col(band) == F.col("__b")) & (F.col(cls) == F.col("__c")), "left")
-    at = F.col("__own")
+    b, c, own = (fresh_name(measured, f"__quern_{x}") for x in ("band_key", "class_key", "limits"))
+    at = limits.select(F.col("band").alias(b), F.col("class").alias(c), F.struct("fert_low", "fert_high", "byte_high", "ent_low").alias(own))
+    out = checked_join(placed, at, (F.col(band) == F.col(b)) & (F.col(cls) == F.col(c)), "left")
+    limit = F.col(own)
     why = (
-        F.when(F.col(tokens) == 0, "empty").when(F.col(fert) < at["fert_low"], "low_fertility").when(F.col(fert) > at["fert_high"], "high_fertility")
-        .when(F.col(byte) > at["byte_high"], "byte_fallback").when(F.col(ent) < at["ent_low"], "low_entropy")
+        F.when(F.col(tokens) == 0, "empty").when(F.col(fert) < limit["fert_low"], "low_fertility").when(F.col(fert) > limit["fert_high"], "high_fertility")
+        .when(F.col(byte) > limit["byte_high"], "byte_fallback").when(F.col(ent) < limit["ent_low"], "low_entropy")
     )
-    return out.withColumn(reason, why).drop("__b", "__c", "__own")
+    return out.withColumn(reason, why).drop(b, c, own)
 
 
 def quality_report(df: DataFrame, vocabulary: str = VOCABULARY, folder: str = VOCABULARIES, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **settings) -> DataFrame:
@@ -182,13 +160,10 @@ def quality_report(df: DataFrame, vocabulary: str = VOCABULARY, folder: str = VO
     One row per input row, repeated rows included. Fertility is characters per
     token. A null or empty text has 0 tokens, null figures and is rejected as
     ``empty``. ``band`` is the language, or ``script:`` and the main script
-    where the language is null or has fewer than ``min_docs`` documents. A
-    value on a limit is kept. A length class with too few documents takes the
-    limits of the next shorter class of its band; if there is none it isn't
-    judged on fertility, and on byte share and entropy by the band's shortest
-    class, widened, or by all the band's documents where no class has enough.
-    A band with too few documents in all isn't judged. Further columns are left
-    out. Figures are worked out once, over whole texts, and written to the
+    where the language is null. A value on a limit is kept. The fewer documents
+    a band has in a length class, the wider it is; the only one is kept.
+    Further columns are left out. Figures are worked out once, over whole
+    texts, and written to the
     shared folder; the bands are few rows.
     """
     slim = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
@@ -199,8 +174,10 @@ def quality_report(df: DataFrame, vocabulary: str = VOCABULARY, folder: str = VO
 
 
 def keep_documents(df: DataFrame, vocabulary: str = VOCABULARY, folder: str = VOCABULARIES, text_col: str = "text", lang_col: str = "lang", **settings) -> DataFrame:
-    """The rows of ``df`` that ``quality_report`` doesn't reject, all columns."""
+    """The rows of ``df`` that ``quality_report`` doesn't reject, all columns
+    under any names. Null and empty texts go; repeated rows stay or go alike;
+    an empty table stays empty."""
     names = tuple(fresh_name(df, f"__quern_{n}") for n, _ in _FEATURES)
     reason = fresh_name(df, "__quern_reason")
     measured = materialize(add_features(df, names, vocabulary, folder, text_col, lang_col), "quality")
-    return judge(measured, names, reason, **settings).where(F.col(reason).isNull()).select(*df.columns)
+    return judge(measured, names, reason, **settings).where(F.col(reason).isNull()).select(*(F.col(f"`{c}`") for c in df.columns))
