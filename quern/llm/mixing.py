@@ -8,6 +8,7 @@ hashed from its id and the seed, so a rerun or a retried task draws the same.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 from quern.session import checked_join, fresh_name, materialize
 
 SEED = 17
+#: Copies of one row that are generated at a time.
+COPIES = 100_000
 
 
 def uniform(key: Column, seed: int) -> Column:
@@ -24,18 +27,31 @@ def uniform(key: Column, seed: int) -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(2.0**52)
 
 
-def poisson_cdf(rate: Column) -> Column:
-    """P(X <= 0), P(X <= 1), ... up to where double precision reaches 1."""
-    top = F.ceil(rate + 12 * F.sqrt(rate) + 30).cast("int")
-    zero = F.exp(-rate)
-    start = F.struct((-rate).alias("lp"), zero.alias("c"), F.array(zero).alias("cdf"))
+def poisson_count(rate: Column, u: Column) -> Column:
+    """The quantile at ``u`` of a Poisson distribution: how many k have
+    P(X <= k) <= u.
+
+    Summed over the k within 12 standard deviations (and 30) of the mean, so the
+    work is of the order of the rate's root, where the document's copies are of
+    the order of the rate. Nothing is stored but the running sum. What lies
+    further below weighs less than the least step of ``u``.
+    """
+    root = F.sqrt(rate)
+    low = F.greatest(F.lit(0), F.floor(rate - 12 * root - 30)).cast("long")
+    high = F.ceil(rate + 12 * root + 30).cast("long")
+    k0 = low.cast("double")
+    # ln P(X = low), by Stirling's series where low isn't 0
+    far = k0 * F.log1p((rate - k0) / k0) - (rate - k0) - 0.5 * F.log(F.lit(2 * math.pi) * k0) - 1 / (12 * k0) + 1 / (360 * k0 * k0 * k0)
+    first = F.when(low == 0, -rate).otherwise(far)
+    start = F.struct(first.alias("lp"), F.exp(first).alias("c"), F.when(F.exp(first) <= u, low + 1).otherwise(low).alias("n"))
 
     def step(acc: Column, k: Column) -> Column:
         lp = acc["lp"] + F.ln(rate) - F.ln(k.cast("double"))
         c = acc["c"] + F.exp(lp)
-        return F.struct(lp.alias("lp"), c.alias("c"), F.concat(acc["cdf"], F.array(c)).alias("cdf"))
+        return F.struct(lp.alias("lp"), c.alias("c"), F.when(c <= u, k + 1).otherwise(acc["n"]).alias("n"))
 
-    return F.when(rate > 0, F.aggregate(F.sequence(F.lit(1), top), start, step, lambda acc: acc["cdf"])).otherwise(F.array(F.lit(1.0)))
+    n = F.aggregate(F.sequence(low + 1, high), start, step, lambda acc: acc["n"])
+    return F.when((rate > 0) & (u > 0), n).otherwise(F.lit(0).cast("long"))
 
 
 def source_rates(df: DataFrame, weights: Mapping[str, float] | None = None, other: float = 1.0, scale: float = 1.0, source_col: str = "source", text_col: str = "text") -> DataFrame:
@@ -61,23 +77,23 @@ def mix_sources(df: DataFrame, weights: Mapping[str, float] | None = None, other
     name is replaced; None adds nothing). Rows whose count is 0 go. A null
     source is a source of its own; null and empty texts count as one
     character; rows with equal ids draw equal counts, and a null id draws as
-    the text ``null``. Sizes cover the whole table. Without a positive weight,
+    the text ``null``. Extra columns of any name are carried. Rates may be far
+    above 1: a row's copies are generated in runs of COPIES. Sizes cover the whole table. Without a positive weight,
     or from an empty table, nothing comes. The rates are few rows and are
     broadcast only after counting; more of them are joined by a shuffle.
     """
-    rates = source_rates(df, weights, other, scale, source_col, text_col)
-    rates = materialize(rates.select("source", poisson_cdf(F.col("rate")).alias("cdf")), "rates")
-    src, cdf, n, order, copy = (fresh_name(df, f"__quern_{x}") for x in ("src", "cdf", "n", "order", "copy"))
-    rates = rates.select(F.col("source").alias(src), F.col("cdf").alias(cdf))
+    rates = materialize(source_rates(df, weights, other, scale, source_col, text_col).select("source", "rate"), "rates")
+    src, rate, n, run, order, copy = (fresh_name(df, f"__quern_{x}") for x in ("src", "rate", "n", "run", "order", "copy"))
+    rates = rates.select(F.col("source").alias(src), F.col("rate").alias(rate))
     key = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
-    u = uniform(key, seed)
     out = checked_join(df, rates, F.col(source_col).eqNullSafe(F.col(src)))
-    out = out.withColumn(n, F.size(F.filter(F.col(cdf), lambda c: c <= u))).drop(src, cdf)
-    out = out.where(F.col(n) > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(n))))
+    out = out.withColumn(n, poisson_count(F.col(rate), uniform(key, seed))).drop(src, rate).where(F.col(n) > 0)
+    out = out.withColumn(run, F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(n) - 1) / COPIES))))
+    out = out.withColumn(copy, F.explode(F.sequence(F.col(run) * COPIES + 1, F.least(F.col(n), (F.col(run) + 1) * COPIES)))).drop(run)
     out = out.withColumn(order, F.xxhash64(key, F.col(copy), F.lit(seed)))
     out = out.repartition(F.col(order)).sortWithinPartitions(order).drop(order, n)
     keep = [c for c in df.columns if copy_col is None or c.lower() != copy_col.lower()]
-    return out.select(*keep, *([F.col(copy).alias(copy_col)] if copy_col else []))
+    return out.select(*(F.col(f"`{c}`") for c in keep), *([F.col(copy).alias(copy_col)] if copy_col else []))
 
 
 def oracle(seed: int = SEED, table: str = "documents", columns: str = "doc_id, text, lang, source, n_chars", copy: bool = True) -> str:
@@ -92,5 +108,5 @@ cdf AS (SELECT source, list(c ORDER BY k) AS cdf FROM (SELECT source, k, sum(p)
 drawn AS (
   SELECT d.*, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || '|{seed}'), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0 AS u, c.cdf
   FROM {table} d JOIN cdf c ON d.source IS NOT DISTINCT FROM c.source),
-counted AS (SELECT {columns}, len(list_filter(cdf, lambda c: c <= u))::INTEGER AS n FROM drawn)
-SELECT {columns}{", unnest(generate_series(1, n))::INTEGER AS copy FROM counted WHERE n > 0" if copy else " FROM (SELECT *, unnest(generate_series(1, n)) AS i FROM counted WHERE n > 0)"}"""
+counted AS (SELECT {columns}, len(list_filter(cdf, lambda c: c <= u))::BIGINT AS n FROM drawn)
+SELECT {columns}{", unnest(generate_series(1, n))::BIGINT AS copy FROM counted WHERE n > 0" if copy else " FROM (SELECT *, unnest(generate_series(1, n)) AS i FROM counted WHERE n > 0)"}"""
