@@ -14,6 +14,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.session import fresh_name
+
 #: region -> rack -> shard -> weight; a node weighs what its shards weigh.
 TOPOLOGY = {
     "eu": {"a": {"0": 1.0, "1": 1.0, "2": 2.0}, "b": {"0": 1.0, "1": 1.0, "2": 1.0}},
@@ -55,26 +57,34 @@ def assign_shards(df: DataFrame, topology: Mapping = TOPOLOGY, id_col: str = "do
     Rows with equal ids go to one place, whatever else they hold; ties of draws
     go to the child that is first by name. A null id is placed as the text
     ``null`` would be. Nodes of weight 0 get nothing; a tree without any weight
-    is an error. Carried columns named region, rack or shard are replaced.
-    Expressions only: no shuffle, no Python.
+    is an error, and so is an id column named region, rack or shard. Carried
+    columns of these names are replaced; other names are free. Repeated rows
+    stay, an empty table gives none. Expressions only: no shuffle, no Python.
     """
-    key = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
+    if id_col.lower() in LEVELS:
+        raise ValueError(f"the id column may not be called {id_col}: places are")
+    name = fresh_name(df, "__quern_key")
     live = {r: racks for r, racks in topology.items() if weight(racks) > 0}
-    keep = [c for c in carry if c.lower() not in LEVELS and c != id_col]
-    out = df.select(F.col(id_col), *keep, key.alias("__quern_key"))
-    k = F.col("__quern_key")
+    keep = [c for c in carry if c.lower() not in LEVELS and c.lower() != id_col.lower()]
+    out = df.select(F.col(id_col), *(F.col(f"`{c}`") for c in keep), F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias(name))
+    k = F.col(name)
     out = out.withColumn("region", _choice(k, topology, ""))
     racks = [(r, _choice(k, x, f"/{r}")) for r, x in sorted(live.items())]
     out = out.withColumn("rack", _pick(F.col("region"), racks))
     shards = [(f"{r}/{c}", _choice(k, s, f"/{r}/{c}")) for r, x in sorted(live.items()) for c, s in sorted(x.items()) if weight(s) > 0]
     out = out.withColumn("shard", _pick(F.concat_ws("/", "region", "rack"), shards))
-    return out.drop("__quern_key")
+    return out.drop(name)
+
 
+def write_sharded(df: DataFrame, path: str, topology: Mapping = TOPOLOGY, id_col: str = "doc_id", tasks: int = 16) -> None:
+    """Write all rows and columns under region=/rack=/shard=.
 
-def write_sharded(df: DataFrame, path: str, topology: Mapping = TOPOLOGY, id_col: str = "doc_id") -> None:
-    """Write rows under region=/rack=/shard=, each place written by few tasks."""
+    Names, null ids, repeated rows and empty tables are as in
+    ``assign_shards``. A place's rows are spread over ``tasks`` tasks by a hash
+    of the id, so that a place with a third of all rows isn't one task's work.
+    """
     placed = assign_shards(df, topology, id_col, tuple(df.columns))
-    placed.repartition(*LEVELS).write.partitionBy(*LEVELS).parquet(path)
+    placed.repartition(*LEVELS, F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(tasks))).write.partitionBy(*LEVELS).parquet(path)
 
 
 def oracle(topology: Mapping = TOPOLOGY) -> str:
