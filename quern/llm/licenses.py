@@ -29,7 +29,9 @@ from quern.session import materialize, ship_code
 _WORD = re.compile(r"[^\W_]+(?:\.[0-9]+)*").findall
 #: A template's rarest words that are looked up, beside its phrases' words.
 RARE = 24
-#: How far key phrases may stand from where the shift puts them, in words.
+#: How far key phrases may stand from where the shift puts them, in words. A
+#: notice of several phrases with more words put in between than this isn't one;
+#: a notice of one phrase is found wherever the phrase stands.
 SLACK = 6
 _SLICE = 4_000_000
 
@@ -191,7 +193,7 @@ def _encode(df: DataFrame, index: Index, id_col: str, text_col: str) -> DataFram
             total += len(present)
             seen += present.sum(0)
             at = np.flatnonzero(some)
-            raw = [codes[offsets[i] : offsets[i + 1]].astype(np.int16).tobytes() for i in at]
+            raw = [codes[offsets[i] : offsets[i + 1]].astype(np.int32).tobytes() for i in at]
             yield pa.RecordBatch.from_arrays([pa.nulls(len(at), pa.int32()), pa.nulls(len(at), pa.int64()), rows.column("id").take(pa.array(at)), pa.array(raw, pa.binary())], ["code", "n", "id", "codes"])
         if kind is not None:
             yield pa.RecordBatch.from_arrays([pa.array([-1, *range(size)], pa.int32()), pa.array([total, *seen.tolist()], pa.int64()), pa.nulls(size + 1, kind), pa.nulls(size + 1, pa.binary())], ["code", "n", "id", "codes"])
@@ -222,7 +224,7 @@ def scan_licenses(df: DataFrame, templates: Sequence[Template] = TEMPLATES, rare
         for batch in batches:
             at, out = [], []
             for i, raw in enumerate(batch.column("codes").to_pylist()):
-                for match in index.scan(np.frombuffer(raw, np.int16), idf, rare, slack):
+                for match in index.scan(np.frombuffer(raw, np.int32), idf, rare, slack):
                     at.append(i)
                     out.append(match)
             cols = list(zip(*out)) or [()] * 4

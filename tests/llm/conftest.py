@@ -36,10 +36,17 @@ def empty(spark):
 
 @pytest.fixture(scope="session")
 def clashing(spark, docs):
-    """Extra columns with names that the operators use themselves."""
+    """Extra columns of every name that the operators' source has as a literal,
+    alone and after the prefix of their own columns."""
+    import glob
+    import os
+    import re
+
     from pyspark.sql import functions as F
 
-    out = docs
-    for c in ("id", "key", "bands", "tokens", "signature", "predicted", "rejected", "reason", "band", "copy", "n", "root", "region", "rack", "license", "docs", "version", "count", "__quern_text", "__quern_key", "row"):
-        out = out.withColumn(c, F.lit("x"))
-    return out
+    names = set()
+    for path in [*glob.glob(os.path.join(os.path.dirname(__file__), "../../quern/llm/*.py")), os.path.join(os.path.dirname(__file__), "../../quern/session.py")]:
+        with open(path) as f:
+            names |= {x.lower() for x in re.findall(r"""["']([A-Za-z_][A-Za-z0-9_]{0,24})["']""", f.read())}
+    names = {n for n in names | {"__quern_" + n.removeprefix("__quern_") for n in names}} - {c.lower() for c in docs.columns}
+    return docs.select("*", *(F.lit("x").alias(n) for n in sorted(names)))

@@ -4,11 +4,12 @@ import math
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from conftest_data import ROWS, prose
 from quern.llm import bpe, counts, fingerprints, licenses, mixing, sharding, urls
-from quern.llm.words import words_of
+from quern.llm.words import hash_word, mix, word_hashes, words_of
 
 PLAIN = "byte_bpe_50k.tiktoken"
 
@@ -27,6 +28,46 @@ def test_fingerprint_collisions_follow_weighted_jaccard():
     assert abs((sig[0] == sig[1]).mean() - true) < 4 * math.sqrt(true * (1 - true) / 4096)
 
 
+def test_fingerprint_samples_match_brute_force():
+    """Every sample again from its definition, a word at a time."""
+    texts = ["a b b c", "née née née x", "word " * 70 + "other", "one"]
+    words, offsets = word_hashes(pa.array(texts, pa.large_string()))
+    got, _ = fingerprints.signatures(words, offsets, 32)
+    one = np.float32(1)
+    m64 = (1 << 64) - 1
+
+    def uniform(bits, half):
+        return (np.float32(bits >> 32 if half else bits & 0xFFFFFFFF) + np.float32(0.5)) * np.float32(2.0**-32)
+
+    for i, t in enumerate(texts):
+        for k in range(32):
+            best = None
+            for w, n in Counter(words_of(t)).items():
+                x = hash_word(w)
+                h = [(x + k * 0x9E3779B9 + 0x85EBCA6B + 1) & m64]
+                for _ in range(3):
+                    h.append(int(mix(np.array([h[-1]], np.uint64))[0]))
+                r = np.maximum(-np.log(uniform(h[1], True) * uniform(h[1], False)), np.float32(1e-6))
+                c = np.maximum(-np.log(uniform(h[2], True) * uniform(h[2], False)), np.float32(1e-12))
+                b = np.float32(h[3] >> 32) * np.float32(2.0**-32)
+                step = np.floor(np.log(np.float32(n)) / r + b)
+                draw = np.log(c) - r * (step - b) - r * one
+                low = int(mix(np.array([x ^ (int(step) * 0xC2B2AE3D27D4EB4F & m64) ^ 1], np.uint64))[0]) & 0xFFFFFFFF
+                best = min(best or (draw, low), (draw, low))
+            assert int(np.uint32(np.int64(got[i][k]) & 0xFFFFFFFF)) == best[1]
+
+
+def test_fingerprint_slices_and_similarity(spark):
+    texts = pa.array(["a b b c", "x" * 5000, "", "a b b d"], pa.large_string())
+    whole = fingerprints.signatures(*word_hashes(texts))[0]
+    parts = [fingerprints.signatures(*word_hashes(texts.slice(i, 1)))[0] for i in (0, 1, 3)]
+    assert np.array_equal(whole, np.concatenate(parts))
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([([1, 2, 3, 4], [1, 0, 3, 4]), ([1], None)], "a array<int>, b array<int>")
+    assert [r[0] for r in df.select(fingerprints.estimated_similarity(F.col("a"), F.col("b"))).collect()] == [0.75, None]
+
+
 def test_fingerprints_edges(docs, empty, clashing):
     rows = {}
     for r in fingerprints.fingerprint_documents(docs).collect():
@@ -150,9 +191,97 @@ def test_ledger_commits_once_and_survives_torn_batches(spark, tmp_path):
         ledger.commit("../x", rows)
 
 
+def test_ledger_takes_several_tables_and_writers(spark, tmp_path, empty):
+    path = f"{tmp_path}/ledger"
+    one = spark.createDataFrame([(i, prose(i, 30), "en", "a", 1) for i in range(4)], empty.schema)
+    two = spark.createDataFrame([(i, prose(i, 30), "en", "b", 1) for i in range(10, 13)], empty.schema)
+    totals = lambda df: {r["source"]: r["docs"] for r in df.collect()}
+    assert totals(counts.maintain_counts(one, path=path)) == {"a": 4}
+    assert totals(counts.maintain_counts(two, path=path)) == {"a": 4, "b": 3}
+    assert totals(counts.maintain_counts(one.orderBy("text"), path=path)) == {"a": 4, "b": 3}
+    ledger = counts.Ledger(spark, path)
+    rows = spark.createDataFrame([("c", "en", "v", 1, 10, 50)], "source string, lang string, version string, docs long, tokens long, chars long")
+    # another writer is first, after this one has looked
+    rival = counts.Ledger(spark, path)
+    own = ledger._rename
+    ledger._rename = lambda a, b: (rival.commit("race", rows), own(a, b))[1]
+    assert not ledger.commit("race", rows) and totals(ledger.totals()) == {"a": 4, "b": 3, "c": 1}
+    # a crash of a compaction before it deletes what it folded, then another compaction
+    ledger.sweep = lambda: None
+    ledger.compact()
+    assert ledger._folders("batch=") and totals(ledger.totals()) == {"a": 4, "b": 3, "c": 1} and not rival.commit("race", rows)
+    rival.compact()
+    assert not rival._folders("batch=") and totals(rival.totals()) == {"a": 4, "b": 3, "c": 1} and not rival.commit("race", rows)
+
+
 # 7
 
 
+def brute_licenses(texts):
+    """Every shift of every template over every file, by definition."""
+    from quern.llm.licenses import RARE, SLACK, TEMPLATES, words
+
+    files = [words(t or "") for t in texts]
+    vocabulary = {w for t in TEMPLATES for w in words(t.text)}
+    df = Counter(w for f in files for w in vocabulary & set(f))
+    idf = {w: math.log((1 + len(files)) / (1 + df[w])) for w in vocabulary}
+    out = []
+    for n, f in enumerate(files):
+        found = {}
+        for t in TEMPLATES:
+            ws, phrases = words(t.text), [words(p) for p in t.phrases]
+            stands = [[i for i in range(len(f)) if f[i : i + len(p)] == p] for p in phrases]
+            if not all(stands):
+                continue
+            rare = sorted({w for w in ws if w in f}, key=lambda w: (-idf[w], w))[:RARE]
+            looked = {*rare, *(w for p in phrases for w in p)}
+            at = [next(i for i in range(len(ws)) if ws[i : i + len(p)] == p) for p in phrases]
+            for shift in range(-len(ws), len(f)):
+                agreed = sum(any(ws[i] == w and 0 <= shift + i < len(f) and f[shift + i] == w for i in range(len(ws))) for w in looked)
+                if agreed >= min(2, len(looked)) and all(any(abs(s - shift - a) <= SLACK for s in own) for a, own in zip(at, stands)):
+                    share = sum(0 <= shift + i < len(f) and f[shift + i] == w for i, w in enumerate(ws)) / len(ws)
+                    key = (t.name, max(shift, 0))
+                    found[key] = max(found.get(key, (0, 0, 0)), (share, agreed, len(ws)))
+        taken = []
+        for (name, start), (share, agreed, size) in sorted(found.items(), key=lambda x: (-round(x[1][0] * x[1][2]), -x[1][0], x[0][1], x[0][0])):
+            if not any(m == name and start < s + z and s < start + size for m, s, z in taken):
+                taken.append((name, start, size))
+                out.append((n, name, start, agreed, round(share, 4)))
+    return sorted(out)
+
+
+def test_licenses_match_a_scan_of_all_shifts(spark):
+    """Several notices in a file, broken, overlapping, repeated and cut ones."""
+    import random
+
+    from quern.llm.licenses import TEMPLATES
+
+    rng, texts = random.Random(8), [None, "", prose(1, 40)]
+    for i in range(40):
+        parts = []
+        for t in rng.sample(TEMPLATES, 1 + i % 5):
+            ws = t.text.split(" ")
+            if i % 3 == 1:  # words put in between
+                ws.insert(rng.randrange(len(ws)), " ".join(["odd"] * rng.randrange(1, 9)))
+            if i % 4 == 3:  # cut at either end
+                ws = ws[rng.randrange(3) : len(ws) - rng.randrange(3)]
+            parts += [prose(100 + i, rng.randrange(6)), " ".join(ws)]
+        texts.append(" ".join(parts) + (" " + parts[-1] if i % 7 == 0 else ""))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = sorted((r["doc_id"], r["license"], r["first_word"], r["rare_words"], r["in_place"]) for r in licenses.scan_licenses(df).collect())
+    assert got == brute_licenses(texts) and len(got) > 60
+
+
+def test_licenses_of_long_texts_and_large_vocabularies(spark):
+    """A file beyond a slice, and templates of more words than 16 bits count."""
+    many = " ".join(f"w{i}" for i in range(40_000))
+    own = [licenses.Template("BIG", many + " grant alpha beta", ("grant alpha beta",)), licenses.Template("ZED", "zz zy zx", ("zz zy zx",))]
+    rows = [(1, prose(3, 900_000) + " zz zy zx"), (2, "see " + many + " grant alpha beta"), (3, "z" * 4_500_000)]
+    assert len(rows[0][1]) > licenses._SLICE
+    got = licenses.scan_licenses(spark.createDataFrame(rows, "doc_id int, text string"), own).collect()
+    assert {(r["doc_id"], r["license"], r["first_word"], r["in_place"]) for r in got} == {(1, "ZED", 900_000, 1.0), (2, "BIG", 1, 1.0)}
+
+
 def test_licenses(spark, docs, empty, clashing):
     mit, apache = "Released under the MIT License", "Licensed under the Apache License, Version 2.0"
     texts = [
@@ -239,9 +368,55 @@ def test_mixing_draws_poisson_quantiles(spark, docs, empty, clashing):
     assert mixing.mix_sources(docs, copy_col=None).columns == docs.columns
 
 
+def test_poisson_quantiles_of_high_rates(spark):
+    """Against sums of exact terms; beyond, against the normal law."""
+    from pyspark.sql import functions as F
+
+    us = [2.0**-52, 1e-9, 0.01, 0.3, 0.5, 0.77, 0.999, 1 - 1e-9, 1 - 2.0**-52]
+    rows = [(float(r), u) for r in (0.0, 1e-3, 0.7, 20.0, 190.0, 745.3, 1e4, 1e6) for u in (0.0, *us)]
+    got = spark.createDataFrame(rows, "rate double, u double").select("rate", "u", mixing.poisson_count(F.col("rate"), F.col("u")).alias("n")).collect()
+    for r in got:
+        rate, u, k, total = r["rate"], r["u"], 0, 0.0
+        if rate == 0 or u == 0:
+            assert r["n"] == 0
+            continue
+        low = max(0, int(rate - 15 * rate**0.5 - 40))
+        terms = lambda k: math.exp(k * math.log(rate) - rate - math.lgamma(k + 1))
+        below, k = sum(map(terms, range(low, r["n"]))), r["n"]
+        slack = 1e-8 if rate > 1000 else 1e-11  # of lgamma
+        assert below <= u + slack and (below + terms(k) > u - slack)
+    far = spark.createDataFrame([(1e9, 0.5), (1e9, 0.8413447460685429)], "rate double, u double").select(mixing.poisson_count(F.col("rate"), F.col("u"))).collect()
+    assert abs(far[0][0] - 1e9) <= 2 and abs(far[1][0] - (1e9 + 1e9**0.5)) <= 3
+
+
+def test_mixing_of_a_tiny_source(spark, empty):
+    """A source far smaller than its weight: one row in runs of copies."""
+    rows = [(1, "x", None, "tiny", 1), (2, "y" * 600_000, None, "big", 1), (3, "z" * 600_000, None, "big", 1)]
+    out = mixing.mix_sources(spark.createDataFrame(rows, empty.schema)).select("doc_id", "copy").where("doc_id = 1").collect()
+    assert abs(len(out) - 300_000) < 6 * 300_000**0.5 and sorted(r["copy"] for r in out) == list(range(1, len(out) + 1))
+
+
 # 10
 
 
+def test_sharding_names(spark, docs, clashing, tmp_path):
+    with pytest.raises(ValueError):
+        sharding.assign_shards(docs.withColumnRenamed("doc_id", "shard"), id_col="shard")
+    carried = sharding.assign_shards(clashing, carry=tuple(clashing.columns))
+    assert len(carried.columns) == len({*clashing.columns, *sharding.LEVELS}) and places(carried.drop(*sharding.LEVELS)) == places(docs)
+    sharding.write_sharded(docs, f"{tmp_path}/sharded")
+    back = spark.read.parquet(f"{tmp_path}/sharded")
+    assert back.count() == len(ROWS) and {*docs.columns, *sharding.LEVELS} == set(back.columns)
+    assert {r["doc_id"]: (r["region"], r["rack"], str(r["shard"])) for r in back.collect()} == places(docs)
+
+
+def test_equal_draws_go_to_the_first_name(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(sharding, "_draw", lambda key, path, w: F.lit(1.0))
+    assert set(places(spark.range(5).withColumnRenamed("id", "doc_id")).values()) == {("ap", "a", "0")}
+
+
 def places(df, topology=sharding.TOPOLOGY):
     return {r["doc_id"]: (r["region"], r["rack"], r["shard"]) for r in sharding.assign_shards(df, topology).collect()}
 
