@@ -11,7 +11,7 @@ import unicodedata
 from dataclasses import dataclass, replace
 
 import pandas as pd
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
@@ -24,6 +24,7 @@ LINK = r"^(?:https?://\S|www\.\S|[A-Za-z0-9_.+-]+@[A-Za-z0-9-]+\.[A-Za-z0-9.-])"
 CONTRACTION = r"(?<=\w)'(?=\w)"
 CAMEL = r"(?<=\p{Ll})(?=\p{Lu})|(?<=\p{Lu})(?=\p{Lu}\p{Ll})"
 MARKS = r"[^\p{L}\p{N}_\s]+"
+KEPT_MARKS = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"
 #: A short general list; a deployment passes its own by ``read_stop_words``.
 STOP_WORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "to", "was", "were", "will", "with")
 _PLAIN = {c: d for c in map(chr, range(0xC0, 0x250)) if len(d := unicodedata.normalize("NFKD", c).encode("ascii", "ignore").decode()) == 1}
@@ -32,7 +33,7 @@ _PLAIN = {c: d for c in map(chr, range(0xC0, 0x250)) if len(d := unicodedata.nor
 @dataclass(frozen=True)
 class Analyzer:
     """links, contractions: remove, join or keep; digits: remove, split or keep;
-    punctuation: split, remove or keep; snake, camel: split, keep-split or keep."""
+    punctuation: split, keep-split (each mark is a token of its own), remove or keep; snake, camel: split, keep-split or keep."""
 
     links: str = "remove"
     contractions: str = "join"
@@ -43,6 +44,7 @@ class Analyzer:
     stop_words: tuple[str, ...] = STOP_WORDS
     stemming: bool = True
     ascii: bool = True
+    spell: bool = False  # other alphabets in Latin letters, beside ascii
 
     def without_stop_words(self) -> Analyzer:
         return replace(self, stop_words=())
@@ -72,6 +74,26 @@ def to_ascii(text: Column) -> Column:
     return F.regexp_replace(F.translate(text, letters, "".join(_PLAIN.values())), r"\p{Mn}+", "")
 
 
+#: Letters that stand for one or more Latin ones: ligatures, Greek, Cyrillic.
+_SPELLED = {
+    "ß": "ss", "Æ": "AE", "æ": "ae", "Ø": "O", "ø": "o", "Œ": "OE", "œ": "oe", "Đ": "D", "đ": "d", "Ð": "D", "ð": "d", "Þ": "Th", "þ": "th", "Ł": "L", "ł": "l", "ı": "i", "ﬁ": "fi", "ﬂ": "fl",
+    **dict(zip("αβγδεζηθικλμνξοπρσςτυφχψω", "a b g d e z e th i k l m n x o p r s s t u ph kh ps o".split())),
+    **dict(zip("абвгдежзийклмнопрстуфхцчшщъыьэюяёіїєґ", "a b v g d e zh z i i k l m n o p r s t u f kh ts ch sh shch ' y ' e iu ia io i i ie g".split())),
+    "–": "-", "—": "-", "‘": "'", "’": "'", "“": '"', "”": '"', "…": "...",
+}
+_SPELLED |= {k.upper(): v.capitalize() for k, v in _SPELLED.items() if len(k.upper()) == 1 and k.upper() not in _SPELLED}
+
+
+def transliterate(text: Column) -> Column:
+    """``to_ascii``, and ligatures, Greek, Cyrillic and typographic marks spelled
+    in Latin letters. Other scripts stay: their spelling hangs on the language."""
+    plain = to_ascii(text)
+    pieces = F.split(plain, "")
+    spelled = F.create_map(*(F.lit(x) for kv in _SPELLED.items() for x in kv))
+    there = plain.rlike("[" + "".join(_SPELLED) + "]")
+    return F.when(there, F.array_join(F.transform(pieces, lambda c: F.coalesce(F.try_element_at(spelled, c), c)), "")).otherwise(plain)
+
+
 def _flat(tokens: Column, f) -> Column:
     return F.filter(F.flatten(F.transform(tokens, f)), lambda t: t != "")
 
@@ -81,7 +103,7 @@ def raw_tokens(text: Column, config: Analyzer = Analyzer()) -> Column:
     variables are followed by parts that begin with a blank (see ``terms``)."""
     text = F.coalesce(text, F.lit(""))
     if config.ascii:
-        text = to_ascii(text)
+        text = transliterate(text) if config.spell else to_ascii(text)
     out = F.filter(F.split(text, r"\s+"), lambda t: t != "")
     if config.links == "remove":
         out = F.filter(out, lambda t: ~t.rlike(LINK))
@@ -95,6 +117,8 @@ def raw_tokens(text: Column, config: Analyzer = Analyzer()) -> Column:
         out = _flat(out, lambda t: F.split(t, r"(?<=[0-9])(?=[^0-9])|(?<=[^0-9])(?=[0-9])"))
     if config.punctuation == "split":
         out = _flat(out, lambda t: F.split(t, MARKS))
+    elif config.punctuation == "keep-split":
+        out = _flat(out, lambda t: F.regexp_extract_all(t, F.lit(KEPT_MARKS), F.lit(0)))
     elif config.punctuation == "remove":
         out = F.filter(F.transform(out, lambda t: F.regexp_replace(t, MARKS, "")), lambda t: t != "")
     if config.snake == "split":
@@ -185,3 +209,10 @@ def snippet(words: Column, limit: int = 30) -> Column:
     start = F.struct(F.lit(0).alias("n"), F.array().cast("array<string>").alias("words"))
     step = lambda s, b: F.when(s["n"] < limit, F.struct((s["n"] + F.size(b)).cast("int").alias("n"), F.concat(s["words"], b).alias("words"))).otherwise(s)
     return F.aggregate(words, start, step, lambda s: F.array_join(s["words"], " "))
+
+
+def corpus_stop_words(terms: DataFrame, documents: int, share: float = 0.2, most: int = 200) -> tuple[str, ...]:
+    """A stop list of the corpus itself: terms (term, df) that more than
+    ``share`` of the documents have, at most ``most``, the commonest first."""
+    rows = terms.where(F.col("df") > share * documents).orderBy(F.desc("df"), "term").limit(most).select("term").collect()
+    return tuple(r["term"] for r in rows)

@@ -81,16 +81,52 @@ def rank_correlation(lists: DataFrame) -> DataFrame:
     return rho.join(tau, "query_id", "left").select("query_id", "kendall", "spearman")
 
 
-def density_clusters(points: DataFrame, radius: float = 0.3, least: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", cells: int = 8) -> DataFrame:
+def _cells(unit: DataFrame, radius: float, size: int, pivots: int = 256) -> tuple[DataFrame, DataFrame]:
+    """Points with their cells, and the pairs (i, j) of cells, i <= j, that can
+    hold two points within the radius.
+
+    A cell is what lies nearest to one of at most ``pivots`` points of the
+    table, cut further by a hash where that is more than ``size`` points. By
+    the angles' triangle inequality two pivots' cells can only hold a close pair
+    if their angle is at most both cells' widest angles and the radius'.
+    """
+    spark, n = unit.sparkSession, unit.count()
+    chosen = unit.orderBy(F.xxhash64("id", F.lit(1)), "id").limit(max(1, min(pivots, n // size))).select("v").collect()  # at most ``pivots`` rows
+    centre = np.array([r[0] for r in chosen]).reshape(len(chosen), -1)
+    shared = spark.sparkContext.broadcast(centre)
+
+    def place(frames):
+        for f in frames:
+            if len(f):
+                s = np.stack(f["v"].to_numpy()) @ shared.value.T
+                at = s.argmax(1)
+                yield f.assign(pivot=at.astype(np.int32), wide=np.arccos(np.clip(s[np.arange(len(f)), at], -1, 1)))
+
+    kind = unit.schema["id"].dataType.simpleString()
+    placed = materialize(unit.mapInPandas(place, f"id {kind}, v array<double>, pivot int, wide double"), "placed")
+    found = {r["pivot"]: (r["wide"], -(-r["n"] // size)) for r in placed.groupBy("pivot").agg(F.max("wide").alias("wide"), F.count("*").alias("n")).collect()}
+    reach = np.arccos(np.clip(1 - radius, -1, 1)) + 1e-6
+    close = [(i, j) for i in found for j in found if i <= j and np.arccos(np.clip(centre[i] @ centre[j], -1, 1)) <= found[i][0] + found[j][0] + reach]
+    cuts = F.create_map(*(F.lit(x) for p, (_, c) in found.items() for x in (p, c))) if found else F.lit(None).cast("map<int,int>")
+    points = placed.withColumn("cell", F.col("pivot").cast("long") * (1 << 32) + F.pmod(F.xxhash64("id", F.lit(2)), F.try_element_at(cuts, F.col("pivot")))).select("id", "v", "cell")
+    pairs = spark.createDataFrame([(i, j, found[i][1], found[j][1]) for i, j in close], "p int, q int, x int, y int")
+    pairs = pairs.withColumn("a", F.explode(F.sequence(F.lit(0), F.col("x") - 1))).withColumn("b", F.explode(F.sequence(F.lit(0), F.col("y") - 1)))
+    pairs = pairs.select((F.col("p").cast("long") * (1 << 32) + F.col("a")).alias("i"), (F.col("q").cast("long") * (1 << 32) + F.col("b")).alias("j"))
+    return points, pairs.where("i <= j")
+
+
+def density_clusters(points: DataFrame, radius: float = 0.3, least: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", size: int = 4096) -> DataFrame:
     """(id, cluster): DBSCAN by cosine distance; noise is -1, a cluster is named
     by its least core id, a border point joins its nearest core's cluster.
 
-    Points meet in pairs of hash cells, each pair a task, so the pairs are
-    exact and spread; core points are linked by least-label propagation.
+    Points meet in pairs of cells of about ``size`` points (see ``_cells``),
+    each pair a task, so all close pairs are found and tasks don't grow with the
+    table; core points are linked by least-label propagation.
     """
-    unit = materialize(points.where(F.col(vec_col).isNotNull()).select(F.col(id_col).alias("id"), normalise(F.col(vec_col)).alias("v")).withColumn("cell", F.pmod(F.xxhash64("id"), F.lit(cells)).cast("int")), "points")
-    other = F.explode(F.sequence(F.lit(0), F.lit(cells - 1)))
-    spread = unit.withColumn("o", other).select("id", "v", "cell", F.least("cell", "o").alias("i"), F.greatest("cell", "o").alias("j"))
+    unit = materialize(points.where(F.col(vec_col).isNotNull()).select(F.col(id_col).alias("id"), normalise(F.col(vec_col)).alias("v")), "points")
+    placed, pairs = _cells(unit, radius, size)
+    ends = pairs.select("i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("cell"))
+    spread = placed.join(ends, "cell")
     kind = unit.schema["id"].dataType.simpleString()
 
     def meet(frame: pd.DataFrame) -> pd.DataFrame:

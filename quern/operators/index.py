@@ -11,9 +11,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.functions import pandas_udf
 
+from quern.functions import html
 from quern.functions.text import PLAIN, Analyzer, text_length, terms
 from quern.session import checked_join, materialize, ship_code
 
@@ -86,6 +91,21 @@ class Index:
         posts = postings_of(tokens(docs, analyzer, id_col, text_col, only))
         return Index(own, posts, terms_of(posts), stats_of(own))
 
+    @staticmethod
+    def of_tokens(token_rows: DataFrame, docs: DataFrame) -> Index:
+        """Index of analysed tokens (doc_id, term, pos) and any document columns.
+        A document's length is its last position and one."""
+        rows = materialize(token_rows, "tokens")
+        lengths = rows.groupBy("doc_id").agg((F.max("pos") + 1).cast("int").alias("doc_length"))
+        own = docs.where(F.col("doc_id").isNotNull()).join(lengths, "doc_id", "left").withColumn("doc_length", F.coalesce("doc_length", F.lit(0)))
+        posts = postings_of(rows)
+        return Index(own, posts, terms_of(posts), stats_of(own))
+
+    def stored(self) -> Index:
+        """The same index with postings, documents and terms written once."""
+        posts, docs = materialize(self.postings, "postings"), materialize(self.docs, "docs")
+        return Index(docs, posts, materialize(terms_of(posts.select("term", "doc_id", "tf")), "terms"), stats_of(docs))
+
     def save(self, path: str, buckets: int = BUCKETS) -> None:
         cut = self.postings.withColumn("bucket", bucket(F.col("term"), buckets))
         cut.repartition(buckets, "bucket").sortWithinPartitions("bucket", "term", "doc_id").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
@@ -163,12 +183,16 @@ def delta_encode(postings: DataFrame) -> DataFrame:
     return postings.select("term", "doc_id", (F.col("doc_id") - F.lag("doc_id", 1, 0).over(order)).alias("doc_delta"), deltas.alias("position_deltas"))
 
 
+@pandas_udf(T.ArrayType(T.IntegerType()))
+def _running_sums(lists: pd.Series) -> pd.Series:
+    return lists.map(lambda x: None if x is None else np.cumsum(np.asarray(x, np.int64)).astype(np.int32))
+
+
 def delta_decode(deltas: DataFrame) -> DataFrame:
-    """(term, doc_id, positions) again, by running sums."""
+    """(term, doc_id, positions) again, by running sums in linear time."""
+    ship_code(deltas.sparkSession)
     order = Window.partitionBy("term").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    start = F.array().cast("array<int>")
-    sums = F.aggregate("position_deltas", start, lambda acc, d: F.concat(acc, F.array((F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(0)) + d).cast("int"))))
-    return deltas.select("term", F.sum("doc_delta").over(order).alias("doc_id"), sums.alias("positions"))
+    return deltas.select("term", F.sum("doc_delta").over(order).alias("doc_id"), _running_sums("position_deltas").alias("positions"))
 
 
 def merge_segments(segments: Sequence[DataFrame]) -> DataFrame:
@@ -180,24 +204,43 @@ def merge_segments(segments: Sequence[DataFrame]) -> DataFrame:
     return out.groupBy("term", "doc_id").agg(F.sum("tf").alias("tf"), F.sort_array(F.flatten(F.collect_list("positions"))).alias("positions"))
 
 
-def shard_ranges(ids: DataFrame, shards: int, id_col: str = "doc_id") -> DataFrame:
-    """(shard, min_id, max_id, n): equal runs of ids in order.
+def ranked_ids(ids: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """(id, rank, upto) and one row (total): an id's place in order, from 0, and
+    the number of ids that aren't greater.
 
-    Ranks come from counts per range partition and ranks inside partitions, so
-    no task sees the whole table. The remainder goes to the last shard; of an
-    empty table nothing comes.
+    Places come from counts per range partition and places inside partitions,
+    so no task sees the whole table. Null ids go.
     """
     rows = ids.select(F.col(id_col).alias("id")).where("id IS NOT NULL")
     # written, since adaptive execution may cut two readings of one shuffle differently
     placed = materialize(rows.repartitionByRange("id").withColumn("part", F.spark_partition_id()), "ranges")
-    ranked = placed.withColumn("r", F.row_number().over(Window.partitionBy("part").orderBy("id")))
+    own = Window.partitionBy("part").orderBy("id")
+    ranked = placed.withColumn("r", F.row_number().over(own)).withColumn("u", F.count("*").over(own.rangeBetween(Window.unboundedPreceding, 0)))
     sizes = placed.groupBy("part").agg(F.count("*").alias("size"), F.min("id").alias("low"))
+    # one row a range partition
     before = sizes.withColumn("before", F.coalesce(F.sum("size").over(Window.orderBy("low", "part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("low", "size")
-    total = sizes.agg(F.sum("size").alias("total"))
+    out = checked_join(ranked, materialize(before, "before"), "part")
+    return out.select("id", (F.col("r") + F.col("before") - 1).alias("rank"), (F.col("u") + F.col("before")).alias("upto")), sizes.agg(F.sum("size").alias("total"))
+
+
+def merge_documents(segments: Sequence[DataFrame]) -> DataFrame:
+    """Document records of several segments; of a document that more than one
+    has, the last segment's record counts. Missing columns are null."""
+    out = segments[0].withColumn("__quern_s", F.lit(0))
+    for i, s in enumerate(segments[1:], 1):
+        out = out.unionByName(s.withColumn("__quern_s", F.lit(i)), allowMissingColumns=True)
+    names = [c for c in out.columns if c not in ("doc_id", "__quern_s")]
+    merged = out.groupBy("doc_id").agg(F.max_by(F.struct(*names), "__quern_s").alias("__quern_d"))
+    return merged.select("doc_id", "__quern_d.*")
+
+
+def shard_ranges(ids: DataFrame, shards: int, id_col: str = "doc_id") -> DataFrame:
+    """(shard, min_id, max_id, n): equal runs of ids in order. The remainder goes
+    to the last shard; of an empty table nothing comes."""
+    ranked, total = ranked_ids(ids, id_col)
     every = F.greatest(F.floor(F.col("total") / shards), F.lit(1))
-    numbered = checked_join(ranked, before, "part").crossJoin(F.broadcast(total)).withColumn("rank", F.col("r") + F.col("before") - 1)
     shard = F.least(F.floor(F.col("rank") / every), F.lit(shards - 1)).cast("int")
-    return numbered.groupBy(shard.alias("shard")).agg(F.min("id").alias("min_id"), F.max("id").alias("max_id"), F.count("*").alias("n"))
+    return ranked.crossJoin(F.broadcast(total)).groupBy(shard.alias("shard")).agg(F.min("id").alias("min_id"), F.max("id").alias("max_id"), F.count("*").alias("n"))
 
 
 def shard_of(ids: DataFrame, ranges: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -207,9 +250,39 @@ def shard_of(ids: DataFrame, ranges: DataFrame, id_col: str = "doc_id") -> DataF
 
 def running_shards(ids: DataFrame, every: int, id_col: str = "doc_id") -> DataFrame:
     """(id, shard): a running count of each ``every``-th row in id order, as
-    window SQL would number them. One task orders the ids: use ``shard_ranges``
-    on large tables."""
-    rn = F.row_number().over(Window.orderBy(id_col))
-    numbered = ids.select(id_col).withColumn("rn", rn)
-    whole = Window.orderBy(id_col).rangeBetween(Window.unboundedPreceding, 0)
-    return numbered.select(id_col, F.sum(F.when(F.col("rn") % every == 1, 1).otherwise(0)).over(whole).alias("shard"))
+    window SQL numbers them; equal ids share the last one's number. Places come
+    from ``ranked_ids``, not from one task's window over the table."""
+    ranked, _ = ranked_ids(ids, id_col)
+    shard = F.floor((F.col("upto") - 1) / every) + 1 if every > 1 else F.lit(0)
+    return ranked.select(F.col("id").alias(id_col), shard.cast("long").alias("shard"))
+
+
+def approximate_count(df: DataFrame, share: float = 0.01, seed: int = 0) -> DataFrame:
+    """One row (n): the number of rows from a Bernoulli sample, scaled up. An
+    exact count is as cheap on parquet, whose footers have it; this is for
+    sources where it isn't."""
+    return df.sample(share, seed).agg((F.count("*") / F.lit(share)).cast("long").alias("n"))
+
+
+def block_tokens(docs: DataFrame, fields: Sequence[str] = ("title", "body"), analyzer: Analyzer | None = PLAIN, id_col: str = "doc_id", raw: Sequence[str] = ("title",)) -> DataFrame:
+    """(doc_id, term, pos) of documents whose fields are HTML.
+
+    Each field is parsed to blocks (those in ``raw`` are one plain block each),
+    a link block adds its address and alternative text, and every block is
+    analysed on its own. Positions run on from block to block and from field to
+    field, over tokens before stop words go; parts of kept variables have -1.
+    Null fields have no blocks; null ids go.
+    """
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), *(F.col(f).cast("string").alias(f"f{i}") for i, f in enumerate(fields)))
+    for i, f in enumerate(fields):
+        if f in raw:
+            rows = rows.withColumn(f"b{i}", F.when(F.col(f"f{i}").isNotNull(), html.raw_blocks(F.col(f"f{i}"))))
+        else:
+            rows = html.with_blocks(rows, f"f{i}", f"b{i}")
+    texts = F.flatten(F.array(*(F.transform(F.coalesce(F.col(f"b{i}"), F.array().cast(f"array<{html.BLOCK}>")), html.block_text) for i in range(len(fields)))))
+    blocks = rows.select("doc_id", F.posexplode(texts).alias("block", "text"))
+    found = blocks.select("doc_id", "block", terms(F.col("text"), analyzer).alias("ts"), text_length(F.col("text"), analyzer).alias("size"))
+    # a document's own blocks in order
+    before = F.coalesce(F.sum("size").over(Window.partitionBy("doc_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = found.withColumn("before", before).select("doc_id", "before", F.explode("ts").alias("t"))
+    return placed.select("doc_id", "t.term", F.when(F.col("t.pos") >= 0, F.col("t.pos") + F.col("before")).otherwise(-1).cast("int").alias("pos"))

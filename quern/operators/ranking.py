@@ -101,15 +101,21 @@ def search_all(index: Index, query: Sequence[str], limit: int = 50, k1: float =
     return out.orderBy(F.desc("bm25_score"), "doc_id").limit(limit)
 
 
-def search_many(index: Index, queries: DataFrame, limit: int = 10, k1: float = K1, b: float = B) -> DataFrame:
+def search_many(index: Index, queries: DataFrame, limit: int = 10, k1: float = K1, b: float = B, digits: int | None = None) -> DataFrame:
     """(query_id, doc_id, bm25_score, rank) for a table (query_id, term): the
-    batch form, one join of query terms with postings for all queries."""
+    batch form, one join of query terms with postings for all queries. Scores
+    are rounded to ``digits`` before they are ranked.
+
+    The index should be a saved or ``stored`` one, since its parts are read
+    several times. Ranks have a bound, so each partition passes on the best of
+    a query only.
+    """
     q = queries.where("term <> ''").select("query_id", "term").distinct()
     weighted = checked_join(index.terms, q.select("term").distinct(), "term", "left_semi", BROADCAST_ROWS).crossJoin(F.broadcast(index.stats))
     weighted = weighted.select("term", plain_idf(F.col("n_docs"), F.col("df")).alias("idf"), "avg_length")
     hits = index.postings.select("doc_id", "term", "tf").join(weighted, "term").join(index.docs.select("doc_id", "doc_length"), "doc_id")
     hits = hits.withColumn("s", bm25(F.col("tf"), F.col("doc_length"), F.col("avg_length"), F.col("idf"), k1, b)).select("doc_id", "term", "s")
-    scored = checked_join(hits, q, "term").groupBy("query_id", "doc_id").agg(F.sum("s").alias("bm25_score"))
+    scored = checked_join(hits, q, "term").groupBy("query_id", "doc_id").agg((F.sum("s") if digits is None else F.round(F.sum("s"), digits)).alias("bm25_score"))
     best = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("bm25_score"), "doc_id")))
     return best.where(F.col("rank") <= limit)
 

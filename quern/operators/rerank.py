@@ -45,14 +45,23 @@ def add_lm_score(results: DataFrame, vectors: DataFrame, query: Sequence[float],
     q = F.array(*(F.lit(float(x)) for x in query))
     scores = vectors.join(results.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", cosine(F.col("embedding"), q).alias("lm_score"))
     out = results.drop("lm_score").join(scores, "doc_id", "inner" if drop_missing else "left")
-    least = F.min("lm_score").over(Window.partitionBy())  # over results of one query, at most DEPTH rows
-    out = out.withColumn("lm_score", F.coalesce("lm_score", least - 0.1, F.lit(-1.0)))
+    least = scores.agg(F.min("lm_score").alias("__quern_least"))  # one row
+    out = out.crossJoin(F.broadcast(least)).withColumn("lm_score", F.coalesce("lm_score", F.col("__quern_least") - 0.1, F.lit(-1.0))).drop("__quern_least")
     return out.orderBy(F.asc("lm_score") if ascending else F.desc("lm_score"), "doc_id")
 
 
 def fuse(results: DataFrame, weights: Sequence[float] = FUSION, by: Sequence[str] = ()) -> DataFrame:
     """Adds final_score: weighted sum of the min-max normalised bm25, lm and
-    metadata scores within a query's results; a flat score counts as 0."""
+    metadata scores within a query's results; a flat score counts as 0.
+    Without ``by`` all rows are one query's results, and their ranges come from
+    an aggregate of one row."""
+    if not by:
+        names = ("bm25_score", "lm_score", "metadata_score")
+        ranges = results.agg(*(f(c).alias(f"__quern_{n}_{c}") for c in names for n, f in (("min", F.min), ("max", F.max))))
+        total = F.lit(0.0)
+        for c, weight in zip(names, weights):
+            total = total + min_max(F.col(c), F.col(f"__quern_min_{c}"), F.col(f"__quern_max_{c}")) * float(weight)
+        return results.crossJoin(F.broadcast(ranges)).withColumn("final_score", total).drop(*ranges.columns).orderBy(F.desc("final_score"), "doc_id")
     w = Window.partitionBy(*by)
     total = F.lit(0.0)
     for c, weight in zip(("bm25_score", "lm_score", "metadata_score"), weights):
@@ -136,3 +145,20 @@ def score_subset(results: DataFrame, today: str, weights: Mapping[str, float] |
     weights = weights or {"viewcount": 1.2, **dict.fromkeys(("days_since_creation", "userreputation", "score"), 1.5)}
     aged = results.withColumn("days_since_creation", F.datediff(F.lit(today).cast("date"), F.col("creationdate").cast("date")))
     return add_metadata_score(aged, weights=weights).orderBy(F.desc("metadata_score"), "doc_id")
+
+
+def rescore(docs: DataFrame, weights: Mapping[str, float] | None = None) -> DataFrame:
+    """Document records of merged segments with the metadata score worked out
+    again over the ranges of all of them; the score they had goes."""
+    out = docs.drop("metadata_score")
+    return add_metadata_score(out, weights=weights) if weights is not None else add_metadata_score(out)
+
+
+def fill(results: DataFrame, docs: DataFrame, k: int, seed: int = 0) -> DataFrame:
+    """The k best of a result; a shorter one is filled up with other documents,
+    drawn by a seeded hash of the id, so a rerun draws the same."""
+    best = results.orderBy(F.desc("bm25_score"), "doc_id").limit(k)
+    order = F.xxhash64("doc_id", F.lit(seed))
+    others = docs.select("doc_id").join(results.select("doc_id"), "doc_id", "left_anti").withColumn("__quern_h", order).orderBy("__quern_h", "doc_id").limit(k)
+    both = best.select("doc_id", "bm25_score", F.lit(0).alias("__quern_o"), F.lit(0).cast("long").alias("__quern_h")).unionByName(others.select("doc_id", F.lit(None).cast("double").alias("bm25_score"), F.lit(1).alias("__quern_o"), "__quern_h"))
+    return both.orderBy("__quern_o", F.desc_nulls_last("bm25_score"), "__quern_h", "doc_id").limit(k).drop("__quern_o", "__quern_h")

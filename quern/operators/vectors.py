@@ -12,9 +12,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.functions.vectors import dot, norm, normalise, squared_distance
-from quern.session import fits_broadcast
+from quern.session import materialize, path_exists
 
 PROBES, LISTS, TRAIN = 64, 1024, 100_000
+#: Vectors and queries of one block.
+ROWS, QUERIES = 32_768, 4096
 
 
 def _literal(v: Sequence[float]):
@@ -36,36 +38,38 @@ def nearest(vectors: DataFrame, query: Sequence[float], k: int = 10, id_col: str
 def nearest_many(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", query_id: str = "query_id", query_vec: str = "query") -> DataFrame:
     """(query_id, id, score, rank): every query against every vector.
 
-    Blocks of vectors are multiplied with all queries in BLAS and each block
-    gives its k best, so only k rows a block and query are shuffled. Queries
-    that fit are sent whole to all tasks; more are met block by block in a
-    cross join. Ties go to the lesser id.
+    Both sides are cut into blocks by a hash; every pair of blocks is one task's
+    matrix product, and passes on each query's k best of the block. So any
+    number of queries is met in one way, nothing is collected, and what is
+    shuffled beside the blocks is k rows a query and block. Ties go to the
+    lesser id; rows without a vector have no scores.
     """
     kind = vectors.schema[id_col].dataType.simpleString()
     qkind = queries.schema[query_id].dataType.simpleString()
-    if fits_broadcast(queries, 20_000):
-        rows = queries.select(query_id, query_vec).where(F.col(query_vec).isNotNull()).collect()
-        ids = [r[0] for r in rows]
-        matrix = np.array([r[1] for r in rows], np.float64).reshape(len(rows), -1)
-        shared = vectors.sparkSession.sparkContext.broadcast((ids, matrix))
-
-        def best(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            own, q = shared.value
-            for f in frames:
-                f = f[f["v"].notna()]
-                if not len(f) or not own:
-                    continue
-                scores = np.stack(f["v"].to_numpy()).astype(np.float64) @ q.T
-                names = f["id"].to_numpy()
-                for j, qid in enumerate(own):
-                    s = scores[:, j]
-                    cut = np.partition(s, -min(k, len(s)))[-min(k, len(s))]
-                    at = np.flatnonzero(s >= cut)
-                    yield pd.DataFrame({"query_id": [qid] * len(at), "id": names[at], "score": s[at]})
-
-        found = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v")).mapInPandas(best, f"query_id {qkind}, id {kind}, score double")
-    else:
-        found = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v")).crossJoin(queries.select(F.col(query_id).alias("query_id"), F.col(query_vec).alias("q"))).select("query_id", "id", dot(F.col("v"), F.col("q")).alias("score")).where("score IS NOT NULL")
+    rows = vectors.where(F.col(vec_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vec_col).alias("v"))
+    asked = queries.where(F.col(query_vec).isNotNull()).select(F.col(query_id).alias("query_id"), F.col(query_vec).alias("q"))
+    cores = vectors.sparkSession.sparkContext.defaultParallelism
+    n, m = rows.count(), asked.count()
+    down, across = max(1, -(-n // ROWS), min(cores, n // 256)), max(1, -(-m // QUERIES))
+    rows = rows.withColumn("i", F.pmod(F.xxhash64("id"), F.lit(down).cast("long"))).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(across - 1).cast("long"))))
+    asked = asked.withColumn("j", F.pmod(F.xxhash64("query_id"), F.lit(across).cast("long"))).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(down - 1).cast("long"))))
+
+    def best(own: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
+        if not len(own) or not len(block):
+            return pd.DataFrame({"query_id": own["query_id"][:0], "id": block["id"][:0], "score": np.zeros(0)})
+        block = block.sort_values("id", kind="stable")
+        names, matrix, out = block["id"].to_numpy(), np.stack(block["v"].to_numpy()).astype(np.float64), []
+        for a in range(0, len(own), 256):
+            part = own.iloc[a : a + 256]
+            scores = np.stack(part["q"].to_numpy()).astype(np.float64) @ matrix.T
+            for qid, s in zip(part["query_id"], scores):
+                cut = np.partition(s, -min(k, len(s)))[-min(k, len(s))]
+                at = np.flatnonzero(s >= cut)
+                at = at[np.argsort(-s[at], kind="stable")][:k]
+                out.append(pd.DataFrame({"query_id": [qid] * len(at), "id": names[at], "score": s[at]}))
+        return pd.concat(out)
+
+    found = asked.groupBy("i", "j").cogroup(rows.groupBy("i", "j")).applyInPandas(best, f"query_id {qkind}, id {kind}, score double")
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id")))
     return ranked.where(F.col("rank") <= k).withColumnsRenamed({"query_id": query_id, "id": id_col})
 
@@ -90,18 +94,18 @@ class InvertedFile:
 
     @staticmethod
     def build(vectors: DataFrame, lists: int = LISTS, train: int = TRAIN, id_col: str = "vec_id", vec_col: str = "embedding", seed: int = 7) -> InvertedFile:
-        """Coarse centroids from k-means on a bounded sample (``train`` rows by
-        hash of the id), then every vector goes to its nearest list."""
+        """Coarse centroids by distributed k-means on a bounded sample (``train``
+        rows by hash of the id), then every vector goes to its nearest list."""
+        from pyspark.ml.clustering import KMeans
+        from pyspark.ml.functions import array_to_vector
+
         unit = vectors.where(F.col(vec_col).isNotNull()).select(F.col(id_col).alias("id"), normalise(F.col(vec_col)).alias("embedding"))
-        sample = np.array([r[0] for r in unit.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(train).select("embedding").collect()])
-        rng = np.random.default_rng(seed)
-        c = sample[rng.choice(len(sample), min(lists, len(sample)), replace=False)] if len(sample) else np.zeros((0, 0))
-        for _ in range(10):
-            at = np.concatenate([(sample[i : i + 4096] @ c.T).argmax(1) for i in range(0, len(sample), 4096)]) if len(sample) else np.empty(0, int)
-            for j in range(len(c)):
-                if (at == j).any():
-                    m = sample[at == j].mean(0)
-                    c[j] = m / max(np.linalg.norm(m), 1e-12)
+        sample = materialize(unit.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(train).select("id", array_to_vector("embedding").alias("features")), "train")
+        c = np.zeros((0, 0))
+        if (n := sample.count()):
+            model = KMeans(k=max(2, min(lists, n)), seed=seed, maxIter=10, featuresCol="features", distanceMeasure="euclidean").fit(sample)
+            c = np.array(model.clusterCenters())
+            c = c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
         shared = vectors.sparkSession.sparkContext.broadcast(c)
 
         def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -179,6 +183,42 @@ def hashing_embedder(dim: int = 64):
     return embed
 
 
+def pooled(tokens: np.ndarray, mask: np.ndarray, how: str = "mean") -> np.ndarray:
+    """One vector a text from an encoder's token vectors (texts, tokens, dim):
+    the first token's (``cls``), the mean of those that the mask has
+    (``mean``), or their sum over the padded length (``padded``)."""
+    if how == "cls":
+        return tokens[:, 0]
+    total = (tokens * mask[:, :, None]).sum(1)
+    if how == "padded":
+        return total / tokens.shape[1]
+    return total / np.maximum(mask.sum(1), 1)[:, None]
+
+
+def pooling_embedder(encode, how: str = "mean"):
+    """An ``embed`` for ``embed_texts`` from an encoder that maps texts to
+    (token vectors, mask)."""
+    return lambda texts: pooled(*encode(texts), how)
+
+
+def dump_vectors(df: DataFrame, path: str, id_col: str = "vec_id", vec_col: str = "embedding") -> None:
+    """(id, embedding array<float>) as parquet in order of the id: what array
+    files of other tools hold, readable without them."""
+    out = df.where(F.col(vec_col).isNotNull()).select(F.col(id_col), F.col(vec_col).cast("array<float>").alias(vec_col))
+    out.repartitionByRange(id_col).sortWithinPartitions(id_col).write.mode("overwrite").parquet(path)
+
+
+def append_vectors(df: DataFrame, path: str, batch: str, id_col: str = "vec_id", vec_col: str = "embedding") -> bool:
+    """Add one batch of vectors under its own folder; a replay of a batch that
+    is there does nothing, one that was torn is written again."""
+    spark = df.sparkSession
+    at = f"{path.rstrip('/')}/batch={batch}"
+    if path_exists(spark, f"{at}/_SUCCESS"):
+        return False
+    df.where(F.col(vec_col).isNotNull()).select(F.col(id_col), F.col(vec_col).cast("array<float>").alias(vec_col)).write.mode("overwrite").parquet(at)
+    return True
+
+
 def embed_texts(df: DataFrame, embed=None, id_col: str = "doc_id", text_col: str = "text", batch: int = 64) -> DataFrame:
     """(id, embedding) by a batched encoder; null texts embed as empty."""
     f = embed or hashing_embedder()

@@ -18,7 +18,8 @@ from quern.operators.index import Index
 from quern.operators.vectors import nearest
 from quern.plans.query import FreeText
 
-CACHE = 1000
+#: Rows of ranked results (16 bytes each) that a ``Search`` keeps for later pages.
+CACHE_ROWS = 4_000_000
 
 
 @dataclass
@@ -90,7 +91,7 @@ class Search:
             return self._cache[key]
         found = make().persist()
         self._cache[key] = found, found.count()
-        if len(self._cache) > CACHE:
+        while len(self._cache) > 1 and sum(n for _, n in self._cache.values()) > CACHE_ROWS:
             _, (old, _) = self._cache.popitem(last=False)
             old.unpersist()
         return self._cache[key]

@@ -119,8 +119,8 @@ def ship_code(spark: SparkSession) -> None:
     out.close()
     spark.sparkContext.addPyFile(fs.makeQualified(at).toString())
     _shipped.add(app)
-    # whole texts are long: smaller Arrow batches, unless the session says otherwise
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+    # whole texts are long: smaller Arrow batches, unless the session sets its own
+    if "spark.sql.execution.arrow.maxRecordsPerBatch" not in dict(spark.conf.getAll):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 
 

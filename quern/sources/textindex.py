@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.operators.index import Index
+from quern.operators.index import Index, stats_of, terms_of
 
 
 def index_lines(index: Index) -> DataFrame:
@@ -37,3 +37,11 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
     good = lines.where((F.col("term") != "") & F.col("line").rlike(r"^\t-?\d+:[\d,]*$"))
     positions = F.transform(F.filter(F.split(F.regexp_extract("line", ":(.*)$", 1), ","), lambda p: p != ""), lambda p: p.cast("int"))
     return good.select("term", F.regexp_extract("line", r"^\t(-?\d+):", 1).cast("long").alias("doc_id"), F.size(positions).cast("long").alias("tf"), positions.alias("positions"))
+
+
+def load_index(spark: SparkSession, path: str) -> Index:
+    """The whole index back from its text form (see ``write_index``): postings,
+    and documents with the types that their values allow."""
+    postings = read_index(spark, path)
+    docs = spark.read.csv(f"{path}/docs", header=True, inferSchema=True)
+    return Index(docs, postings, terms_of(postings), stats_of(docs))

@@ -23,9 +23,10 @@ class SegmentedIndex:
         if number in self._folded():
             return
         at = f"{self.path}/segment={number:09d}"
+        fs, marker = filesystem(self.spark, f"{at}/_DONE")
+        fs.delete(marker, True)  # a replay that dies mustn't leave half a segment that counts
         postings_of(tokens(batch, self.analyzer)).write.mode("overwrite").parquet(f"{at}/postings")
         doc_lengths(batch, self.analyzer).write.mode("overwrite").parquet(f"{at}/docs")
-        fs, marker = filesystem(self.spark, f"{at}/_DONE")
         fs.create(marker, True).close()
 
     def stream(self, source: DataFrame, checkpoint: str, **trigger):

@@ -221,3 +221,61 @@ def test_properties(index):
     df = {r["term"]: r["df"] for r in index.terms.collect()}
     assert df == {r["term"]: r["n"] for r in index.postings.groupBy("term").agg(F.count("*").alias("n")).collect()}
     assert index.postings.where(F.col("tf") != F.size("positions")).count() == 0
+
+
+def test_positions_run_on_over_blocks_and_fields(spark):
+    """Titles are plain, a link adds its address, code and text count alike."""
+    from quern.operators import index as ix
+
+    html = '<p>Join two <a href="x.io/doc" >fast tables</a> now</p><pre><code>merge(a)</code></pre><ul><li>end</li></ul>'
+    docs = spark.createDataFrame([(1, "Hash <b>join", html), (2, None, "<p>only body</p>"), (3, "only title", None), (None, "x", "<p>y</p>"), (4, None, None)], "doc_id long, title string, body string")
+    got = {}
+    for r in ix.block_tokens(docs).collect():
+        got.setdefault(r["doc_id"], {})[r["pos"]] = r["term"]
+    want = "hash b join join two fast tables x io doc now merge a end".split()
+    assert [got[1][i] for i in range(len(want))] == want and len(got[1]) == len(want)
+    assert got[2] == {0: "only", 1: "body"} and got[3] == {0: "only", 1: "title"} and set(got) == {1, 2, 3}
+    index = ix.Index.of_tokens(ix.block_tokens(docs), docs.select("doc_id", "title"))
+    assert {(r["doc_id"], r["doc_length"]) for r in index.docs.collect()} == {(1, 14), (2, 2), (3, 2), (4, 0)}
+    assert index.postings.where("term = 'join' AND doc_id = 1").first()["positions"] == [2, 3]
+
+
+def test_filled_results_are_repeatable(spark):
+    from quern.operators import rerank
+
+    docs = spark.range(100).withColumnRenamed("id", "doc_id")
+    best = spark.createDataFrame([(5, 2.0), (7, 3.0)], "doc_id long, bm25_score double")
+    a, b = ([r["doc_id"] for r in rerank.fill(best, docs, 10, seed=s).collect()] for s in (1, 1))
+    c = [r["doc_id"] for r in rerank.fill(best, docs, 10, seed=2).collect()]
+    assert a == b != c and a[:2] == [7, 5] == c[:2] and len(set(a)) == 10
+    assert [r["doc_id"] for r in rerank.fill(best, docs, 1).collect()] == [7]
+
+
+def test_ranks_of_repeated_ids(spark):
+    from quern.operators import index as ix
+
+    df = spark.createDataFrame([(x,) for x in (5, 1, 1, 3, 3, 3, 9, None)], "doc_id int")
+    got = sorted((r["doc_id"], r["shard"]) for r in ix.running_shards(df, 2).collect())
+    assert got == [(1, 1), (1, 1), (3, 3), (3, 3), (3, 3), (5, 3), (9, 4)]
+
+
+def test_a_torn_replay_hides_its_segment(spark, tmp_path, monkeypatch):
+    from quern.streaming import segments
+
+    index = segments.SegmentedIndex(spark, f"{tmp_path}/index")
+    docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    index.add(docs, 0)
+    assert index.docs().count() == 1
+
+    def dies(*_):
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(segments, "doc_lengths", dies)
+    try:
+        index.add(docs, 0)
+    except RuntimeError:
+        pass
+    assert index._live() == []
+    monkeypatch.undo()
+    index.add(docs, 0)
+    assert index.docs().count() == 1 and index.postings().count() == 2

@@ -85,3 +85,29 @@ def test_small_functions(spark):
     assert rows[1]["t"] == [] and rows[1]["j"] == "" and rows[1]["w"] == []
     words = spark.createDataFrame([([["w"] * 20, ["v"] * 20, ["u"]],), ([],)], "b array<array<string>>")
     assert [len(r[0].split()) for r in words.select(text.snippet(F.col("b"))).collect()] == [40, 0]
+
+
+def test_other_alphabets_in_latin_letters(spark):
+    from pyspark.sql import functions as F
+
+    from quern.functions import text
+
+    cases = {"Привет, Ærø Straße": "Privet, AEro Strasse", "Ελληνικά": "Ellinika", "東京 café": "東京 cafe", "it’s – “x”…": "it's - \"x\"...", "": "", "Łódź": "Lodz"}
+    df = spark.createDataFrame([(k,) for k in cases] + [(None,)], "t string")
+    got = {r[0]: r[1] for r in df.select("t", text.transliterate(F.col("t"))).collect()}
+    assert got.pop(None) is None and got == cases
+
+
+def test_punctuation_kept_as_tokens(spark):
+    from quern.functions import text
+
+    config = text.Analyzer(links="keep", contractions="keep", digits="keep", punctuation="keep-split", stop_words=(), stemming=False)
+    row = spark.createDataFrame([("plot(1:10) a_b...",)], "t string").select(text.terms(__import__("pyspark").sql.functions.col("t"), config).alias("x")).first()
+    assert [t["term"] for t in row["x"]] == ["plot", "(", "1", ":", "10", ")", "a", "b", ".", ".", "."]
+
+
+def test_stop_words_of_a_corpus(spark):
+    from quern.functions import text
+
+    terms = spark.createDataFrame([("the", 9), ("of", 5), ("rare", 1), ("and", 5)], "term string, df long")
+    assert text.corpus_stop_words(terms, 10, 0.4) == ("the", "and", "of") and text.corpus_stop_words(terms, 10, 0.4, 1) == ("the",)

@@ -163,3 +163,63 @@ def test_incremental_segments(spark, tmp_path):
     assert key(index.postings()) == want
     index.compact()
     assert key(index.postings()) == want
+
+
+def test_blocks_of_queries_and_vectors(spark, monkeypatch):
+    """Any cut into blocks gives the same as one product, ties included."""
+    import numpy as np
+
+    from quern.operators import vectors as vs
+
+    rng = np.random.default_rng(4)
+    data = rng.integers(-2, 3, (300, 4)).astype(float)
+    rows = [(i, v.tolist() if i % 50 else None) for i, v in enumerate(data)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    q = df.where("vec_id < 40").select(df["vec_id"].alias("query_id"), df["embedding"].alias("query"))
+    want = set()
+    for i in range(40):
+        if i % 50:
+            s = sorted((-float(data[i] @ data[j]), j) for j in range(300) if j % 50)[:5]
+            want |= {(i, j, -x) for x, j in s}
+    for size, asked in ((32768, 4096), (40, 7)):
+        monkeypatch.setattr(vs, "ROWS", size)
+        monkeypatch.setattr(vs, "QUERIES", asked)
+        assert {(r["query_id"], r["vec_id"], r["score"]) for r in vs.nearest_many(df, q, 5).collect()} == want
+    assert vs.nearest_many(df.where("vec_id < 0"), q, 5).count() == 0
+
+
+def test_density_cells_lose_no_pair(spark):
+    import numpy as np
+
+    from quern.operators import evaluate
+
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(6, 8))
+    data = np.concatenate([centres[i % 6] + 0.15 * rng.normal(size=8) for i in range(120)] + [rng.normal(size=8) for _ in range(30)]).reshape(150, 8)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)], "vec_id long, embedding array<double>")
+    one, many = ({r["vec_id"]: r["cluster"] for r in evaluate.density_clusters(df, 0.1, 4, size=s).collect()} for s in (4096, 9))
+    assert one == many and len(set(one.values())) > 3
+
+
+def test_pooling():
+    import numpy as np
+
+    from quern.operators import vectors as vs
+
+    tokens, mask = np.array([[[1.0, 2.0], [3.0, 4.0], [9.0, 9.0]]]), np.array([[1, 1, 0]])
+    assert vs.pooled(tokens, mask, "cls").tolist() == [[1, 2]] and vs.pooled(tokens, mask).tolist() == [[2, 3]]
+    assert np.allclose(vs.pooled(tokens, mask, "padded"), [[4 / 3, 2]])
+    assert vs.pooling_embedder(lambda texts: (tokens, mask))(["x"]).tolist() == [[2, 3]]
+
+
+def test_index_from_its_text_form(spark, tmp_path):
+    from quern.operators.index import Index
+    from quern.sources import textindex
+
+    docs = spark.createDataFrame([(1, "a b a"), (2, "b c"), (3, "")], "doc_id long, text string")
+    own = Index.build(docs)
+    textindex.write_index(own, f"{tmp_path}/text")
+    back = textindex.load_index(spark, f"{tmp_path}/text")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(back.docs) == rows(own.docs) and rows(back.terms) == rows(own.terms) and rows(back.stats) == rows(own.stats)
+    assert rows(back.postings.select("term", "doc_id", "positions")) == rows(own.postings.select("term", "doc_id", "positions"))
