@@ -358,7 +358,7 @@ def p14_snippets(spark, sf):
 
 
 _PAGE = r"""pg AS (SELECT page_id, unnest(parts) AS part, unnest(generate_series(1, len(parts))) AS i FROM (
-  SELECT page_id, [url] || list_filter(list_transform(regexp_extract_all(html, '(?s)<p[^>]*>[^<]*'), lambda x: regexp_replace(x, '^<p[^>]*>', '')), lambda x: trim(x, chr(32) || chr(9) || chr(10) || chr(13)) <> '') AS parts FROM pages)),
+  SELECT page_id, [url] || list_filter(list_transform(regexp_extract_all(html, '(?s)<p[^>]*>[^<]*'), lambda x: regexp_replace(regexp_replace(x, '^<p[^>]*>', ''), '&(amp|lt|gt|quot);', '&', 'g')), lambda x: trim(x, chr(32) || chr(9) || chr(10) || chr(13)) <> '') AS parts FROM pages)),
 pt AS (SELECT page_id, i, list_filter(regexp_split_to_array(lower(coalesce(part, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS ts FROM pg),
 po AS (SELECT page_id, ts, coalesce(sum(len(ts)) OVER (PARTITION BY page_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM pt),
 pw AS (SELECT page_id, unnest(ts) AS term, unnest(generate_series(0, len(ts) - 1)) + before AS pos FROM po WHERE len(ts) > 0)"""

@@ -1,5 +1,6 @@
 """Operators 2 and 3."""
 
+import functools
 import re
 from collections import Counter
 
@@ -112,8 +113,13 @@ def test_language_keeps_small_and_unlabelled_tables(spark, empty, corpus):
 # 3
 
 
+@functools.cache
+def pieces():
+    return sentencepiece.SentencePieceProcessor(model_file=f"{quality.VOCABULARIES}/{quality.VOCABULARY}")
+
+
 def brute_figures(text):
-    sp = sentencepiece.SentencePieceProcessor(model_file=f"{quality.VOCABULARIES}/{quality.VOCABULARY}")
+    sp = pieces()
     ids = sp.encode(text or "")
     if not ids:
         return 0, None, None, None
