@@ -82,6 +82,8 @@ _SPELLED = {
     "–": "-", "—": "-", "‘": "'", "’": "'", "“": '"', "”": '"', "…": "...",
 }
 _SPELLED |= {k.upper(): v.capitalize() for k, v in _SPELLED.items() if len(k.upper()) == 1 and k.upper() not in _SPELLED}
+#: Accented Greek and Cyrillic letters are spelled as their base letters, where the table has no entry of their own.
+_SPELLED |= {c: _SPELLED[d] for c in map(chr, [*range(0x370, 0x530), *range(0x1F00, 0x2000)]) if c not in _SPELLED and (d := unicodedata.normalize("NFD", c)[0]) in _SPELLED}
 
 
 def transliterate(text: Column) -> Column:
