@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,15 +33,49 @@ def write_index(index: Index, path: str) -> None:
 def read_index(spark: SparkSession, path: str) -> DataFrame:
     """(term, doc_id, tf, positions) from the text form; bad lines are skipped.
 
-    A record is a term line with the postings up to the next term line, cut by
-    the reader itself, so postings need no running header over file order.
+    Files are read by line and cut into splits as any text is. A posting's term
+    is that of the last term line before it; where that lies before the split,
+    it comes from the last term lines of all splits (one row a split).
     """
-    whole = spark.read.text(f"{path}/index" if not path.endswith("/index") else path, wholetext=True)
-    records = whole.select(F.explode(F.split("value", r"\n(?=[^\t\n])")).alias("r"))
-    lines = records.select(F.regexp_extract("r", r"^([^\n]*):\d+\n", 1).alias("term"), F.explode(F.slice(F.split("r", "\n"), F.lit(2), F.greatest(F.size(F.split("r", "\n")) - 1, F.lit(0)))).alias("line"))
-    good = lines.where((F.col("term") != "") & F.col("line").rlike(r"^\t-?\d+:[\d,]*$"))
+    lines = spark.read.option("lineSep", "\n").text(f"{path}/index" if not path.endswith("/index") else path)
+    lines = lines.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+    heading = (F.col("value") != "") & ~F.col("value").startswith("\t")
+    numbered = lines.withColumn("n", F.monotonically_increasing_id()).select("file", "start", F.when(heading, F.struct("n", "value")).alias("h"))
+    before: dict[tuple[str, int], str | None] = {}
+    last: dict[str, str] = {}
+    for r in numbered.groupBy("file", "start").agg(F.max("h")["value"].alias("h")).orderBy("file", "start").collect():
+        before[r["file"], r["start"]] = last.get(r["file"])
+        if r["h"] is not None:
+            last[r["file"]] = r["h"]
+
+    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, head = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            value, files, starts = (batch.column(i) for i in range(3))
+            posting = pc.starts_with(value, "\t").to_numpy(zero_copy_only=False)
+            heads = ~posting & (pc.binary_length(value).to_numpy() > 0)
+            where = np.where(heads, np.arange(len(heads)), -1)
+            f, s = files.dictionary_encode().indices.to_numpy(), starts.to_numpy()
+            cuts = [0, *(np.flatnonzero((f[1:] != f[:-1]) | (s[1:] != s[:-1])) + 1).tolist(), len(heads)]
+            for i, j in zip(cuts, cuts[1:]):
+                key = (files[i].as_py(), int(s[i]))
+                if key != at:
+                    at, head = key, before[key]  # a KeyError: the splits of the two readings differ
+                own = np.maximum.accumulate(where[i:j])
+                known = pa.array(np.where(own < 0, 0, own), mask=own < 0)
+                names = value.take(known) if head is None else pc.fill_null(value.take(known), head)
+                keep = pa.array(posting[i:j])
+                if own[-1] >= 0:
+                    head = value[int(own[-1])].as_py()
+                yield pa.RecordBatch.from_arrays([names.filter(keep), value.slice(i, j - i).filter(keep)], ["head", "line"])
+
+    found = lines.mapInArrow(follow, "head string, line string").withColumn("term", F.regexp_extract("head", r"^([^\n]*):\d+$", 1))
+    good = found.where((F.col("term") != "") & F.col("line").rlike(r"^\t-?\d+:[\d,]*$"))
     positions = F.transform(F.filter(F.split(F.regexp_extract("line", ":(.*)$", 1), ","), lambda p: p != ""), lambda p: p.cast("int"))
-    return good.select("term", F.regexp_extract("line", r"^\t(-?\d+):", 1).cast("long").alias("doc_id"), F.size(positions).cast("long").alias("tf"), positions.alias("positions"))
+    out = good.select("term", F.regexp_extract("line", r"^\t(-?\d+):", 1).cast("long").alias("doc_id"), positions.alias("positions"))
+    return out.select("term", "doc_id", F.size("positions").cast("long").alias("tf"), "positions")
 
 
 def load_index(spark: SparkSession, path: str) -> Index:

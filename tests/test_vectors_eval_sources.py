@@ -1,5 +1,8 @@
 """Vectors, clustering, evaluation, sources and streaming."""
 
+import math
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -223,3 +226,47 @@ def test_index_from_its_text_form(spark, tmp_path):
     rows = lambda df: sorted(map(tuple, df.collect()))
     assert rows(back.docs) == rows(own.docs) and rows(back.terms) == rows(own.terms) and rows(back.stats) == rows(own.stats)
     assert rows(back.postings.select("term", "doc_id", "positions")) == rows(own.postings.select("term", "doc_id", "positions"))
+
+
+def test_text_index_is_read_in_splits(spark, tmp_path):
+    """A posting finds its term where the term's line lies in another split, and
+    postings before any term line are bad lines."""
+    os.makedirs(f"{tmp_path}/t/index")
+    with open(f"{tmp_path}/t/index/part-0", "w") as f:
+        f.write("\t9:1\nb:2000\n" + "".join(f"\t{i}:{i % 7}\n" for i in range(2000)) + "c:1\n\t5:1,2\nbad line\n\t6:1\n")
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for k in kept:
+            spark.conf.set(k, "1000")
+        assert spark.read.text(f"{tmp_path}/t/index").rdd.getNumPartitions() > 5
+        rows = [tuple(r) for r in textindex.read_index(spark, f"{tmp_path}/t").collect()]
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert sorted(rows) == sorted([("c", 5, 2, [1, 2]), *(("b", i, 1, [i % 7]) for i in range(2000))])
+
+
+def test_text_index_is_not_read_as_whole_files(spark, tmp_path):
+    os.makedirs(f"{tmp_path}/t/index")
+    with open(f"{tmp_path}/t/index/part-0", "w") as f:
+        f.write("b:1\n\t9:1\n")
+    plan = textindex.read_index(spark, f"{tmp_path}/t")._jdf.queryExecution().toString()
+    assert "wholetext" not in plan and "file_block_start" in plan
+
+
+def test_rank_correlation_of_ties_and_nulls(spark):
+    """One score's ties leave no correlation; that was a division by zero."""
+    rows = [(1, i, 5.0, float(i)) for i in range(3)] + [(2, 1, 1.0, 2.0)] + [(3, i, float(i), 2.0 * i) for i in range(300)] + [(3, 999, None, 1.0)] + [(None, i, float(i), -float(i)) for i in range(3)] + [(4, 7, 1.0, 1.0), (4, 7, 2.0, 2.0), (4, 8, 3.0, 0.0)]
+    got = {r[0]: (r[1], r[2]) for r in evaluate.rank_correlation(spark.createDataFrame(rows, "query_id int, item int, a double, b double")).collect()}
+    assert got[1] == (None, None) and got[2] == (None, None)
+    assert got[3][0] == pytest.approx(44850 / math.sqrt(44850 * 45150)) and got[None] == (None, pytest.approx(-1))
+    assert got[4][0] == pytest.approx(-1)  # two rows of one item are no pair
+
+
+def test_csv_keeps_blanks_and_empty_values(spark, tmp_path):
+    odd = [" lead", "trail ", "\ttab", "a\r\nb", "a\r", "\r", "\n", "", None, "null", '"', 'a"', "\\", 'a\\', "\x00", ' "x",\n', " "]
+    df = spark.createDataFrame([(i, t, "" if i % 2 else None) for i, t in enumerate(odd)], "id long, text string, lang string")
+    dump.write_csv(df, f"{tmp_path}/c")
+    back = dump.read_csv(spark, f"{tmp_path}/c", df.schema)
+    assert back.schema.simpleString() == df.schema.simpleString()
+    assert {tuple(r) for r in back.collect()} == {tuple(r) for r in df.collect()}
