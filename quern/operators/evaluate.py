@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from quern.functions.vectors import normalise
-from quern.session import materialize
+from quern.session import materialize, ship_code
 
 
 def clarity(retrieved: DataFrame, corpus: DataFrame, normalised: bool = True, unknown: float = 1e-12) -> DataFrame:
@@ -64,21 +68,117 @@ def mean_cosine(doc_tf: DataFrame, lengths: DataFrame) -> DataFrame:
     return pairs.join(total, "query_id", "left").select("query_id", F.when(F.col("pairs") > 0, F.coalesce("total", F.lit(0.0)) / F.col("pairs")).alias("cosine"))
 
 
+def _pair_sums(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sums over all pairs of sign(da) sign(db), sign(da)^2 and sign(db)^2, in
+    O(n log^2 n). Missing scores are NaN, and their pairs add nothing."""
+
+    def tied(*keys: np.ndarray) -> int:
+        """Pairs that are equal in all keys, which are in lexical order."""
+        ends = np.flatnonzero(np.append(np.any([k[1:] != k[:-1] for k in keys], 0), True)) if len(keys[0]) else np.zeros(0, int)
+        n = np.diff(np.append(-1, ends))
+        return int((n * (n - 1) // 2).sum())
+
+    def apart(x: np.ndarray) -> int:
+        x = np.sort(x[~np.isnan(x)])
+        return len(x) * (len(x) - 1) // 2 - tied(x)
+
+    both = ~(np.isnan(a) | np.isnan(b))
+    x, y = a[both], np.unique(b[both], return_inverse=True)[1]
+    order = np.lexsort((y, x))
+    x, y = x[order], y[order]
+    n = len(x)
+    agree = n * (n - 1) // 2 - tied(x) - tied(np.sort(y)) + tied(x, y)
+    seq = y  # inversions, by each bit of the ranks among those that share the higher bits
+    for k in reversed(range(int(y.max()).bit_length() if n else 0)):
+        high, bit = seq >> (k + 1), (seq >> k) & 1
+        starts = np.flatnonzero(np.append(True, high[1:] != high[:-1]))
+        ones = np.cumsum(bit)
+        base = np.repeat((ones - bit)[starts], np.diff(np.append(starts, n)))
+        agree -= 2 * int((ones - base)[bit == 0].sum())
+        seq = seq[np.argsort(seq >> k, kind="stable")]
+    return np.array([agree, apart(a), apart(b)], float)
+
+
+def _correlations(item: pd.Series, a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> tuple[float | None, float | None]:
+    """Kendall's tau-b and Spearman's rho of one query's scores; ``na`` and
+    ``nb`` say which are null."""
+    kendall = spearman = None
+    there = item.notna().to_numpy()
+    x, y = np.where(na, np.nan, a)[there], np.where(nb, np.nan, b)[there]
+    bad = lambda v, null: bool((np.isnan(v) & ~null[there]).any() or (v == np.inf).sum() > 1 or (v == -np.inf).sum() > 1)
+    if len(x) > 1:
+        sums = _pair_sums(x, y)
+        if item[there].duplicated().any():  # rows of one item are no pair
+            for at in pd.Series(np.arange(len(x))).groupby(item[there].to_numpy()).indices.values():
+                if len(at) > 1:
+                    sums = sums - _pair_sums(x[at], y[at])
+        if bad(x, na) or bad(y, nb):
+            kendall = np.nan  # as the difference of two such scores
+        elif sums[1] > 0 and sums[2] > 0:
+            kendall = sums[0] / np.sqrt(sums[1] * sums[2])
+
+    def ranks(v: np.ndarray, null: np.ndarray) -> np.ndarray:
+        """Average ranks, null first and NaN last."""
+        order = np.lexsort((v, np.where(null, 0, np.where(np.isnan(v), 2, 1))))
+        s, z = np.where(null, 0, v)[order], null[order]
+        new = np.append(True, (z[1:] != z[:-1]) | ((s[1:] != s[:-1]) & ~(np.isnan(s[1:]) & np.isnan(s[:-1]))))
+        first = np.flatnonzero(new)
+        size = np.diff(np.append(first, len(s)))
+        out = np.empty(len(s))
+        out[order] = np.repeat(first + 1 + (size - 1) / 2, size)
+        return out
+
+    ra, rb = (r - r.mean() for r in (ranks(np.where(na, 0, a), na), ranks(np.where(nb, 0, b), nb)))
+    if (spread := (ra @ ra) * (rb @ rb)) > 0:
+        spearman = (ra @ rb) / np.sqrt(spread)
+    return kendall, spearman
+
+
 def rank_correlation(lists: DataFrame) -> DataFrame:
     """(query_id, kendall, spearman) of two scores of the same items: (query_id,
-    item, a, b). Kendall's tau-b over all pairs; Spearman on average ranks."""
-    x, y = lists.alias("x"), lists.alias("y")
-    pairs = x.join(y, (F.col("x.query_id") == F.col("y.query_id")) & (F.col("x.item") < F.col("y.item")))
-    da, db = F.signum(F.col("x.a") - F.col("y.a")), F.signum(F.col("x.b") - F.col("y.b"))
-    tau = pairs.groupBy(F.col("x.query_id").alias("query_id")).agg(F.sum(da * db).alias("s"), F.sum(da * da).alias("na"), F.sum(db * db).alias("nb"))
-    tau = tau.select("query_id", F.when((F.col("na") > 0) & (F.col("nb") > 0), F.col("s") / F.sqrt(F.col("na") * F.col("nb"))).alias("kendall"))
-
-    def average_rank(c: str):
-        w = Window.partitionBy("query_id")
-        return F.rank().over(w.orderBy(c)) + (F.count("*").over(Window.partitionBy("query_id", c)) - 1) / 2
-
-    rho = lists.select("query_id", average_rank("a").alias("ra"), average_rank("b").alias("rb")).groupBy("query_id").agg(F.corr("ra", "rb").alias("spearman"))
-    return rho.join(tau, "query_id", "left").select("query_id", "kendall", "spearman")
+    item, a, b). Kendall's tau-b over all pairs, counted without making them;
+    Spearman on average ranks. Null where all scores of one kind are equal.
+
+    A query's rows pass through one task, as arrays of numbers.
+    """
+    key, kind = lists.schema["query_id"].dataType.simpleString(), "kendall double, spearman double"
+    rows = lists.select("query_id", "item", F.col("a").cast("double").alias("a"), F.col("b").cast("double").alias("b"))
+    out = pa.schema([("query_id", to_arrow_type(lists.schema["query_id"].dataType)), ("kendall", pa.float64()), ("spearman", pa.float64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []  # rows of the query that has not ended
+
+        def judged(t: pa.Table, cuts: list[int]) -> pa.RecordBatch:
+            t = t.combine_chunks()
+            item = t.column("item").to_pandas()
+            (a, na), (b, nb) = ((c.to_numpy(), c.is_null().to_numpy()) for c in (t.column("a"), t.column("b")))
+            found = [_correlations(item[i:j], a[i:j], b[i:j], na[i:j], nb[i:j]) for i, j in zip(cuts, cuts[1:])]
+            q = t.column("query_id").take(pa.array(cuts[:-1]))
+            k = [None if q[n].as_py() is None else x for n, (x, _) in enumerate(found)]  # null queries have no pairs
+            return pa.RecordBatch.from_arrays([pa.concat_arrays(q.chunks).cast(out.field(0).type), pa.array(k, pa.float64()), pa.array([x for _, x in found], pa.float64())], schema=out)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            t = pa.Table.from_batches([batch])
+            codes = t.column("query_id").combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+            ends = (np.flatnonzero(codes[1:] != codes[:-1]) + 1).tolist()
+            if held and held[-1].column("query_id")[-1].as_py() != t.column("query_id")[0].as_py():
+                whole = pa.concat_tables(held)
+                held = []
+                yield judged(whole, [0, whole.num_rows])
+            if ends:
+                whole, before = pa.concat_tables([*held, t[: ends[-1]]]), sum(h.num_rows for h in held)
+                yield judged(whole, [0, *(before + e for e in ends)])
+                held = [t[ends[-1] :]]
+            else:
+                held.append(t)
+        if held:
+            whole = pa.concat_tables(held)
+            yield judged(whole, [0, whole.num_rows])
+
+    ship_code(lists.sparkSession)
+    return rows.repartition("query_id").sortWithinPartitions("query_id").mapInArrow(run, f"query_id {key}, {kind}")
 
 
 def _cells(unit: DataFrame, radius: float, size: int, pivots: int = 256) -> tuple[DataFrame, DataFrame]:
