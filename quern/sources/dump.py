@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from quern.session import path_exists
 from quern.sources.schemas import TABLES, schema
@@ -38,12 +39,15 @@ def write_xml(df: DataFrame, path: str, rows: int | None = None, row_tag: str =
 
 
 def write_csv(df: DataFrame, path: str, order: Sequence[str] = ("id",)) -> None:
-    """A header and rows in order; files follow one another in that order."""
-    df.orderBy(*order).write.mode("overwrite").csv(path, header=True, quote='"', escape='"')
+    """A header and rows in order; files follow one another in that order.
+    Values keep their blanks, and empty ones are quoted, null ones not."""
+    df.orderBy(*order).write.mode("overwrite").csv(path, header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def read_csv(spark: SparkSession, path: str, fields: StructType) -> DataFrame:
-    return spark.read.csv(path, header=True, schema=fields, multiLine=True, quote='"', escape='"')
+    empty = uuid.uuid4().hex  # what a quoted empty value is read as, since Spark takes '' as null
+    rows = spark.read.csv(path, header=True, schema=fields, multiLine=True, quote='"', escape='"', emptyValue=empty, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    return rows.select(*(F.when(F.col(f"`{f.name}`") != empty, F.col(f"`{f.name}`")).when(F.col(f"`{f.name}`") == empty, "").alias(f.name) if isinstance(f.dataType, StringType) else F.col(f"`{f.name}`") for f in fields))
 
 
 def read_jdbc(spark: SparkSession, url: str, table: str, key: str, low: int, high: int, parts: int, options: Mapping[str, str] | None = None) -> DataFrame:
