@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import unicodedata
 from dataclasses import dataclass, replace
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -96,53 +97,66 @@ def transliterate(text: Column) -> Column:
     return F.when(there, F.array_join(F.transform(pieces, lambda c: F.coalesce(F.try_element_at(spelled, c), c)), "")).otherwise(plain)
 
 
-def _flat(tokens: Column, f) -> Column:
-    return F.filter(F.flatten(F.transform(tokens, f)), lambda t: t != "")
-
-
-def raw_tokens(text: Column, config: Analyzer = Analyzer()) -> Column:
-    """Tokens in order, before lower-casing and stop words. Kept-and-split
-    variables are followed by parts that begin with a blank (see ``terms``)."""
+def _cut(text: Column, config: Analyzer) -> Column:
+    """The text with a blank where its tokens are cut. Patterns run over whole
+    texts: on each token alone, Spark would compile those of ``split`` again."""
     text = F.coalesce(text, F.lit(""))
     if config.ascii:
-        text = transliterate(text) if config.spell else to_ascii(text)
-    out = F.filter(F.split(text, r"\s+"), lambda t: t != "")
+        plain = transliterate(text) if config.spell else to_ascii(text)
+        text = F.when(text.rlike(r"[^\x00-\x7F]"), plain).otherwise(text)
+    token = lambda own: rf"(?<!\S)(?:{own})\S*"
     if config.links == "remove":
-        out = F.filter(out, lambda t: ~t.rlike(LINK))
+        text = F.regexp_replace(text, token(LINK[1:]), "")
     if config.contractions == "join":
-        out = F.transform(out, lambda t: F.regexp_replace(t, CONTRACTION, ""))
+        text = F.regexp_replace(text, CONTRACTION, "")
     elif config.contractions == "remove":
-        out = F.filter(out, lambda t: ~t.rlike(CONTRACTION))
-    if config.digits == "remove":
-        out = _flat(out, lambda t: F.split(t, r"[0-9]+"))
-    elif config.digits == "split":
-        out = _flat(out, lambda t: F.split(t, r"(?<=[0-9])(?=[^0-9])|(?<=[^0-9])(?=[0-9])"))
-    if config.punctuation == "split":
-        out = _flat(out, lambda t: F.split(t, MARKS))
+        text = F.regexp_replace(text, token(r"\S*?\w'\w"), "")
+    if config.digits == "split":
+        text = F.regexp_replace(text, r"(?<=[0-9])(?=[^0-9])|(?<=[^0-9])(?=[0-9])", " ")
+    elif config.digits == "remove" and config.punctuation != "split":
+        text = F.regexp_replace(text, r"[0-9]+", " ")
+    if config.punctuation == "split":  # with the digits in one pass
+        text = F.regexp_replace(text, r"(?:[0-9]|[^\p{L}\p{N}_\s])+" if config.digits == "remove" else MARKS, " ")
     elif config.punctuation == "keep-split":
-        out = _flat(out, lambda t: F.regexp_extract_all(t, F.lit(KEPT_MARKS), F.lit(0)))
+        text = F.regexp_replace(text, r"[^\p{L}\p{N}_\s]", " $0 ")
     elif config.punctuation == "remove":
-        out = F.filter(F.transform(out, lambda t: F.regexp_replace(t, MARKS, "")), lambda t: t != "")
+        text = F.regexp_replace(text, MARKS, "")
     if config.snake == "split":
-        out = _flat(out, lambda t: F.split(t, "_+"))
+        text = F.regexp_replace(text, "_+", " ")
     if config.camel == "split":
-        out = _flat(out, lambda t: F.split(t, CAMEL))
-    if "keep-split" in (config.snake, config.camel):
-        cuts = "|".join([*(["_+"] if config.snake == "keep-split" else []), *([CAMEL] if config.camel == "keep-split" else [])])
+        text = F.regexp_replace(text, CAMEL, " ")
+    return text
 
-        def both(t: Column) -> Column:
-            parts = F.filter(F.split(t, cuts), lambda p: p != "")
-            return F.when(F.size(parts) > 1, F.concat(F.array(t), F.transform(parts, lambda p: F.concat(F.lit(" "), p)))).otherwise(F.array(t))
 
-        out = F.flatten(F.transform(out, both))
-    return out
+def _words(text: Column) -> Column:
+    return F.filter(F.split(text, r"\s+"), lambda t: t != "")
+
+
+def _with_parts(tokens: Column, config: Analyzer) -> Column:
+    cuts = "|".join([*(["_+"] if config.snake == "keep-split" else []), *([CAMEL] if config.camel == "keep-split" else [])])
+
+    def both(t: Column) -> Column:
+        parts = F.transform(F.array(F.filter(F.split(t, cuts), lambda p: p != "")), lambda ps: F.when(F.size(ps) > 1, F.concat(F.array(t), F.transform(ps, lambda p: F.concat(F.lit(" "), p)))).otherwise(F.array(t)))
+        return F.when(t.rlike(cuts), parts[0]).otherwise(F.array(t))
+
+    return F.flatten(F.transform(tokens, both))
+
+
+def raw_tokens(text: Column, config: Analyzer = Analyzer()) -> Column:
+    """Tokens in order, before lower-casing and stop words. Kept-and-split
+    variables are followed by parts that begin with a blank (see ``terms``)."""
+    out = _words(_cut(text, config))
+    return _with_parts(out, config) if "keep-split" in (config.snake, config.camel) else out
+
+
+@lru_cache(maxsize=200_000)
+def _known_stem(word: str) -> str:
+    return stem(word)
 
 
 @pandas_udf(T.ArrayType(T.StringType()))
 def _stem_all(lists: pd.Series) -> pd.Series:
-    words = {w for ws in lists if ws is not None for w in ws}
-    known = {w: stem(w) for w in words}
-    return lists.map(lambda ws: None if ws is None else [known[w] for w in ws])
+    return lists.map(lambda ws: None if ws is None else [_known_stem(w) for w in ws])
 
 
 def terms(text: Column, config: Analyzer | None = Analyzer()) -> Column:
@@ -154,19 +168,27 @@ def terms(text: Column, config: Analyzer | None = Analyzer()) -> Column:
     """
     if config is PLAIN:
         return F.transform(plain_terms(text), lambda t, i: F.struct(t.alias("term"), i.alias("pos")))
-    raw = raw_tokens(text, config)
+    return raw_terms(raw_tokens(text, config), config)
+
+
+def raw_terms(raw: Column, config: Analyzer) -> Column:
+    """``terms`` of the tokens of ``raw_tokens``."""
     part = lambda t: t.startswith(" ")
+
+    def with_parts(ts: Column) -> Column:
+        whole = F.transform(F.filter(ts, lambda t: ~part(t)), lambda t, i: F.struct(t.alias("term"), i.alias("pos")))
+        return F.concat(whole, F.transform(F.filter(ts, part), lambda t: F.struct(F.ltrim(t).alias("term"), F.lit(-1).alias("pos"))))
+
     if "keep-split" in (config.snake, config.camel):
-        whole = F.transform(F.filter(raw, lambda t: ~part(t)), lambda t, i: F.struct(t.alias("term"), i.alias("pos")))
-        parts = F.transform(F.filter(raw, part), lambda t: F.struct(F.ltrim(t).alias("term"), F.lit(-1).alias("pos")))
-        out = F.concat(whole, parts)
+        out = F.flatten(F.transform(F.array(raw), with_parts))  # a variable: the tokens are made once
     else:
         out = F.transform(raw, lambda t, i: F.struct(t.alias("term"), i.alias("pos")))
-    out = F.transform(out, lambda x: F.struct(F.btrim(F.lower(x["term"]), F.lit("'")).alias("term"), x["pos"].alias("pos")))
+    lower = lambda t: F.lower(t) if config.punctuation in ("split", "remove") else F.btrim(F.lower(t), F.lit("'"))
+    out = F.transform(out, lambda x: F.struct(lower(x["term"]).alias("term"), x["pos"].alias("pos")))
     if config.stop_words:
-        stops = F.array(*(F.lit(w) for w in config.stop_words))
-        out = F.filter(out, lambda x: ~F.array_contains(stops, x["term"]))
-    out = F.filter(out, lambda x: x["term"] != "")
+        out = F.filter(out, lambda x: ~x["term"].isin(*config.stop_words))
+    if config.punctuation not in ("split", "remove"):
+        out = F.filter(out, lambda x: x["term"] != "")
     if config.stemming:
         stems = _stem_all(F.transform(out, lambda x: x["term"]))
         out = F.zip_with(stems, out, lambda s, x: F.struct(s.alias("term"), x["pos"].alias("pos")))

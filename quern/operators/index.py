@@ -8,18 +8,20 @@ equality on terms prunes folders and row groups.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
+from pyspark.sql.pandas.types import to_arrow_type
 
 from quern.functions import html
-from quern.functions.text import PLAIN, Analyzer, text_length, terms
+from quern.functions.text import PLAIN, Analyzer, plain_terms, raw_terms, raw_tokens, text_length, terms
 from quern.session import checked_join, materialize, ship_code
 
 BUCKETS = 64
@@ -50,6 +52,96 @@ def postings_of(token_rows: DataFrame) -> DataFrame:
         F.count("*").alias("tf"), F.sort_array(F.collect_list(F.when(F.col("pos") >= 0, F.col("pos")))).alias("positions"))
 
 
+def _found(analyzer: Analyzer | None, text_col: str, only: Sequence[str] | None) -> Column:
+    """Terms of a text for ``row_runs``; without positions they are numbered."""
+    if analyzer is PLAIN and only is None:
+        return plain_terms(F.col(text_col))
+    found = terms(F.col(text_col), analyzer)
+    if only is not None:
+        wanted = [str(t) for t in only]
+        found = F.filter(found, lambda x: x["term"].isin(wanted))
+    return found
+
+
+def row_runs(docs: DataFrame, found: Column, form: str, id_col: str = "doc_id") -> DataFrame:
+    """Each row's own terms, over Arrow batches and without a shuffle. ``form``:
+    ``positions`` gives (term, doc_id, tf, positions), ``tf`` (term, doc_id, tf),
+    ``forward`` (doc_id, terms), ``counts`` (term, df, cf) of a batch of rows."""
+    ship_code(docs.sparkSession)
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), found.alias("ts"))
+    kind = rows.schema["doc_id"].dataType
+    fields = {"positions": f"term string, doc_id {kind.simpleString()}, tf bigint, positions array<int>", "tf": f"term string, doc_id {kind.simpleString()}, tf bigint", "forward": f"doc_id {kind.simpleString()}, terms array<struct<term:string,positions:array<int>>>", "counts": "term string, df bigint, cf bigint"}[form]
+    arrow = to_arrow_type(kind)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("ts")
+            flat = lists.flatten()
+            if not len(flat):
+                continue
+            sizes = np.diff(lists.offsets.to_numpy())
+            doc = np.repeat(np.arange(len(lists)), sizes)
+            if pa.types.is_struct(flat.type):
+                flat, pos = flat.field("term"), flat.field("pos").to_numpy()
+            else:
+                pos = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            words = flat.dictionary_encode()
+            if form == "forward":  # codes in order of the terms
+                ranks = np.argsort(pc.sort_indices(words.dictionary).to_numpy())
+                words = pa.DictionaryArray.from_arrays(pa.array(ranks[words.indices.to_numpy()]), words.dictionary.take(pc.sort_indices(words.dictionary)))
+            key = doc * np.int64(len(words.dictionary)) + words.indices.to_numpy()
+            order = np.argsort(key, kind="stable")  # tokens stand in order of their positions
+            key = key[order]
+            first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            tf = np.diff(np.append(first, len(key)))
+            code = key[first] % len(words.dictionary)
+            if form == "counts":
+                n = len(words.dictionary)
+                yield pa.RecordBatch.from_arrays([words.dictionary, pa.array(np.bincount(code, minlength=n)), pa.array(np.bincount(code, tf, n).astype(np.int64))], ["term", "df", "cf"])
+                continue
+            own = key[first] // len(words.dictionary)
+            if form != "tf":
+                pos = pos[order]
+                there = pos >= 0
+                ends = np.append(0, np.cumsum(there))
+                offsets = np.append(ends[first], ends[-1]).astype(np.int32)
+                places = pa.ListArray.from_arrays(pa.array(offsets), pa.array(pos[there].astype(np.int32)))
+            if form == "forward":
+                start = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+                pairs = pa.StructArray.from_arrays([words.dictionary.take(pa.array(code)), places], ["term", "positions"])
+                lines = pa.ListArray.from_arrays(pa.array(np.append(start, len(own)).astype(np.int32)), pairs)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(own[start])).cast(arrow), lines], ["doc_id", "terms"])
+                continue
+            out = [words.dictionary.take(pa.array(code)), batch.column("doc_id").take(pa.array(own)).cast(arrow), pa.array(tf), *([places] if form == "positions" else [])]
+            yield pa.RecordBatch.from_arrays(out, ["term", "doc_id", "tf", "positions"][: len(out)])
+
+    return rows.mapInArrow(run, fields)
+
+
+def sum_terms(counts: DataFrame) -> DataFrame:
+    return counts.groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
+
+
+def unique_ids(docs: DataFrame, id_col: str = "doc_id") -> bool:
+    """Whether no id stands twice: a count over the ids alone."""
+    return docs.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").isEmpty()
+
+
+def doc_postings(docs: DataFrame, analyzer: Analyzer | None = PLAIN, id_col: str = "doc_id", text_col: str = "text", only: Sequence[str] | None = None, positions: bool = True, unique: bool | None = None) -> DataFrame:
+    """``postings_of`` the tokens of a table. Where ids are unique, a row's
+    postings are made from the row; else those of the same id are added up."""
+    if unique if unique is not None else unique_ids(docs, id_col):
+        return row_runs(docs, _found(analyzer, text_col, only), "positions" if positions else "tf", id_col)
+    return postings_of(tokens(docs, analyzer, id_col, text_col, only)).select("term", "doc_id", "tf", *(["positions"] if positions else []))
+
+
+def doc_terms(docs: DataFrame, analyzer: Analyzer | None = PLAIN, id_col: str = "doc_id", text_col: str = "text", only: Sequence[str] | None = None, unique: bool | None = None) -> DataFrame:
+    """``terms_of`` the postings of a table, counted in each batch first."""
+    if unique if unique is not None else unique_ids(docs, id_col):
+        return sum_terms(row_runs(docs, _found(analyzer, text_col, only), "counts", id_col))
+    return terms_of(postings_of(tokens(docs, analyzer, id_col, text_col, only)))
+
+
 def doc_lengths(docs: DataFrame, analyzer: Analyzer | None = PLAIN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, doc_length): tokens before stop words go."""
     return docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), text_length(F.col(text_col), analyzer).alias("doc_length"))
@@ -82,14 +174,16 @@ class Index:
     terms: DataFrame  # term, df, cf
     stats: DataFrame  # n_docs, sum_length, avg_length
     buckets: int = BUCKETS  # folders of a saved index
+    lines: DataFrame | None = None  # doc_id, terms: the forward index, where rows give it without a shuffle
 
     @staticmethod
     def build(docs: DataFrame, analyzer: Analyzer | None = PLAIN, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = (), only: Sequence[str] | None = None) -> Index:
         """Lazy index of a table; ``keep`` names metadata columns for ``docs``,
         ``only`` limits postings to the terms of a known query."""
         own = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), text_length(F.col(text_col), analyzer).alias("doc_length"), *(c for c in keep if c not in ("doc_id", "doc_length")))
-        posts = postings_of(tokens(docs, analyzer, id_col, text_col, only))
-        return Index(own, posts, terms_of(posts), stats_of(own))
+        one = unique_ids(docs, id_col)
+        posts = doc_postings(docs, analyzer, id_col, text_col, only, unique=one)
+        return Index(own, posts, doc_terms(docs, analyzer, id_col, text_col, only, unique=one), stats_of(own), lines=row_runs(docs, _found(analyzer, text_col, only), "forward", id_col) if one else None)
 
     @staticmethod
     def of_tokens(token_rows: DataFrame, docs: DataFrame) -> Index:
@@ -108,7 +202,8 @@ class Index:
 
     def save(self, path: str, buckets: int = BUCKETS) -> None:
         cut = self.postings.withColumn("bucket", bucket(F.col("term"), buckets))
-        cut.repartition(buckets, "bucket").sortWithinPartitions("bucket", "term", "doc_id").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+        # a large folder is cut into several tasks and files, small ones share a task
+        cut.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "doc_id").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
         saved = self.docs.sparkSession.read.parquet(f"{path}/postings")
         self.docs.write.mode("overwrite").parquet(f"{path}/docs")
         terms_of(saved.select("term", "doc_id", "tf")).sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
@@ -165,6 +260,8 @@ class Index:
 
     def forward(self) -> DataFrame:
         """(doc_id, terms): each document's terms with their positions."""
+        if self.lines is not None:
+            return self.lines
         return self.postings.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("term", "positions"))).alias("terms"))
 
     def document_count(self) -> int:
@@ -183,9 +280,13 @@ def delta_encode(postings: DataFrame) -> DataFrame:
     return postings.select("term", "doc_id", (F.col("doc_id") - F.lag("doc_id", 1, 0).over(order)).alias("doc_delta"), deltas.alias("position_deltas"))
 
 
-@pandas_udf(T.ArrayType(T.IntegerType()))
-def _running_sums(lists: pd.Series) -> pd.Series:
-    return lists.map(lambda x: None if x is None else np.cumsum(np.asarray(x, np.int64)).astype(np.int32))
+@arrow_udf(T.ArrayType(T.IntegerType()))
+def _running_sums(lists: pa.Array) -> pa.Array:
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+    ends = np.cumsum(sizes)
+    sums = np.append(0, np.cumsum(lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)))  # over all lists
+    own = sums[1:] - np.repeat(sums[ends - sizes], sizes)
+    return pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(own.astype(np.int32)), mask=lists.is_null())
 
 
 def delta_decode(deltas: DataFrame) -> DataFrame:
@@ -280,9 +381,10 @@ def block_tokens(docs: DataFrame, fields: Sequence[str] = ("title", "body"), ana
         else:
             rows = html.with_blocks(rows, f"f{i}", f"b{i}")
     texts = F.flatten(F.array(*(F.transform(F.coalesce(F.col(f"b{i}"), F.array().cast(f"array<{html.BLOCK}>")), html.block_text) for i in range(len(fields)))))
-    blocks = rows.select("doc_id", F.posexplode(texts).alias("block", "text"))
-    found = blocks.select("doc_id", "block", terms(F.col("text"), analyzer).alias("ts"), text_length(F.col("text"), analyzer).alias("size"))
-    # a document's own blocks in order
-    before = F.coalesce(F.sum("size").over(Window.partitionBy("doc_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = found.withColumn("before", before).select("doc_id", "before", F.explode("ts").alias("t"))
-    return placed.select("doc_id", "t.term", F.when(F.col("t.pos") >= 0, F.col("t.pos") + F.col("before")).otherwise(-1).cast("int").alias("pos"))
+    if analyzer is PLAIN:
+        raw = F.flatten(F.transform(texts, plain_terms))
+        found = F.transform(raw, lambda t, i: F.struct(t.alias("term"), i.alias("pos")))
+    else:
+        found = raw_terms(F.flatten(F.transform(texts, lambda t: raw_tokens(t, analyzer))), analyzer)
+    # a page's blocks are one row: positions run on over their joined tokens
+    return rows.select("doc_id", F.explode(found).alias("t")).select("doc_id", "t.term", F.col("t.pos").cast("int").alias("pos"))

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import itertools
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from quern.operators.index import Index
 from quern.plans.query import WORD_LIMIT, FreeText
-from quern.session import BROADCAST_ROWS, checked_join, materialize
+from quern.session import BROADCAST_ROWS, checked_join, fits_broadcast, materialize, ship_code
 
 K1, B = 1.2, 0.75
 KEEP_TERMS = 10
@@ -103,23 +107,118 @@ def search_all(index: Index, query: Sequence[str], limit: int = 50, k1: float =
 
 def search_many(index: Index, queries: DataFrame, limit: int = 10, k1: float = K1, b: float = B, digits: int | None = None) -> DataFrame:
     """(query_id, doc_id, bm25_score, rank) for a table (query_id, term): the
-    batch form, one join of query terms with postings for all queries. Scores
-    are rounded to ``digits`` before they are ranked.
+    batch form. Scores are rounded to ``digits`` before they are ranked.
+
+    A document's weights meet all queries in a product of matrices, and each
+    partition passes on the best of a query only: rows of queries by documents
+    are never made. Query tables too large to send to all tasks are joined.
 
     The index should be a saved or ``stored`` one, since its parts are read
-    several times. Ranks have a bound, so each partition passes on the best of
-    a query only.
+    several times.
     """
     q = queries.where("term <> ''").select("query_id", "term").distinct()
     weighted = checked_join(index.terms, q.select("term").distinct(), "term", "left_semi", BROADCAST_ROWS).crossJoin(F.broadcast(index.stats))
     weighted = weighted.select("term", plain_idf(F.col("n_docs"), F.col("df")).alias("idf"), "avg_length")
-    hits = index.postings.select("doc_id", "term", "tf").join(weighted, "term").join(index.docs.select("doc_id", "doc_length"), "doc_id")
-    hits = hits.withColumn("s", bm25(F.col("tf"), F.col("doc_length"), F.col("avg_length"), F.col("idf"), k1, b)).select("doc_id", "term", "s")
-    scored = checked_join(hits, q, "term").groupBy("query_id", "doc_id").agg((F.sum("s") if digits is None else F.round(F.sum("s"), digits)).alias("bm25_score"))
+    if fits_broadcast(q):
+        scored = _scored_by_document(index, q, weighted, limit, k1, b, digits)
+    else:
+        hits = index.postings.select("doc_id", "term", "tf").join(weighted, "term").join(index.docs.select("doc_id", "doc_length"), "doc_id")
+        hits = hits.withColumn("s", bm25(F.col("tf"), F.col("doc_length"), F.col("avg_length"), F.col("idf"), k1, b)).select("doc_id", "term", "s")
+        scored = hits.join(q, "term").groupBy("query_id", "doc_id").agg((F.sum("s") if digits is None else F.round(F.sum("s"), digits)).alias("bm25_score"))
     best = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("bm25_score"), "doc_id")))
     return best.where(F.col("rank") <= limit)
 
 
+def _scored_by_document(index: Index, q: DataFrame, weighted: DataFrame, limit: int, k1: float, b: float, digits: int | None) -> DataFrame:
+    """(query_id, doc_id, bm25_score): of each partition of documents the
+    ``limit`` best of every query."""
+    spark, kind, qkind = index.docs.sparkSession, index.docs.schema["doc_id"].dataType, q.schema["query_id"].dataType
+    ship_code(spark)
+    known = {r["term"]: (i, r["idf"], r["avg_length"]) for i, r in enumerate(weighted.orderBy("term").collect())}
+    wanted: dict = {}
+    for r in q.collect():  # measured by the caller
+        if r["term"] in known:
+            wanted.setdefault(r["query_id"], []).append(known[r["term"]][0])
+    names = list(wanted)
+    idf = np.array([x[1] for x in known.values()], float)
+    mean = next(iter(known.values()))[2] if known else 1.0
+    blocks, start = [], 0  # queries whose matrix (own terms by queries) has at most 4 million cells
+    while start < len(names):
+        end, own = start, set()
+        while end < len(names) and (end == start or len(own | set(wanted[names[end]])) * (end - start + 1) <= 4_000_000):
+            own |= set(wanted[names[end]])
+            end += 1
+        terms = np.array(sorted(own))
+        matrix = np.zeros((len(terms), end - start))
+        for j in range(start, end):
+            matrix[np.searchsorted(terms, wanted[names[j]]), j - start] = 1
+        blocks.append((start, terms, matrix))
+        start = end
+    shared = spark.sparkContext.broadcast((idf, blocks, pa.array(names, to_arrow_type(qkind))))
+    codes = spark.createDataFrame([(t, x[0]) for t, x in known.items()], "term string, t int")
+    hits = index.postings.select("doc_id", "term", "tf").join(F.broadcast(codes), "term").select("doc_id", "t", F.col("tf").cast("long").alias("n"))
+    lengths = index.docs.select("doc_id", F.lit(-1).alias("t"), F.col("doc_length").cast("long").alias("n"))
+    rows = lengths.unionByName(hits).where("doc_id IS NOT NULL").repartition("doc_id").sortWithinPartitions("doc_id", "t")
+    most = max(1, min(2000, 4_000_000 // max([1, len(idf), *(m.shape[1] for _, _, m in blocks)])))  # documents at once
+    arrow = to_arrow_type(kind)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        idf, blocks, query_ids = shared.value
+        best: dict[int, tuple[np.ndarray, pa.Array]] = {}  # by query: scores and ids
+
+        def take(t: pa.Table, cuts: np.ndarray) -> None:
+            """Whole documents, at most ``most``, in order of their ids."""
+            term, n = t.column("t").to_numpy(), t.column("n").to_numpy()
+            ids = t.column("doc_id").combine_chunks().take(pa.array(cuts[:-1]))
+            doc = np.repeat(np.arange(len(ids)), np.diff(cuts))
+            weight, there = np.zeros((len(ids), len(idf))), np.zeros((len(ids), len(idf)), np.float32)
+            at = np.flatnonzero(term >= 0)
+            sized = np.flatnonzero(term < 0)
+            turn = np.arange(len(sized)) - np.searchsorted(doc[sized], doc[sized])  # an id may stand twice
+            for r in range(int(turn.max(initial=-1)) + 1):
+                length = np.full(len(ids), np.nan)
+                length[doc[sized[turn == r]]] = n[sized[turn == r]]
+                on = at[~np.isnan(length[doc[at]])]
+                tf = n[on].astype(float)
+                np.add.at(weight, (doc[on], term[on]), idf[term[on]] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[doc[on]] / mean)))
+                there[doc[on], term[on]] = 1
+            for start, terms, matrix in blocks:
+                scores, met = weight[:, terms] @ matrix, there[:, terms] @ matrix.astype(np.float32) > 0
+                if digits is not None:
+                    scores = np.round(scores, digits)
+                scores = np.where(met, scores, -np.inf)
+                for j in range(matrix.shape[1]):
+                    s, have = scores[:, j], best.get(start + j)
+                    floor = have[0][-1] if have is not None and len(have[0]) >= limit else -np.inf
+                    on = np.flatnonzero(s > floor)  # of equal scores the lesser ids came first
+                    if len(on) > limit:
+                        on = on[s[on] >= np.partition(s[on], -limit)[-limit]]
+                    if len(on):
+                        own = (s[on], ids.take(pa.array(on))) if have is None else (np.append(have[0], s[on]), pa.concat_arrays([have[1], ids.take(pa.array(on))]))
+                        order = np.argsort(-own[0], kind="stable")[:limit]
+                        best[start + j] = (own[0][order], own[1].take(pa.array(order)))
+
+        held: list[pa.Table] = []  # rows of documents that wait
+        for batch in itertools.chain(batches, [None]):
+            if batch is not None and batch.num_rows:
+                held.append(pa.Table.from_batches([batch]))
+            if not held or batch is not None and sum(h.num_rows for h in held) < 50_000:
+                continue
+            t = pa.concat_tables(held).combine_chunks()
+            code = t.column("doc_id").combine_chunks().dictionary_encode().indices.to_numpy()
+            cuts = np.append(np.flatnonzero(np.append(True, code[1:] != code[:-1])), len(code))
+            if batch is not None:
+                cuts = cuts[:-1]  # the last document may go on
+            for i in range(0, len(cuts) - 1, most):
+                own = cuts[i : i + most + 1]
+                take(t[int(own[0]) : int(own[-1])], own - own[0])
+            held = [t[int(cuts[-1]) :]] if batch is not None else []
+        for j, (s, ids) in best.items():
+            yield pa.RecordBatch.from_arrays([query_ids.take(pa.array(np.full(len(s), j))), ids.cast(arrow), pa.array(s)], ["query_id", "doc_id", "bm25_score"])
+
+    return rows.mapInArrow(run, f"query_id {qkind.simpleString()}, doc_id {kind.simpleString()}, bm25_score double")
+
+
 def search_by_shard(index: Index, query: Sequence[str], shard_col: str, limit: int = 100_000, k1: float = K1, b: float = B, keep: int = KEEP_TERMS, floor: int = FLOOR) -> DataFrame:
     """As ``search``, with document frequencies, kept terms and narrowing of
     each shard's own (a column of ``docs``), and global counts and mean length.

@@ -65,7 +65,7 @@ def saved_index(spark: SparkSession, sf: str) -> Index:
     key = (spark.sparkContext.applicationId, sf)
     if key not in _saved:
         path = scratch_path(spark, "saved-index")
-        index_of(spark, sf).stored().save(path)
+        index_of(spark, sf).save(path)
         _saved[key] = path
     return Index.load(spark, _saved[key])
 
@@ -146,13 +146,13 @@ def w4_delta_decoding(spark, sf):
 def j20_merge_segments(spark, sf):
     docs = docs_of(spark, sf)
     short = F.length(F.coalesce("text", F.lit(""))) < 1000
-    parts = [ix.postings_of(ix.tokens(docs.where(rows))) for rows in (short, ~short)]  # all rows, in two segments
+    parts = [ix.doc_postings(docs.where(rows)) for rows in (short, ~short)]  # all rows, in two segments
     return ix.merge_segments(parts).select("term", "doc_id", "tf")
 
 
 @query(f"{BASE}, r AS (SELECT term, doc_id, row_number() OVER (PARTITION BY term ORDER BY doc_id) AS n FROM post) SELECT term, doc_id FROM r WHERE n <= 3")
 def t4_posting_prefix(spark, sf):
-    ranked = index_of(spark, sf).postings.withColumn("n", F.row_number().over(Window.partitionBy("term").orderBy("doc_id")))
+    ranked = ix.doc_postings(docs_of(spark, sf), positions=False).withColumn("n", F.row_number().over(Window.partitionBy("term").orderBy("doc_id")))
     return ranked.where("n <= 3").select("term", "doc_id")
 
 
@@ -323,7 +323,7 @@ def f_analyzer(spark, sf):
 
 @query()
 def f3_stemmed_terms(spark, sf):
-    return ix.terms_of(ix.postings_of(ix.tokens(docs_of(spark, sf), text.Analyzer())))
+    return ix.doc_terms(docs_of(spark, sf), text.Analyzer())
 
 
 @query(r"SELECT page_id, array_to_string(regexp_extract_all(html, '[^\s(){}\[\];:,.<>=+\-*/%&|!^~?]+|[(){}\[\];:,.<>=+\-*/%&|!^~?]'), ' ') AS tokens FROM pages")
@@ -724,7 +724,10 @@ def f17_jaccard(spark, sf):
 @query(r"WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(trim(lower(coalesce(text, ''))), '\s+'), lambda x: x <> '') AS ws FROM documents) SELECT term, count(*) AS cf, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest(ws) AS term FROM t) GROUP BY term")
 def f5_space_tokens(spark, sf):
     words = F.filter(F.split(F.trim(F.lower(F.coalesce("text", F.lit("")))), r"\s+"), lambda w: w != "")
-    return table(spark, sf, "documents").select("doc_id", F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("cf"), F.countDistinct("doc_id").alias("df"))
+    docs = docs_of(spark, sf)
+    if docs.where("doc_id IS NULL").isEmpty() and ix.unique_ids(docs):
+        return ix.sum_terms(ix.row_runs(docs, words, "counts")).select("term", "cf", "df")
+    return docs.select("doc_id", F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("cf"), F.countDistinct("doc_id").alias("df"))
 
 
 @query(rf"{BASE} SELECT strip_accents(term) AS term, sum(cf)::BIGINT AS cf FROM terms GROUP BY 1")
@@ -759,7 +762,8 @@ def f7_kept_variables(spark, sf):
     docs = table(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", source.alias("t"))
     config = text.Analyzer(links="keep", contractions="keep", digits="keep", snake="keep-split", camel="keep", stop_words=(), stemming=False)
     found = text.terms(F.col("t"), config)
-    return docs.select("doc_id", F.size(F.filter(found, lambda x: x["pos"] >= 0)).alias("wholes"), F.size(F.filter(found, lambda x: x["pos"] < 0)).alias("parts"))
+    sizes = F.transform(F.array(found), lambda ts: F.struct(F.size(F.filter(ts, lambda x: x["pos"] >= 0)).alias("wholes"), F.size(F.filter(ts, lambda x: x["pos"] < 0)).alias("parts")))
+    return docs.select("doc_id", F.inline(sizes))
 
 
 @query(r"""WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, '<a [^>]*href="[^"]+"[^>]*>[^<]*<')) AS a FROM pages)

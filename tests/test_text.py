@@ -111,3 +111,11 @@ def test_stop_words_of_a_corpus(spark):
 
     terms = spark.createDataFrame([("the", 9), ("of", 5), ("rare", 1), ("and", 5)], "term string, df long")
     assert text.corpus_stop_words(terms, 10, 0.4) == ("the", "and", "of") and text.corpus_stop_words(terms, 10, 0.4, 1) == ("the",)
+
+
+def test_patterns_run_over_whole_texts(spark):
+    """One split a text: on single tokens, Spark compiles its pattern each time."""
+    df = spark.createDataFrame([("fooBar don't x1y www.a.b snake_case",)], "t string").select(text.terms(F.col("t"), text.Analyzer(stemming=False)).alias("x"))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1
+    assert [(r["term"], r["pos"]) for r in df.first()["x"]] == [("foo", 0), ("bar", 1), ("dont", 2), ("x", 3), ("y", 4), ("snake", 5), ("case", 6)]
