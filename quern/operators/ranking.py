@@ -109,7 +109,8 @@ def search_many(index: Index, queries: DataFrame, limit: int = 10, k1: float = K
     """(query_id, doc_id, bm25_score, rank) for a table (query_id, term): the
     batch form. Scores are rounded to ``digits`` before they are ranked.
 
-    A document's weights meet all queries in a product of matrices, and each
+    A document's weights meet all queries in a product of matrices (of terms
+    that many queries have; the others' are added up one by one), and each
     partition passes on the best of a query only: rows of queries by documents
     are never made. Query tables too large to send to all tasks are joined.
 
@@ -142,24 +143,26 @@ def _scored_by_document(index: Index, q: DataFrame, weighted: DataFrame, limit:
     names = list(wanted)
     idf = np.array([x[1] for x in known.values()], float)
     mean = next(iter(known.values()))[2] if known else 1.0
-    blocks, start = [], 0  # queries whose matrix (own terms by queries) has at most 4 million cells
-    while start < len(names):
-        end, own = start, set()
-        while end < len(names) and (end == start or len(own | set(wanted[names[end]])) * (end - start + 1) <= 4_000_000):
-            own |= set(wanted[names[end]])
-            end += 1
-        terms = np.array(sorted(own))
-        matrix = np.zeros((len(terms), end - start))
-        for j in range(start, end):
-            matrix[np.searchsorted(terms, wanted[names[j]]), j - start] = 1
-        blocks.append((start, terms, matrix))
-        start = end
+    blocks = []  # queries: their number, the matrix of common terms, and the queries of each other term
+    for start in range(0, len(names), 1024):
+        pairs = np.array(sorted({(t, j) for j, n in enumerate(names[start : start + 1024]) for t in wanted[n]}), np.int64).reshape(-1, 2)
+        often = np.bincount(pairs[:, 0], minlength=len(idf))
+        common = np.full(len(idf), -1)
+        top = np.argsort(-often, kind="stable")[:2048]
+        top = top[often[top] >= 8]
+        common[top] = np.arange(len(top))
+        matrix = np.zeros((len(top), min(1024, len(names) - start)))
+        dense = common[pairs[:, 0]] >= 0
+        matrix[common[pairs[dense, 0]], pairs[dense, 1]] = 1
+        rest = pairs[~dense]
+        blocks.append((start, matrix, common, np.searchsorted(rest[:, 0], np.arange(len(idf) + 1)), rest[:, 1]))
     shared = spark.sparkContext.broadcast((idf, blocks, pa.array(names, to_arrow_type(qkind))))
     codes = spark.createDataFrame([(t, x[0]) for t, x in known.items()], "term string, t int")
     hits = index.postings.select("doc_id", "term", "tf").join(F.broadcast(codes), "term").select("doc_id", "t", F.col("tf").cast("long").alias("n"))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)  # a fixed number: few bytes, but much work
     lengths = index.docs.select("doc_id", F.lit(-1).alias("t"), F.col("doc_length").cast("long").alias("n"))
-    rows = lengths.unionByName(hits).where("doc_id IS NOT NULL").repartition("doc_id").sortWithinPartitions("doc_id", "t")
-    most = max(1, min(2000, 4_000_000 // max([1, len(idf), *(m.shape[1] for _, _, m in blocks)])))  # documents at once
+    rows = lengths.unionByName(hits).where("doc_id IS NOT NULL").repartition(parts, "doc_id").sortWithinPartitions("doc_id", "t")
+    most = 1000  # documents at once
     arrow = to_arrow_type(kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,19 +174,31 @@ def _scored_by_document(index: Index, q: DataFrame, weighted: DataFrame, limit:
             term, n = t.column("t").to_numpy(), t.column("n").to_numpy()
             ids = t.column("doc_id").combine_chunks().take(pa.array(cuts[:-1]))
             doc = np.repeat(np.arange(len(ids)), np.diff(cuts))
-            weight, there = np.zeros((len(ids), len(idf))), np.zeros((len(ids), len(idf)), np.float32)
             at = np.flatnonzero(term >= 0)
             sized = np.flatnonzero(term < 0)
+            weight, known = np.zeros(len(term)), np.zeros(len(term), bool)
             turn = np.arange(len(sized)) - np.searchsorted(doc[sized], doc[sized])  # an id may stand twice
             for r in range(int(turn.max(initial=-1)) + 1):
                 length = np.full(len(ids), np.nan)
                 length[doc[sized[turn == r]]] = n[sized[turn == r]]
                 on = at[~np.isnan(length[doc[at]])]
                 tf = n[on].astype(float)
-                np.add.at(weight, (doc[on], term[on]), idf[term[on]] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[doc[on]] / mean)))
-                there[doc[on], term[on]] = 1
-            for start, terms, matrix in blocks:
-                scores, met = weight[:, terms] @ matrix, there[:, terms] @ matrix.astype(np.float32) > 0
+                weight[on] += idf[term[on]] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[doc[on]] / mean))
+                known[on] = True
+            at = at[known[at]]
+            for start, matrix, common, first, asked in blocks:
+                shape = (len(ids), matrix.shape[1])
+                on, few = at[common[term[at]] >= 0], at[common[term[at]] < 0]
+                cell = doc[on] * max(1, len(matrix)) + common[term[on]]
+                area = len(ids) * max(1, len(matrix))
+                left = np.bincount(cell, weight[on], area).reshape(len(ids), -1)[:, : len(matrix)]
+                there = (np.bincount(cell, minlength=area) > 0).reshape(len(ids), -1)[:, : len(matrix)]
+                times = first[term[few] + 1] - first[term[few]]
+                which = np.repeat(np.arange(len(few)), times)
+                own = asked[np.arange(len(which)) + np.repeat(first[term[few]] - (np.cumsum(times) - times), times)]
+                cell = doc[few[which]] * shape[1] + own
+                scores = left @ matrix + np.bincount(cell, weight[few[which]], shape[0] * shape[1]).reshape(shape)
+                met = (there.astype(np.float32) @ matrix.astype(np.float32) > 0) | (np.bincount(cell, minlength=shape[0] * shape[1]) > 0).reshape(shape)
                 if digits is not None:
                     scores = np.round(scores, digits)
                 scores = np.where(met, scores, -np.inf)
