@@ -17,8 +17,8 @@ def norm(a: Column) -> Column:
 
 def normalise(a: Column) -> Column:
     """The unit vector; a zero vector stays as it is."""
-    n = norm(a)
-    return F.transform(a, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(x.cast("double")))
+    # a variable: in the inner function the norm would be computed for each element
+    return F.transform(F.array(norm(a)), lambda n: F.transform(a, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(x.cast("double"))))[0]
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -8,11 +8,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.functions.vectors import dot, norm, normalise, squared_distance
-from quern.session import materialize, path_exists
+from quern.functions.vectors import dot, norm, squared_distance
+from quern.session import materialize, path_exists, ship_code
 
 PROBES, LISTS, TRAIN = 64, 1024, 100_000
 #: Vectors and queries of one block.
@@ -23,6 +24,22 @@ def _literal(v: Sequence[float]):
     return F.array(*(F.lit(float(x)) for x in v))
 
 
+def matrix(lists: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """One row a list, in double precision."""
+    lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+    return lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(len(lists), -1)
+
+
+def row_lists(rows: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * rows.shape[1], pa.int32()), pa.array(rows.ravel()))
+
+
+def unit_rows(rows: np.ndarray) -> np.ndarray:
+    """Rows at unit length; zero rows stay as they are."""
+    n = np.linalg.norm(rows, axis=1, keepdims=True)
+    return np.divide(rows, n, out=rows.astype(np.float64), where=n > 0)
+
+
 def nearest(vectors: DataFrame, query: Sequence[float], k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", metric: str = "ip") -> DataFrame:
     """(id, score) of the k best by inner product, cosine or (least) L2."""
     v = F.col(vec_col)
@@ -94,41 +111,58 @@ class InvertedFile:
 
     @staticmethod
     def build(vectors: DataFrame, lists: int = LISTS, train: int = TRAIN, id_col: str = "vec_id", vec_col: str = "embedding", seed: int = 7) -> InvertedFile:
-        """Coarse centroids by distributed k-means on a bounded sample (``train``
-        rows by hash of the id), then every vector goes to its nearest list."""
+        """Coarse centroids by distributed k-means on a bounded sample (about
+        ``train`` rows by hash of the id), then every vector goes to its nearest
+        list. Placed vectors are written once, as a search reads them thrice."""
         from pyspark.ml.clustering import KMeans
         from pyspark.ml.functions import array_to_vector
 
-        unit = vectors.where(F.col(vec_col).isNotNull()).select(F.col(id_col).alias("id"), normalise(F.col(vec_col)).alias("embedding"))
-        sample = materialize(unit.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(train).select("id", array_to_vector("embedding").alias("features")), "train")
+        spark = vectors.sparkSession
+        ship_code(spark)
+        rows = vectors.where(F.col(vec_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vec_col).alias("embedding"))
+        kind = rows.schema["id"].dataType.simpleString()
+
+        def unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if b.num_rows:
+                    yield pa.RecordBatch.from_arrays([b.column("id"), row_lists(unit_rows(matrix(b.column("embedding"))))], ["id", "embedding"])
+
+        # a share of the hash's range: in every part of the table, and not sorted into one task
+        cut = min(1.0, train / max(1, rows.count()))
+        chosen = rows.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 40)) < int(cut * (1 << 40))) if cut < 1 else rows
+        sample = materialize(chosen.mapInArrow(unit, f"id {kind}, embedding array<double>").select("id", array_to_vector("embedding").alias("features")), "train")
         c = np.zeros((0, 0))
         if (n := sample.count()):
             model = KMeans(k=max(2, min(lists, n)), seed=seed, maxIter=10, featuresCol="features", distanceMeasure="euclidean").fit(sample)
             c = np.array(model.clusterCenters())
             c = c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
-        shared = vectors.sparkSession.sparkContext.broadcast(c)
+        shared = spark.sparkContext.broadcast(c)
 
-        def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for f in frames:
-                if len(f):
-                    yield f.assign(list=(np.stack(f["embedding"].to_numpy()) @ shared.value.T).argmax(1).astype(np.int32))
+        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if b.num_rows:
+                    v = unit_rows(matrix(b.column("embedding")))
+                    yield pa.RecordBatch.from_arrays([b.column("id"), row_lists(v), pa.array((v @ shared.value.T).argmax(1).astype(np.int32))], ["id", "embedding", "list"])
 
-        kind = unit.schema["id"].dataType.simpleString()
-        return InvertedFile(c, unit.mapInPandas(place, f"id {kind}, embedding array<double>, list int"))
+        return InvertedFile(c, materialize(rows.mapInArrow(place, f"id {kind}, embedding array<double>, list int"), "placed"))
 
     def bounds(self, q: np.ndarray) -> np.ndarray:
         """No vector of a list scores higher with the unit vector ``q``: the
         angle to it is at least that to the centroid less the list's widest."""
         if self.least is None:
+            ship_code(self.vectors.sparkSession)
             shared = self.vectors.sparkSession.sparkContext.broadcast(self.centroids)
 
-            def narrow(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-                for f in frames:
-                    if len(f):
-                        own = np.einsum("ij,ij->i", np.stack(f["embedding"].to_numpy()), shared.value[f["list"].to_numpy()])
-                        yield pd.DataFrame({"list": f["list"], "own": own}).groupby("list", as_index=False).min()
+            def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for b in batches:
+                    if b.num_rows:
+                        at = b.column("list").to_numpy()
+                        own = np.full(len(shared.value), np.inf)
+                        np.minimum.at(own, at, np.einsum("ij,ij->i", matrix(b.column("embedding")), shared.value[at]))
+                        there = np.flatnonzero(own < np.inf)
+                        yield pa.RecordBatch.from_arrays([pa.array(there.astype(np.int32)), pa.array(own[there])], ["list", "own"])
 
-            rows = self.vectors.select("embedding", F.col("list").cast("int").alias("list")).mapInPandas(narrow, "list int, own double").groupBy("list").agg(F.min("own").alias("own")).collect()
+            rows = self.vectors.select("embedding", F.col("list").cast("int").alias("list")).mapInArrow(narrow, "list int, own double").groupBy("list").agg(F.min("own").alias("own")).collect()
             self.least = np.full(len(self.centroids), np.nan)
             for r in rows:
                 self.least[r["list"]] = r["own"]

@@ -270,3 +270,29 @@ def test_csv_keeps_blanks_and_empty_values(spark, tmp_path):
     back = dump.read_csv(spark, f"{tmp_path}/c", df.schema)
     assert back.schema.simpleString() == df.schema.simpleString()
     assert {tuple(r) for r in back.collect()} == {tuple(r) for r in df.collect()}
+
+
+def test_normalise_takes_the_norm_once_a_vector(spark):
+    """Not once an element: 100 vectors of 4096 elements took minutes."""
+    import time
+
+    from quern.functions.vectors import normalise
+
+    rows = spark.range(100).select(F.transform(F.sequence(F.lit(1), F.lit(4096)), lambda x: x + F.col("id")).alias("v")).persist()
+    rows.count()
+    began = time.time()
+    norms = rows.select(F.aggregate(normalise(F.col("v")), F.lit(0.0), lambda s, x: s + x * x).alias("n")).collect()
+    assert time.time() - began < 20 and all(abs(r["n"] - 1) < 1e-9 for r in norms)
+    odd = spark.createDataFrame([([0.0, 0.0],), ([],), (None,)], "v array<double>").select(normalise(F.col("v")).alias("v")).collect()
+    assert [r["v"] for r in odd] == [[0.0, 0.0], [], None]
+
+
+def test_inverted_file_places_vectors_once(spark, vecs):
+    """Lists are read from what was written, not made again by each step of a
+    search; the sample of the centroids is a share of every part of the table."""
+    df, x = vecs
+    index = vectors.InvertedFile.build(df.repartition(4), 6, train=100)
+    assert not {"MapInPandas", "MapInArrow"} & set(index.vectors._jdf.queryExecution().executedPlan().toString().replace("(", " ").split())
+    assert index.vectors.count() == 200 and len(index.centroids) == 6
+    for i in (3, 150):
+        assert [r["id"] for r in index.search(x[i].tolist(), 5, 1).collect()] == np.argsort(-(x @ x[i]), kind="stable")[:5].tolist()
