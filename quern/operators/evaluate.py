@@ -11,8 +11,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from quern.functions.vectors import normalise
-from quern.session import materialize, ship_code
+from quern.operators.vectors import matrix, row_lists, unit_rows
+from quern.session import checked_join, materialize, ship_code
+
+#: Points of a cell of ``density_clusters``: at least and at most, and bytes at most.
+SMALL, LARGE, CELL_BYTES = 4096, 65_536, 64_000_000
 
 
 def clarity(retrieved: DataFrame, corpus: DataFrame, normalised: bool = True, unknown: float = 1e-12) -> DataFrame:
@@ -181,29 +184,34 @@ def rank_correlation(lists: DataFrame) -> DataFrame:
     return rows.repartition("query_id").sortWithinPartitions("query_id").mapInArrow(run, f"query_id {key}, {kind}")
 
 
-def _cells(unit: DataFrame, radius: float, size: int, pivots: int = 256) -> tuple[DataFrame, DataFrame]:
-    """Points with their cells, and the pairs (i, j) of cells, i <= j, that can
-    hold two points within the radius.
+def _cells(rows: DataFrame, radius: float, size: int | None, pivots: int = 256) -> tuple[DataFrame, DataFrame, int]:
+    """Points (id, v) as unit vectors with their cells, the pairs (i, j) of cells, i <= j, that can hold
+    two points within the radius, and the number of these pairs.
 
     A cell is what lies nearest to one of at most ``pivots`` points of the
     table, cut further by a hash where that is more than ``size`` points. By
     the angles' triangle inequality two pivots' cells can only hold a close pair
     if their angle is at most both cells' widest angles and the radius'.
     """
-    spark, n = unit.sparkSession, unit.count()
-    chosen = unit.orderBy(F.xxhash64("id", F.lit(1)), "id").limit(max(1, min(pivots, n // size))).select("v").collect()  # at most ``pivots`` rows
-    centre = np.array([r[0] for r in chosen]).reshape(len(chosen), -1)
+    spark, n = rows.sparkSession, rows.count()
+    if size is None:
+        first = rows.select(F.size("v").alias("n")).first()
+        size = max(1, min(max(SMALL, n // 12), LARGE, CELL_BYTES // (8 * max(1, first["n"] if first else 1))))
+    chosen = rows.orderBy(F.xxhash64("id", F.lit(1)), "id").limit(max(1, min(pivots, n // size))).select("v").collect()  # at most ``pivots`` rows
+    centre = unit_rows(np.array([r[0] for r in chosen])) if chosen else np.zeros((0, 1))
     shared = spark.sparkContext.broadcast(centre)
 
-    def place(frames):
-        for f in frames:
-            if len(f):
-                s = np.stack(f["v"].to_numpy()) @ shared.value.T
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                v = unit_rows(matrix(b.column("v")))
+                s = v @ shared.value.T
                 at = s.argmax(1)
-                yield f.assign(pivot=at.astype(np.int32), wide=np.arccos(np.clip(s[np.arange(len(f)), at], -1, 1)))
+                wide = np.arccos(np.clip(s[np.arange(len(s)), at], -1, 1))
+                yield pa.RecordBatch.from_arrays([b.column("id"), row_lists(v), pa.array(at.astype(np.int32)), pa.array(wide)], ["id", "v", "pivot", "wide"])
 
-    kind = unit.schema["id"].dataType.simpleString()
-    placed = materialize(unit.mapInPandas(place, f"id {kind}, v array<double>, pivot int, wide double"), "placed")
+    kind = rows.schema["id"].dataType.simpleString()
+    placed = materialize(rows.mapInArrow(place, f"id {kind}, v array<double>, pivot int, wide double"), "placed")
     found = {r["pivot"]: (r["wide"], -(-r["n"] // size)) for r in placed.groupBy("pivot").agg(F.max("wide").alias("wide"), F.count("*").alias("n")).collect()}
     reach = np.arccos(np.clip(1 - radius, -1, 1)) + 1e-6
     close = [(i, j) for i in found for j in found if i <= j and np.arccos(np.clip(centre[i] @ centre[j], -1, 1)) <= found[i][0] + found[j][0] + reach]
@@ -212,50 +220,151 @@ def _cells(unit: DataFrame, radius: float, size: int, pivots: int = 256) -> tupl
     pairs = spark.createDataFrame([(i, j, found[i][1], found[j][1]) for i, j in close], "p int, q int, x int, y int")
     pairs = pairs.withColumn("a", F.explode(F.sequence(F.lit(0), F.col("x") - 1))).withColumn("b", F.explode(F.sequence(F.lit(0), F.col("y") - 1)))
     pairs = pairs.select((F.col("p").cast("long") * (1 << 32) + F.col("a")).alias("i"), (F.col("q").cast("long") * (1 << 32) + F.col("b")).alias("j"))
-    return points, pairs.where("i <= j")
+    return points, pairs.where("i <= j"), sum(found[i][1] * found[j][1] for i, j in close)
+
+
+def _hits(a: np.ndarray, b: np.ndarray, radius: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of ``a`` and ``b`` within the radius, tile by tile. Products are in
+    single precision; those too near to the radius for it are made again."""
+    a4, b4 = a.astype(np.float32), b.astype(np.float32)
+    least, slack = 1 - radius, (a.shape[1] + 8) * 1.2e-7
+    for x in range(0, len(a), 1024):
+        for y in range(0, len(b), 1024):
+            s = a4[x : x + 1024] @ b4[y : y + 1024].T
+            at = np.flatnonzero(s >= np.float32(least - slack))
+            r, c, found = at // s.shape[1] + x, at % s.shape[1] + y, s.ravel()[at]
+            open_ = np.flatnonzero(found <= np.float32(least + slack))
+            if len(open_):
+                keep = np.ones(len(at), bool)
+                keep[open_] = _distances(a, b, r[open_], c[open_]) <= radius
+                r, c = r[keep], c[keep]
+            if len(r):
+                yield r.astype(np.int32), c.astype(np.int32)
+
+
+def _distances(a: np.ndarray, b: np.ndarray, r: np.ndarray, c: np.ndarray) -> np.ndarray:
+    out = np.empty(len(r))
+    for at in range(0, len(r), 65536):
+        out[at : at + 65536] = 1 - np.einsum("ij,ij->i", a[r[at : at + 65536]], b[c[at : at + 65536]])
+    return out
+
+
+def _union(root: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """``root`` names each point's group by its least member; joins those of the
+    points ``x`` and ``y``, pair by pair."""
+    while True:
+        p, q = root[x], root[y]
+        apart = np.flatnonzero(p != q)
+        if not len(apart):
+            return root
+        x, y, p, q = x[apart], y[apart], p[apart], q[apart]
+        np.minimum.at(root, np.maximum(p, q), np.minimum(p, q))
+        while not np.array_equal(up := root[root], root):
+            root = up
+
+
+def _meet(a: np.ndarray, b: np.ndarray | None, radius: float, least: int, held: int = 4_000_000) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """What two cells (or one, without ``b``) say of their points, numbered
+    through both: how many close ones each has here; (x, y, distance) of each x
+    that has fewer than ``least``; and groups of the others as (x, member).
+
+    So what a cell pair gives grows with its points, not with its close pairs.
+    More than ``held`` close pairs aren't kept but found a second time.
+    """
+    n, shift, other = len(a) + (0 if b is None else len(b)), 0 if b is None else len(a), a if b is None else b
+    count, kept, total = np.zeros(n, np.int64), [], 0
+    for r, c in _hits(a, other, radius):
+        c = c + np.int32(shift)
+        count += np.bincount(r, minlength=n)
+        if b is not None:
+            count += np.bincount(c, minlength=n)
+        total += len(r)
+        if total <= held:
+            kept.append((r, c))
+        else:
+            kept.clear()
+    few, root, pairs = count < least, np.arange(n), []
+    for r, c in kept if total <= held else ((r, c + np.int32(shift)) for r, c in _hits(a, other, radius)):
+        for x, y in ((r, c),) if b is None else ((r, c), (c, r)):
+            if len(at := np.flatnonzero(few[x])):
+                pairs.append((x[at], y[at], _distances(a, other, r[at], c[at] - shift)))
+        both = np.flatnonzero(~few[r] & ~few[c])
+        root = _union(root, r[both], c[both])
+    x, y, d = (np.concatenate(z) for z in zip(*pairs)) if pairs else (np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0))
+    own = np.flatnonzero(root != np.arange(n))
+    return count, (x, y, d), (own, root[own])
+
+
+def _least_labels(ids: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, cluster): the least id that links (a, b) lead to. A label is itself
+    a point's id, so each round also takes the label's label, and the rounds
+    grow with the logarithm of the longest way."""
+    links = materialize(links.union(links.select("b", "a")).distinct(), "links")
+    labels = materialize(ids.withColumn("cluster", F.col("id")), "labels")
+    while True:
+        step = links.join(labels.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("cluster").alias("m"))
+        least = labels.join(step, labels["id"] == step["a"], "left").select("id", F.least("cluster", F.coalesce("m", "cluster")).alias("near"), "cluster")
+        up = labels.select(F.col("id").alias("near"), F.col("cluster").alias("far"))
+        moved = materialize(least.join(up, "near").select("id", F.least("near", "far").alias("cluster"), (F.least("near", "far") < F.col("cluster")).alias("moved")), "labels")
+        labels = moved.select("id", "cluster")
+        if moved.where("moved").isEmpty():
+            return labels
 
 
-def density_clusters(points: DataFrame, radius: float = 0.3, least: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", size: int = 4096) -> DataFrame:
+def density_clusters(points: DataFrame, radius: float = 0.3, least: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", size: int | None = None) -> DataFrame:
     """(id, cluster): DBSCAN by cosine distance; noise is -1, a cluster is named
     by its least core id, a border point joins its nearest core's cluster.
 
-    Points meet in pairs of cells of about ``size`` points (see ``_cells``),
-    each pair a task, so all close pairs are found and tasks don't grow with the
-    table; core points are linked by least-label propagation.
+    Points meet in pairs of cells of at most ``size`` points (see ``_cells``),
+    each pair a task over packed vectors, so all close pairs are found. Close
+    pairs aren't written: a task gives counts, the pairs of points that have few
+    there, and groups of the others (see ``_meet``).
     """
-    unit = materialize(points.where(F.col(vec_col).isNotNull()).select(F.col(id_col).alias("id"), normalise(F.col(vec_col)).alias("v")), "points")
-    placed, pairs = _cells(unit, radius, size)
+    spark = points.sparkSession
+    ship_code(spark)
+    rows = points.where(F.col(vec_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vec_col).alias("v"))
+    placed, pairs, tasks = _cells(rows, radius, size)
+    kind = rows.schema["id"].dataType.simpleString()
+    arrow = to_arrow_type(rows.schema["id"].dataType)
+
+    def pack(rows: pa.Table) -> pa.Table:
+        v, ids, cell = matrix(rows["v"]), rows["id"].combine_chunks(), rows["cell"][0].as_py()
+        cuts = list(range(0, len(v), 4096))
+        names = pa.ListArray.from_arrays(pa.array([*cuts, len(v)], pa.int32()), ids)
+        return pa.table({"cell": [cell] * len(cuts), "ids": names, "v": [v[c : c + 4096].tobytes() for c in cuts], "dim": pa.array([v.shape[1]] * len(cuts), pa.int32())})
+
+    packed = materialize(placed.groupBy("cell").applyInArrow(pack, f"cell long, ids array<{kind}>, v binary, dim int"), "cells")
     ends = pairs.select("i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("cell"))
-    spread = placed.join(ends, "cell")
-    kind = unit.schema["id"].dataType.simpleString()
-
-    def meet(frame: pd.DataFrame) -> pd.DataFrame:
-        i, j = frame["i"].iloc[0], frame["j"].iloc[0]
-        a, b = frame[frame["cell"] == i], frame[frame["cell"] == j]
-        if not len(a) or not len(b):
-            return pd.DataFrame({"a": [], "b": [], "d": []}).astype({"a": frame["id"].dtype, "b": frame["id"].dtype, "d": float})
-        va, vb, out = np.stack(a["v"].to_numpy()), np.stack(b["v"].to_numpy()), []
-        for at in range(0, len(va), 1024):
-            d = 1 - va[at : at + 1024] @ vb.T
-            r, c = np.nonzero(d <= radius)
-            out.append(pd.DataFrame({"a": a["id"].to_numpy()[r + at], "b": b["id"].to_numpy()[c], "d": d[r, c]}))
-        found = pd.concat(out)
-        if i != j:
-            found = pd.concat([found, found.rename(columns={"a": "b", "b": "a"})])
-        return found
-
-    near = materialize(spread.groupBy("i", "j").applyInPandas(meet, f"a {kind}, b {kind}, d double"), "neighbours")
-    core = materialize(near.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") >= least).select(F.col("a").alias("id")), "core")
-    links = materialize(near.join(core.withColumnRenamed("id", "a"), "a", "left_semi").join(core.withColumnRenamed("id", "b"), "b", "left_semi").select("a", "b"), "links")
-    labels = materialize(core.withColumn("cluster", F.col("id")), "labels")
-    while True:
-        step = links.join(labels.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("cluster").alias("m"))
-        moved = materialize(labels.join(step, labels["id"] == step["a"], "left").select("id", F.least("cluster", F.coalesce("m", "cluster")).alias("cluster"), (F.col("m") < F.col("cluster")).alias("moved")), "labels")
-        labels = moved.select("id", "cluster")
-        if moved.where("moved").isEmpty():
-            break
-    border = near.join(labels.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min_by("cluster", F.struct("d", "cluster")).alias("c"))
-    out = unit.select("id").join(labels, "id", "left").join(border, F.col("id") == F.col("a"), "left")
+    spread = checked_join(packed, ends, "cell")
+    found_schema = pa.schema([("a", arrow), ("b", arrow), ("d", pa.float64()), ("n", pa.int64())])
+
+    def meet(rows: pa.Table) -> pa.Table:
+        i, j = rows["i"][0].as_py(), rows["j"][0].as_py()
+        cells = rows["cell"].to_numpy()
+        order = np.concatenate([np.flatnonzero(cells == c) for c in ([i] if i == j else [i, j])])
+        vectors = lambda c: np.concatenate([np.frombuffer(rows["v"][k].as_py()).reshape(-1, rows["dim"][k].as_py()) for k in np.flatnonzero(cells == c)] or [np.zeros((0, 1))])
+        if not np.any(cells == i) or not np.any(cells == j):
+            return found_schema.empty_table()
+        ids = pa.concat_arrays([rows["ids"][int(k)].values for k in order]).cast(arrow)
+        count, (x, y, d), (own, root) = _meet(vectors(i), None if i == j else vectors(j), radius, least)
+        there = np.flatnonzero(count)
+        nothing = lambda t, n: pa.nulls(n, t)
+        parts = [
+            [ids.take(pa.array(there)), nothing(arrow, len(there)), nothing(pa.float64(), len(there)), pa.array(count[there])],
+            [ids.take(pa.array(x)), ids.take(pa.array(y)), pa.array(d), nothing(pa.int64(), len(x))],
+            [ids.take(pa.array(own)), ids.take(pa.array(root)), nothing(pa.float64(), len(own)), nothing(pa.int64(), len(own))],
+        ]
+        return pa.concat_tables(pa.Table.from_arrays(p, schema=found_schema) for p in parts)
+
+    # more partitions than pairs, since a hash puts some together
+    met = spread.repartition(max(1, min(3 * tasks, 10_000)), "i", "j").groupBy("i", "j").applyInArrow(meet, f"a {kind}, b {kind}, d double, n long")
+    near = materialize(met, "neighbours")
+    core = materialize(near.where("n IS NOT NULL").groupBy("a").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select(F.col("a").alias("id")), "core")
+    linked = near.where("n IS NULL AND a <> b")
+    links = linked.join(core.withColumnRenamed("id", "a"), "a", "left_semi").join(core.withColumnRenamed("id", "b"), "b", "left_semi").select("a", "b")
+    labels = _least_labels(core, links)
+    border = near.where("d IS NOT NULL").join(core.withColumnRenamed("id", "a"), "a", "left_anti").join(labels.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min_by("cluster", F.struct("d", "cluster")).alias("c"))
+    out = placed.select("id").join(labels, "id", "left").join(border, F.col("id") == F.col("a"), "left")
     return out.select(F.col("id").alias(id_col), F.coalesce("cluster", "c", F.lit(-1).cast(kind)).alias("cluster"))
 
 

@@ -287,6 +287,43 @@ def test_normalise_takes_the_norm_once_a_vector(spark):
     assert [r["v"] for r in odd] == [[0.0, 0.0], [], None]
 
 
+def test_density_clusters_write_no_pairs(spark, monkeypatch):
+    """Of 1500 points in one place all 2.25 million pairs are close; what is
+    written stays in the order of the points. And equal to brute force, whether
+    close pairs are held or found again, also for ids that are strings."""
+    written = {}
+    whole = evaluate.materialize
+
+    def counted(df, name):
+        out = whole(df, name)
+        written[name] = max(written.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(evaluate, "materialize", counted)
+    rng = np.random.default_rng(3)
+    one = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(1 + 0.01 * rng.normal(size=(1500, 4)))], "vec_id long, embedding array<double>")
+    assert {r["cluster"] for r in evaluate.density_clusters(one, 0.3, 4, size=800).collect()} == {0}
+    assert max(written.values()) < 40_000
+
+    x = np.concatenate([c + 0.3 * rng.normal(size=(60, 6)) for c in rng.normal(size=(4, 6))] + [rng.normal(size=(40, 6)), np.zeros((1, 6))])
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    label, core = brute_dbscan(x, 0.08, 4)
+    far = 1 - x @ x.T
+    want = [label[i] if core[i] else min([(far[i, j], label[j]) for j in np.flatnonzero(core & (far[i] <= 0.08))], default=(0, -1))[1] for i in range(len(x))]
+    assert {-1} < set(want) and any(w >= 0 and not c for w, c in zip(want, core))
+    df = spark.createDataFrame([(f"{i:03d}", v.tolist()) for i, v in enumerate(x)], "vec_id string, embedding array<double>")
+    for size in (80, None):
+        got = {int(r["vec_id"]): int(r["cluster"]) for r in evaluate.density_clusters(df, 0.08, 4, size=size).collect()}
+        assert [got[i] for i in range(len(x))] == want
+    assert evaluate.density_clusters(df.limit(0), 0.08, 4).count() == 0
+    for held in (0, 10**6):
+        count, (a, b, d), (own, root) = evaluate._meet(x[:200], x[200:], 0.08, 3, held)
+        near = far[:200, 200:] <= 0.08
+        assert count.tolist() == [*near.sum(1), *near.sum(0)]
+        assert sorted(zip(a.tolist(), b.tolist())) == sorted([(i, j + 200) for i, j in zip(*np.nonzero(near)) if count[i] < 3] + [(j + 200, i) for i, j in zip(*np.nonzero(near)) if count[j + 200] < 3])
+        assert np.allclose(d, far[a, b]) and (count[own] >= 3).all() and (count[root] >= 3).all()
+
+
 def test_inverted_file_places_vectors_once(spark, vecs):
     """Lists are read from what was written, not made again by each step of a
     search; the sample of the centroids is a share of every part of the table."""
