@@ -11,7 +11,9 @@ import unicodedata
 from dataclasses import dataclass, replace
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -69,6 +71,59 @@ def plain_terms(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), SEPARATORS), lambda t: t != "")
 
 
+_words_of: dict[str, object] = {}
+
+
+def word_characters(spark: SparkSession):
+    """Broadcast: for each code point, whether ``SEPARATORS`` leaves it in a
+    term. Asked of the JVM once an application, so both say the same."""
+    app = spark.sparkContext.applicationId
+    if app not in _words_of:
+        every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+        kept = spark.sparkContext._jvm.java.util.regex.Pattern.compile(SEPARATORS).matcher(every).replaceAll("")
+        table = np.zeros(1 << 21, bool)
+        table[np.frombuffer(kept.encode("utf-32-le"), np.uint32)] = True
+        _words_of.clear()
+        _words_of[app] = spark.sparkContext.broadcast(table)
+    return _words_of[app]
+
+
+def plain_tokens(texts: pa.Array, words: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """``plain_terms`` of lower-cased texts, one after the other, and how many
+    each has. Works on the bytes of the whole batch."""
+    texts = texts.cast(pa.large_binary())
+    _, offsets, data = texts.buffers()
+    cuts = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    raw = np.frombuffer(data, np.uint8)[cuts[0] : cuts[-1]] if data is not None else np.zeros(0, np.uint8)
+    cuts = cuts - cuts[0]
+    if (raw >= 0x80).any():
+        try:
+            raw.tobytes().decode()
+        except UnicodeDecodeError:  # bytes that are no text separate, as in the JVM
+            fixed = [t.decode("utf-8", "replace").encode() for t in texts.to_pylist()]
+            return plain_tokens(pa.array(fixed, pa.large_binary()), words)
+    word = words[raw]
+    lead = np.flatnonzero(raw >= 0xC0)
+    if len(lead):
+        b = np.append(raw, np.zeros(3, np.uint8))
+        one, (x, y, z) = b[lead].astype(np.int32), (b[lead + i].astype(np.int32) & 0x3F for i in (1, 2, 3))
+        size = 2 + (one >= 0xE0) + (one >= 0xF0)
+        point = np.select([size == 2, size == 3], [(one & 0x1F) << 6 | x, (one & 0xF) << 12 | x << 6 | y], (one & 7) << 18 | x << 12 | y << 6 | z)
+        good = words[point]
+        for i in range(4):
+            there = size > i
+            word[lead[there] + i] = good[there]
+    begins = word.copy()
+    begins[1:] &= ~word[:-1]
+    edges = cuts[:-1][cuts[:-1] < len(raw)]
+    begins[edges] = word[edges]  # a text ends its last term
+    start = np.flatnonzero(begins)
+    place = np.cumsum(word, dtype=np.int32)
+    ends = np.append(place[start] - 1, place[-1] if len(place) else 0).astype(np.int32)
+    flat = pa.StringArray.from_buffers(len(start), pa.py_buffer(ends), pa.py_buffer(raw[word]))
+    return flat, np.diff(np.searchsorted(start, cuts))
+
+
 def to_ascii(text: Column) -> Column:
     """Latin letters without their accents, combining marks dropped."""
     letters = "".join(_PLAIN)

@@ -21,7 +21,7 @@ from pyspark.sql.functions import arrow_udf
 from pyspark.sql.pandas.types import to_arrow_type
 
 from quern.functions import html
-from quern.functions.text import PLAIN, Analyzer, plain_terms, raw_terms, raw_tokens, text_length, terms
+from quern.functions.text import PLAIN, Analyzer, plain_terms, plain_tokens, raw_terms, raw_tokens, text_length, terms, word_characters
 from quern.session import checked_join, materialize, ship_code
 
 BUCKETS = 64
@@ -53,9 +53,10 @@ def postings_of(token_rows: DataFrame) -> DataFrame:
 
 
 def _found(analyzer: Analyzer | None, text_col: str, only: Sequence[str] | None) -> Column:
-    """Terms of a text for ``row_runs``; without positions they are numbered."""
+    """Terms of a text for ``row_runs``; without positions they are numbered.
+    A lower-cased text stands for its plain terms, which are cut there."""
     if analyzer is PLAIN and only is None:
-        return plain_terms(F.col(text_col))
+        return F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     found = terms(F.col(text_col), analyzer)
     if only is not None:
         wanted = [str(t) for t in only]
@@ -70,16 +71,19 @@ def row_runs(docs: DataFrame, found: Column, form: str, id_col: str = "doc_id")
     ship_code(docs.sparkSession)
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), found.alias("ts"))
     kind = rows.schema["doc_id"].dataType
+    letters = word_characters(docs.sparkSession) if isinstance(rows.schema["ts"].dataType, T.StringType) else None
     fields = {"positions": f"term string, doc_id {kind.simpleString()}, tf bigint, positions array<int>", "tf": f"term string, doc_id {kind.simpleString()}, tf bigint", "forward": f"doc_id {kind.simpleString()}, terms array<struct<term:string,positions:array<int>>>", "counts": "term string, df bigint, cf bigint"}[form]
     arrow = to_arrow_type(kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column("ts")
-            flat = lists.flatten()
+            if letters is not None:
+                flat, sizes = plain_tokens(lists, letters.value)
+            else:
+                flat, sizes = lists.flatten(), np.diff(lists.offsets.to_numpy())
             if not len(flat):
                 continue
-            sizes = np.diff(lists.offsets.to_numpy())
             doc = np.repeat(np.arange(len(lists)), sizes)
             if pa.types.is_struct(flat.type):
                 flat, pos = flat.field("term"), flat.field("pos").to_numpy()
@@ -90,8 +94,16 @@ def row_runs(docs: DataFrame, found: Column, form: str, id_col: str = "doc_id")
                 ranks = np.argsort(pc.sort_indices(words.dictionary).to_numpy())
                 words = pa.DictionaryArray.from_arrays(pa.array(ranks[words.indices.to_numpy()]), words.dictionary.take(pc.sort_indices(words.dictionary)))
             key = doc * np.int64(len(words.dictionary)) + words.indices.to_numpy()
-            order = np.argsort(key, kind="stable")  # tokens stand in order of their positions
-            key = key[order]
+            if form in ("tf", "counts"):
+                key = np.sort(key)
+            else:  # tokens stand in order of their positions
+                bits = len(key).bit_length()
+                if int(key[-1] // len(words.dictionary) + 1) * len(words.dictionary) < 1 << (62 - bits):
+                    both = np.sort(key << bits | np.arange(len(key)))  # plain sorts are several times as fast as stable ones
+                    key, order = both >> bits, both & ((1 << bits) - 1)
+                else:
+                    order = np.argsort(key, kind="stable")
+                    key = key[order]
             first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
             tf = np.diff(np.append(first, len(key)))
             code = key[first] % len(words.dictionary)
@@ -254,9 +266,18 @@ class Index:
         return self.postings_for([term]).where(F.col("doc_id") == doc_id)
 
     def vocabulary(self, top_p: float = 0.2) -> DataFrame:
-        """The share ``top_p`` of terms that most documents have."""
-        n = int(self.terms.count() * top_p)
-        return self.terms.orderBy(F.desc("df"), "term").limit(n)
+        """The share ``top_p`` of terms that most documents have.
+
+        Terms are counted once and written; by the number of terms of each
+        frequency, only those that can be among them are sorted.
+        """
+        rows = materialize(self.terms, "terms")
+        sizes = sorted(((r["df"], r["count"]) for r in rows.groupBy("df").count().collect()), reverse=True)  # as many as there are frequencies
+        n, least, seen = int(sum(c for _, c in sizes) * top_p), 0, 0
+        for df, c in sizes:
+            if seen < n:
+                least, seen = df, seen + c
+        return rows.where(F.col("df") >= least).orderBy(F.desc("df"), "term").limit(n)
 
     def forward(self) -> DataFrame:
         """(doc_id, terms): each document's terms with their positions."""

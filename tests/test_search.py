@@ -279,3 +279,38 @@ def test_a_torn_replay_hides_its_segment(spark, tmp_path, monkeypatch):
     monkeypatch.undo()
     index.add(docs, 0)
     assert index.docs().count() == 1 and index.postings().count() == 2
+
+
+def test_plain_tokens_are_the_jvm_terms(spark):
+    """Cut over bytes in Python as by the JVM's regular expression: every code
+    point, texts that touch, empty and null ones."""
+    from quern.functions.text import plain_terms
+    from quern.operators import index as ix
+
+    every = [chr(c) for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+    texts = ["Ab" + "x".join(every[i : i + 997]) + "Cd" for i in range(0, len(every), 997)]
+    texts += ["a", "b", "", None, "  ", "ΟΔΟΣ İstanbul ẞ ﬁx", "end", "1st²½", "naïve—café", "日本 語\U0001d400x", "é", "x" * 70000]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    assert "split(" not in str(ix.doc_postings(df, unique=True)._jdf.queryExecution().optimizedPlan().toString())
+    whole = ix.postings_of(ix.tokens(df))
+    got = ix.doc_postings(df, unique=True)
+    assert got.exceptAll(whole.select(got.columns)).isEmpty() and got.count() == whole.count() > 3000
+    sizes = {r["doc_id"]: r["n"] for r in df.select("doc_id", F.size(plain_terms(F.col("text"))).alias("n")).collect()}
+    sums = {r["doc_id"]: r["n"] for r in got.groupBy("doc_id").agg(F.sum("tf").alias("n")).collect()}
+    assert all(sums.get(i, 0) == n for i, n in sizes.items())
+    bad = df.limit(1).select(F.lit(1).alias("doc_id"), F.expr("cast(x'61ff62c3' as string)").alias("text"))
+    assert {r["term"] for r in ix.doc_postings(bad, unique=True).collect()} == {"a", "b"}
+
+
+def test_vocabulary_counts_terms_once(spark, monkeypatch):
+    from quern.operators import index as ix
+
+    written = []
+    whole = ix.materialize
+    monkeypatch.setattr(ix, "materialize", lambda df, name: written.append(name) or whole(df, name))
+    df = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(0, 60, 1 + i % 4))) for i in range(20)], "doc_id long, text string")
+    index = Index.build(df)
+    for share in (0, 0.01, 0.2, 0.5, 1):
+        want = index.terms.orderBy(F.desc("df"), "term").limit(int(60 * share)).collect()
+        assert index.vocabulary(share).collect() == want and len(want) == int(60 * share)
+    assert written == ["terms"] * 5
