@@ -64,15 +64,16 @@ def _found(analyzer: Analyzer | None, text_col: str, only: Sequence[str] | None)
     return found
 
 
-def row_runs(docs: DataFrame, found: Column, form: str, id_col: str = "doc_id") -> DataFrame:
+def row_runs(docs: DataFrame, found: Column, form: str, id_col: str = "doc_id", first_k: int = 1) -> DataFrame:
     """Each row's own terms, over Arrow batches and without a shuffle. ``form``:
     ``positions`` gives (term, doc_id, tf, positions), ``tf`` (term, doc_id, tf),
-    ``forward`` (doc_id, terms), ``counts`` (term, df, cf) of a batch of rows."""
+    ``forward`` (doc_id, terms), ``counts`` (term, df, cf) of a batch of rows,
+    ``prefix`` (term, doc_id) of the ``first_k`` least ids a term and batch."""
     ship_code(docs.sparkSession)
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), found.alias("ts"))
     kind = rows.schema["doc_id"].dataType
     letters = word_characters(docs.sparkSession) if isinstance(rows.schema["ts"].dataType, T.StringType) else None
-    fields = {"positions": f"term string, doc_id {kind.simpleString()}, tf bigint, positions array<int>", "tf": f"term string, doc_id {kind.simpleString()}, tf bigint", "forward": f"doc_id {kind.simpleString()}, terms array<struct<term:string,positions:array<int>>>", "counts": "term string, df bigint, cf bigint"}[form]
+    fields = {"prefix": f"term string, doc_id {kind.simpleString()}", "positions": f"term string, doc_id {kind.simpleString()}, tf bigint, positions array<int>", "tf": f"term string, doc_id {kind.simpleString()}, tf bigint", "forward": f"doc_id {kind.simpleString()}, terms array<struct<term:string,positions:array<int>>>", "counts": "term string, df bigint, cf bigint"}[form]
     arrow = to_arrow_type(kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,7 +95,7 @@ def row_runs(docs: DataFrame, found: Column, form: str, id_col: str = "doc_id")
                 ranks = np.argsort(pc.sort_indices(words.dictionary).to_numpy())
                 words = pa.DictionaryArray.from_arrays(pa.array(ranks[words.indices.to_numpy()]), words.dictionary.take(pc.sort_indices(words.dictionary)))
             key = doc * np.int64(len(words.dictionary)) + words.indices.to_numpy()
-            if form in ("tf", "counts"):
+            if form in ("tf", "counts", "prefix"):
                 key = np.sort(key)
             else:  # tokens stand in order of their positions
                 bits = len(key).bit_length()
@@ -112,6 +113,16 @@ def row_runs(docs: DataFrame, found: Column, form: str, id_col: str = "doc_id")
                 yield pa.RecordBatch.from_arrays([words.dictionary, pa.array(np.bincount(code, minlength=n)), pa.array(np.bincount(code, tf, n).astype(np.int64))], ["term", "df", "cf"])
                 continue
             own = key[first] // len(words.dictionary)
+            if form == "prefix":
+                rank = np.empty(len(lists), np.int64)
+                rank[pc.sort_indices(batch.column("doc_id")).to_numpy()] = np.arange(len(lists))
+                both = np.sort(code * np.int64(len(lists)) + rank[own])
+                code, place = both // len(lists), np.arange(len(both))
+                start = np.maximum.accumulate(np.where(np.append(True, code[1:] != code[:-1]), place, 0))
+                keep = place - start < first_k
+                at = np.argsort(rank)[both[keep] % len(lists)]
+                yield pa.RecordBatch.from_arrays([words.dictionary.take(pa.array(code[keep])), batch.column("doc_id").take(pa.array(at)).cast(arrow)], ["term", "doc_id"])
+                continue
             if form != "tf":
                 pos = pos[order]
                 there = pos >= 0
@@ -154,6 +165,14 @@ def doc_terms(docs: DataFrame, analyzer: Analyzer | None = PLAIN, id_col: str =
     return terms_of(postings_of(tokens(docs, analyzer, id_col, text_col, only)))
 
 
+def posting_prefix(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(term, doc_id): the ``k`` least ids of each plain term. Only the least of
+    each batch of rows are passed on, since no other can be among a term's."""
+    rows = row_runs(docs, _found(PLAIN, text_col, None), "prefix", id_col, k) if unique_ids(docs, id_col) else doc_postings(docs, PLAIN, id_col, text_col, positions=False, unique=False)
+    ranked = rows.select("term", "doc_id").withColumn("n", F.row_number().over(Window.partitionBy("term").orderBy("doc_id")))
+    return ranked.where(F.col("n") <= k).select("term", "doc_id")
+
+
 def doc_lengths(docs: DataFrame, analyzer: Analyzer | None = PLAIN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, doc_length): tokens before stop words go."""
     return docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), text_length(F.col(text_col), analyzer).alias("doc_length"))

@@ -152,8 +152,7 @@ def j20_merge_segments(spark, sf):
 
 @query(f"{BASE}, r AS (SELECT term, doc_id, row_number() OVER (PARTITION BY term ORDER BY doc_id) AS n FROM post) SELECT term, doc_id FROM r WHERE n <= 3")
 def t4_posting_prefix(spark, sf):
-    ranked = ix.doc_postings(docs_of(spark, sf), positions=False).withColumn("n", F.row_number().over(Window.partitionBy("term").orderBy("doc_id")))
-    return ranked.where("n <= 3").select("term", "doc_id")
+    return ix.posting_prefix(docs_of(spark, sf), 3)
 
 
 @query(f"{BASE} SELECT term, df, cf::BIGINT AS cf FROM terms ORDER BY df DESC, term LIMIT (SELECT (count(*) * 0.005)::INTEGER FROM terms)".replace("(count(*) * 0.005)::INTEGER", "floor(count(*) * 0.005)::INTEGER"))

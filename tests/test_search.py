@@ -314,3 +314,15 @@ def test_vocabulary_counts_terms_once(spark, monkeypatch):
         want = index.terms.orderBy(F.desc("df"), "term").limit(int(60 * share)).collect()
         assert index.vocabulary(share).collect() == want and len(want) == int(60 * share)
     assert written == ["terms"] * 5
+
+
+def test_posting_prefix_passes_on_the_least_ids_of_a_batch(spark):
+    from quern.operators import index as ix
+
+    for kind in ("long", "string"):
+        df = spark.createDataFrame([((i * 37) % 300, f"all {'even' if i % 2 else 'odd'} w{i}") for i in range(300)], "doc_id long, text string").withColumn("doc_id", F.col("doc_id").cast(kind)).repartition(2)
+        rows = ix.row_runs(df, ix._found(None, "text", None), "prefix", first_k=3)
+        assert rows.where("term = 'all'").count() <= 6
+        for table in (df, df.union(df)):  # the second has each id twice
+            want = sorted(tuple(r) for t, g in ix.postings_of(ix.tokens(table)).toPandas().groupby("term") for r in g.sort_values("doc_id")[["term", "doc_id"]].head(3).values.tolist())
+            assert sorted(tuple(r) for r in ix.posting_prefix(table, 3).collect()) == want
