@@ -336,12 +336,16 @@ def delta_decode(deltas: DataFrame) -> DataFrame:
     return deltas.select("term", F.sum("doc_delta").over(order).alias("doc_id"), _running_sums("position_deltas").alias("positions"))
 
 
-def merge_segments(segments: Sequence[DataFrame]) -> DataFrame:
+def merge_segments(segments: Sequence[DataFrame], disjoint: bool = False) -> DataFrame:
     """One posting table of several; a document that more than one segment has
-    counts with the sum of its frequencies and all its positions."""
+    counts with the sum of its frequencies and all its positions. ``disjoint``
+    says that no id is in two segments (see ``unique_ids``) and each has a term
+    and document once: then nothing is to be added up, nor shuffled."""
     out = segments[0].select("term", "doc_id", "tf", "positions")
     for s in segments[1:]:
         out = out.unionByName(s.select("term", "doc_id", "tf", "positions"))
+    if disjoint:
+        return out
     return out.groupBy("term", "doc_id").agg(F.sum("tf").alias("tf"), F.sort_array(F.flatten(F.collect_list("positions"))).alias("positions"))
 
 

@@ -146,8 +146,9 @@ def w4_delta_decoding(spark, sf):
 def j20_merge_segments(spark, sf):
     docs = docs_of(spark, sf)
     short = F.length(F.coalesce("text", F.lit(""))) < 1000
-    parts = [ix.doc_postings(docs.where(rows)) for rows in (short, ~short)]  # all rows, in two segments
-    return ix.merge_segments(parts).select("term", "doc_id", "tf")
+    one = ix.unique_ids(docs)
+    parts = [ix.doc_postings(docs.where(rows), unique=one) for rows in (short, ~short)]  # all rows, in two segments
+    return ix.merge_segments(parts, disjoint=one).select("term", "doc_id", "tf")
 
 
 @query(f"{BASE}, r AS (SELECT term, doc_id, row_number() OVER (PARTITION BY term ORDER BY doc_id) AS n FROM post) SELECT term, doc_id FROM r WHERE n <= 3")

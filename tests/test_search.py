@@ -326,3 +326,16 @@ def test_posting_prefix_passes_on_the_least_ids_of_a_batch(spark):
         for table in (df, df.union(df)):  # the second has each id twice
             want = sorted(tuple(r) for t, g in ix.postings_of(ix.tokens(table)).toPandas().groupby("term") for r in g.sort_values("doc_id")[["term", "doc_id"]].head(3).values.tolist())
             assert sorted(tuple(r) for r in ix.posting_prefix(table, 3).collect()) == want
+
+
+def test_disjoint_segments_are_not_shuffled(spark):
+    from quern import queries
+    from quern.operators import index as ix
+
+    sf = "/root/testdata/sf0.001"
+    plan = queries.QUERIES["j20_merge_segments"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(term" not in plan
+    df = spark.createDataFrame([(1, "a b a"), (2, "b"), (3, "c")], "doc_id long, text string")
+    parts = [ix.doc_postings(df.where(w), unique=True) for w in ("doc_id < 2", "doc_id >= 2")]
+    one, two = (sorted(tuple(r) for r in merge_segments(parts, disjoint=d).select("term", "doc_id", "tf", "positions").collect()) for d in (True, False))
+    assert one == two and len(one) == 4
